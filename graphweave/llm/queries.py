@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from graphweave.llm import chat, lines, rules
+from graphweave.llm import bpe, chat, lines, packing, rules
 
 QUERIES = {
+    "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
     "op3_line_dedup": lines.op3_line_dedup,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_chat_format": chat.op8_chat_format,
     "op10_quality_rules": rules.op10_quality_rules,
 }
