@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphweave.llm import bpe, chat, lines, packing, rules
+from graphweave.llm import bpe, chat, lines, lm, packing, rules
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
     "op3_line_dedup": lines.op3_line_dedup,
+    "op4_lm_scoring": lm.op4_lm_scoring,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_chat_format": chat.op8_chat_format,
     "op10_quality_rules": rules.op10_quality_rules,
