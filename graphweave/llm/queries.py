@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphweave.llm import bpe, chat, lines, lm, packing, rules
+from graphweave.llm import bpe, chat, lines, lm, packing, quality, rules
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_lm_scoring": lm.op4_lm_scoring,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_chat_format": chat.op8_chat_format,
+    "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_quality_rules": rules.op10_quality_rules,
 }
 SQL = {
