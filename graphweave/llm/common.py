@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import os
-import uuid
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -13,9 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweave.plans.stages import written
+
+__all__ = ["SPACE", "blocks", "fenced", "lowered", "mix", "rows", "settings", "slices", "slots", "table", "texts", "words_of", "written"]
+
 #: The white space that ends a word, as a Java and Python character class.
 SPACE = "\\x20\\x09-\\x0D"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,24 +42,6 @@ def fenced(df: DataFrame, *columns) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*columns))))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
-
-    Where that is unset (tests, local mode) one is set in the warehouse folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Deletes a folder made by `shared_dir`."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 @contextmanager
 def settings(spark: SparkSession, **values: str):
     """Session settings (dots written as __) that hold inside the block."""
@@ -73,24 +56,6 @@ def settings(spark: SparkSession, **values: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written to a shared folder and read again: a lineage cut that survives lost executors.
-
-    The shuffle files behind it are freed as soon as it is written.
-    """
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    schema = df.schema
-    del df
-    gc.collect()
-    return spark.read.schema(schema).parquet(path)
-
-
 def slots(spark: SparkSession, least: int = 1) -> int:
     """Number of shuffle partitions of the session, at least `least`."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
