@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from graphweave.llm import bpe, chat, lines, lm, near_dup, packing, quality, rules
+from graphweave.llm import bpe, chat, lines, lm, near_dup, packing, quality, rules, substrings
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
     "op2_near_duplicates": near_dup.op2_near_duplicates,
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_lm_scoring": lm.op4_lm_scoring,
+    "op5_suffix_array_dedup": substrings.op5_suffix_array_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_chat_format": chat.op8_chat_format,
     "op9_quality_classifier": quality.op9_quality_classifier,
