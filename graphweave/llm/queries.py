@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphweave.llm import bpe, chat, lines, lm, near_dup, packing, quality, rules, substrings
+from graphweave.llm import ann, bpe, chat, lines, lm, near_dup, packing, quality, rules, substrings
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_lm_scoring": lm.op4_lm_scoring,
     "op5_suffix_array_dedup": substrings.op5_suffix_array_dedup,
+    "op6_nearest_neighbours": ann.op6_nearest_neighbours,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_chat_format": chat.op8_chat_format,
     "op9_quality_classifier": quality.op9_quality_classifier,
