@@ -237,3 +237,10 @@ def _still_apart(rest: DataFrame, found: _Links) -> DataFrame:
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """Component and verdict of each document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The documents, columns as they were, of which one of each group stays: that with the least doc_id."""
+    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    d = docs.select(F.struct("*").alias("_row"))
+    return d.join(gone, F.col("_row.doc_id").cast("long") == F.col("_gone"), "left_anti").select("_row.*")
