@@ -1,0 +1 @@
+"""Operators of one Spark plan: supersteps, numbering, encoding."""
