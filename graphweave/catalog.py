@@ -1,4 +1,298 @@
 """The registered graph queries and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphweave import fixtures as fx
+from graphweave import generate, harness, sources
+from graphweave.graph import Graph
+from graphweave.operators.numbering import first_seen
+from graphweave.operators.superstep import dense_map, edge_map, gather, vertex_map
+from graphweave.plans import labels, pagerank, reach, walk
+from graphweave.plans.stages import shared_dir, written
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+WALKERS, STEPS = 20, 6
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _with(graph: str, query: str) -> str:
+    return f"WITH {fx.sql(graph)} {query}"
+
+
+_DEGREE = "SELECT id, coalesce(n, 0)::BIGINT AS degree FROM v LEFT JOIN (SELECT src, count(*) AS n FROM e GROUP BY src) ON src = id"
+_REACH = "r(id) AS (SELECT 0::BIGINT UNION SELECT e.dst FROM r JOIN e ON e.src = r.id)"
+
+
+@_query("graph_stats", _with("parts_suppliers", "SELECT (SELECT count(*) FROM v)::BIGINT AS num_nodes, (SELECT count(*) FROM e)::BIGINT AS num_edges, ceil((SELECT count(*) FROM v) / 512.0)::BIGINT AS num_vertex_blocks"))
+def graph_stats(spark: SparkSession, d: str) -> DataFrame:
+    return fx.parts_suppliers(spark, d).stats()
+
+
+@_query("degrees", _with("sparse_all", _DEGREE))
+def degrees(spark: SparkSession, d: str) -> DataFrame:
+    return fx.sparse_all(spark, d).degrees()
+
+
+@_query("degree_hist", _with("parts_suppliers", f"SELECT degree, count(*)::BIGINT AS cnt FROM ({_DEGREE}) GROUP BY degree"))
+def degree_hist(spark: SparkSession, d: str) -> DataFrame:
+    return fx.parts_suppliers(spark, d).degrees().groupBy("degree").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@_query("hub_blocks", _with("orders_parts", "SELECT dst AS id, count(*)::BIGINT AS degree, ceil(count(*) / 1024.0)::BIGINT AS blocks FROM (SELECT dst % 3 AS dst FROM e) GROUP BY dst HAVING count(*) > 1024"))
+def hub_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Three hubs made of all order lines."""
+    lines = fx.orders_parts(spark, d).edges
+    return Graph.from_edges(lines.select((F.col("dst") % 3).alias("src"), F.col("src").alias("dst"))).hub_blocks()
+
+
+@_query("symmetrize", _with("orders_parts", "SELECT src, dst, count(*)::BIGINT AS mult FROM (SELECT * FROM e UNION ALL SELECT dst, src FROM e WHERE src <> dst) GROUP BY src, dst"))
+def symmetrize(spark: SparkSession, d: str) -> DataFrame:
+    return fx.orders_parts(spark, d).symmetrized().edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("mult"))
+
+
+@_query("dedup_edges", _with("orders_parts", "SELECT DISTINCT src, dst FROM e"))
+def dedup_edges(spark: SparkSession, d: str) -> DataFrame:
+    return fx.orders_parts(spark, d).deduplicated().edges
+
+
+@_query("drop_self_loops", "SELECT (l_partkey % 97)::BIGINT AS src, (l_suppkey % 97)::BIGINT AS dst FROM lineitem WHERE l_partkey % 97 <> l_suppkey % 97")
+def drop_self_loops(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    return Graph.from_edges(lines.select((F.col("l_partkey") % 97).alias("src"), (F.col("l_suppkey") % 97).alias("dst"))).without_loops().edges
+
+
+@_query("undirected", _with("orders_parts", "SELECT src, dst FROM e UNION SELECT dst, src FROM e"))
+def undirected(spark: SparkSession, d: str) -> DataFrame:
+    return fx.orders_parts(spark, d).undirected().edges
+
+
+@_query("shift_ids", _with("orders_parts", "SELECT src - 1 AS src, dst - 1 AS dst FROM e"))
+def shift_ids(spark: SparkSession, d: str) -> DataFrame:
+    return fx.orders_parts(spark, d).shifted(-1).edges
+
+
+@_query("first_seen_encode", "SELECT raw, row_number() OVER (ORDER BY place) - 1 AS id FROM (SELECT raw, min(place) AS place FROM (SELECT 2 * o_custkey AS raw, 2 * o_orderkey AS place FROM orders UNION ALL SELECT 2 * o_orderkey + 1, 2 * o_orderkey + 1 FROM orders) GROUP BY raw)")
+def first_seen_encode(spark: SparkSession, d: str) -> DataFrame:
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    return first_seen(orders.select((2 * F.col("o_custkey")).alias("src"), (2 * F.col("o_orderkey") + 1).alias("dst"), "o_orderkey"), "o_orderkey")[1]
+
+
+@_query("adjacency", _with("sparse_all", "SELECT id, count(dst)::BIGINT AS degree, coalesce(string_agg(dst::VARCHAR, ' ' ORDER BY dst), '') AS nbrs FROM v LEFT JOIN e ON src = id GROUP BY id"))
+def adjacency(spark: SparkSession, d: str) -> DataFrame:
+    return fx.sparse_all(spark, d).adjacency().withColumn("nbrs", F.array_join(F.col("nbrs").cast("array<string>"), " "))
+
+
+@_query("neighbors_of", _with("parts_suppliers", "SELECT src, dst FROM e WHERE src IN (SELECT 2 * p_partkey FROM part WHERE p_size = 7)"))
+def neighbors_of(spark: SparkSession, d: str) -> DataFrame:
+    keys = spark.read.parquet(f"{d}/part.parquet").filter("p_size = 7").select((2 * F.col("p_partkey")).alias("id"))
+    return fx.parts_suppliers(spark, d).neighbours(keys)
+
+
+def _small_parts(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/part.parquet").filter("p_size <= 5").select((2 * F.col("p_partkey")).alias("id"))
+
+
+_FRONTIER = "f AS (SELECT 2 * p_partkey AS id FROM part WHERE p_size <= 5)"
+
+
+@_query("edge_map", f"WITH {fx.sql('parts_suppliers')}, {_FRONTIER} SELECT dst AS id, count(*)::BIGINT AS n, sum(src)::BIGINT AS total FROM f JOIN e ON src = f.id WHERE dst % 4 = 1 GROUP BY dst")
+def edge_map_query(spark: SparkSession, d: str) -> DataFrame:
+    sent = edge_map(_small_parts(spark, d), fx.parts_suppliers(spark, d).edges, F.col("dst") % 4 == 1, value=F.col("src"))
+    return gather(sent, n=F.count(F.lit(1)), total=F.sum("value"))
+
+
+@_query("vertex_map", f"WITH {fx.sql('parts_suppliers')}, {_FRONTIER} SELECT src AS id, count(*)::BIGINT AS n, min(dst)::BIGINT AS low, max(dst)::BIGINT AS high FROM f JOIN e ON src = f.id GROUP BY src")
+def vertex_map_query(spark: SparkSession, d: str) -> DataFrame:
+    return vertex_map(_small_parts(spark, d), fx.parts_suppliers(spark, d).edges, n=F.count(F.lit(1)), low=F.min("dst"), high=F.max("dst"))
+
+
+@_query("dense_map", f"WITH {fx.sql('parts_suppliers')}, {_FRONTIER} SELECT DISTINCT dst AS id FROM f JOIN e ON src = f.id")
+def dense_map_query(spark: SparkSession, d: str) -> DataFrame:
+    return dense_map(_small_parts(spark, d), fx.parts_suppliers(spark, d).edges)
+
+
+@_query("active_blocks", f"WITH {_FRONTIER} SELECT id // 512 AS block, count(*)::BIGINT AS cnt FROM f GROUP BY 1")
+def active_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return fx.parts_suppliers(spark, d).active_blocks(_small_parts(spark, d))
+
+
+_LEVELS = """b(id, level) USING KEY (id) AS (
+  SELECT 0::BIGINT, 0 UNION
+  SELECT e.dst, min(b.level + 1) FROM b JOIN e ON e.src = b.id WHERE NOT EXISTS (SELECT 1 FROM recurring.b r WHERE r.id = e.dst) GROUP BY 1)
+SELECT id, level FROM b"""
+
+
+@_query("bfs_levels", f"WITH RECURSIVE {fx.sql('parts_suppliers')}, {_LEVELS}")
+def bfs_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reach.bfs(fx.parts_suppliers(spark, d))
+
+
+@_query("bfs_levels_directed", f"WITH RECURSIVE {fx.sql('geography')}, {_LEVELS}")
+def bfs_levels_directed(spark: SparkSession, d: str) -> DataFrame:
+    return reach.bfs(fx.geography(spark, d))
+
+
+@_query("bfs_count", f"WITH RECURSIVE {fx.sql('parts_suppliers')}, {_REACH} SELECT count(*)::BIGINT AS visited FROM r")
+def bfs_count(spark: SparkSession, d: str) -> DataFrame:
+    return reach.bfs_count(fx.parts_suppliers(spark, d))
+
+
+@_query("dfs_count", f"WITH RECURSIVE {fx.sql('geography')}, {_REACH} SELECT count(*)::BIGINT AS visited FROM r")
+def dfs_count(spark: SparkSession, d: str) -> DataFrame:
+    return reach.dfs_count(fx.geography(spark, d))
+
+
+_LABELS = """w(id, label) USING KEY (id) AS (
+  SELECT id, id FROM v UNION
+  SELECT e.dst, min(w.label) FROM w JOIN e ON e.src = w.id JOIN recurring.w r ON r.id = e.dst GROUP BY e.dst HAVING min(w.label) < min(r.label))"""
+
+
+@_query("wcc_labels", f"WITH RECURSIVE {fx.sql('sparse_all')}, {_LABELS} SELECT id, label FROM w")
+def wcc_labels(spark: SparkSession, d: str) -> DataFrame:
+    return labels.wcc(fx.sparse_all(spark, d))
+
+
+@_query("wcc_count", f"WITH RECURSIVE {fx.sql('sparse')}, {_LABELS} SELECT count(DISTINCT label)::BIGINT AS n FROM w")
+def wcc_count(spark: SparkSession, d: str) -> DataFrame:
+    return labels.count(labels.wcc(fx.sparse(spark, d)))
+
+
+@_query("wcc_sizes", f"WITH RECURSIVE {fx.sql('customers_orders')}, {_LABELS} SELECT label, count(*)::BIGINT AS size FROM w GROUP BY label")
+def wcc_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return labels.sizes(labels.wcc(fx.customers_orders(spark, d)))
+
+
+@_query("min_label_directed", f"WITH RECURSIVE {fx.sql('orders_parts')}, {_LABELS} SELECT id, label FROM w")
+def min_label_directed(spark: SparkSession, d: str) -> DataFrame:
+    return labels.min_label(fx.orders_parts(spark, d))
+
+
+@_query("min_label_hashmin", f"WITH RECURSIVE {fx.sql('sparse')}, {_LABELS} SELECT id, label FROM w")
+def min_label_hashmin(spark: SparkSession, d: str) -> DataFrame:
+    return labels.min_label(fx.sparse(spark, d))
+
+
+def _pagerank_sql(graph: str, iterations: int = 10, where: str = "true") -> str:
+    """Chained expressions: q holds rank / degree, the last one ranks."""
+    steps = [f"g AS ({_DEGREE})", "q0 AS (SELECT id, degree, CASE WHEN degree > 0 THEN 1.0::DOUBLE / degree END AS p FROM g)"]
+    for k in range(1, iterations + 1):
+        value = "(0.15 + 0.85 * coalesce(s, 0))"
+        steps.append(f"q{k} AS (SELECT g.id, g.degree, {value + ' / nullif(g.degree, 0)' if k < iterations else value} AS p FROM g LEFT JOIN (SELECT e.src, sum(x.p) AS s FROM e JOIN q{k - 1} x ON x.id = e.dst GROUP BY e.src) ON src = g.id)")
+    return f"WITH {fx.sql(graph)}, {', '.join(steps)} SELECT id, round(p, 6) AS rank FROM q{iterations} WHERE {where}"
+
+
+@_query("pagerank10", _pagerank_sql("parts_suppliers"))
+def pagerank10(spark: SparkSession, d: str) -> DataFrame:
+    return pagerank.pagerank(fx.parts_suppliers(spark, d)).select("id", F.round("rank", 6).alias("rank"))
+
+
+@_query("pagerank10_sparse", _pagerank_sql("sparse_all"))
+def pagerank10_sparse(spark: SparkSession, d: str) -> DataFrame:
+    return pagerank.pagerank(fx.sparse_all(spark, d)).select("id", F.round("rank", 6).alias("rank"))
+
+
+@_query("pagerank_node0", _pagerank_sql("parts_suppliers", where="id = 0"))
+def pagerank_node0(spark: SparkSession, d: str) -> DataFrame:
+    return pagerank.pagerank(fx.parts_suppliers(spark, d)).filter("id = 0").select("id", F.round("rank", 6).alias("rank"))
+
+
+def _delta_sql(graph: str, steps: int, eps: float = 0.01) -> str:
+    out = [f"g AS ({_DEGREE})", "q0 AS MATERIALIZED (SELECT id, degree, CASE WHEN degree > 0 THEN 1.0::DOUBLE / degree END AS p, degree > 0 AS active FROM g)"]
+    for k in range(1, steps + 1):
+        out.append(f"n{k} AS MATERIALIZED (SELECT q.id, q.degree, CASE WHEN q.active THEN (0.15 + 0.85 * coalesce(s, 0)) / q.degree ELSE q.p END AS p, q.p AS old, q.active AS was FROM q{k - 1} q LEFT JOIN (SELECT e.src, sum(x.p) AS s FROM e JOIN q{k - 1} x ON x.id = e.dst GROUP BY e.src) ON src = q.id)")
+        out.append(f"q{k} AS MATERIALIZED (SELECT id, degree, p, degree > 0 AND id IN (SELECT e.dst FROM e JOIN n{k} ON n{k}.id = e.src WHERE was AND abs(p - old) > {eps}) AS active FROM n{k})")
+    return f"WITH {fx.sql(graph)}, {', '.join(out)} SELECT id, round(CASE WHEN degree > 0 THEN p * degree ELSE 0.15 END, 6) AS rank FROM q{steps}"
+
+
+@_query("pagerank_delta", _delta_sql("parts_suppliers", 14))
+def pagerank_delta(spark: SparkSession, d: str) -> DataFrame:
+    return pagerank.pagerank_delta(fx.parts_suppliers(spark, d)).select("id", F.round("rank", 6).alias("rank"))
+
+
+def _walk_sql(graph: str, walkers: int, steps: int, last: str) -> str:
+    draw = lambda w, k, n: f"((({w} * 1103515245 + {k} * 134775813 + 42 * 69069) % 2147483648) // 256 % {n})"
+    out = ["o AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k FROM e)", "g AS (SELECT src AS v, count(*) AS degree, row_number() OVER (ORDER BY src) - 1 AS place FROM e GROUP BY src)"]
+    out.append(f"w0 AS (SELECT r.range AS walker, 0 AS step, g.v FROM range({walkers}) r JOIN g ON g.place = {draw('r.range', 0, '(SELECT count(*) FROM g)')})")
+    for k in range(1, steps + 1):
+        out.append(f"w{k} AS (SELECT w.walker, {k} AS step, o.dst AS v FROM w{k - 1} w JOIN g ON g.v = w.v JOIN o ON o.src = w.v AND o.k = {draw('w.walker', k, 'g.degree')})")
+    every = " UNION ALL ".join(f"SELECT * FROM w{k}" for k in range(steps + 1))
+    return f"WITH {fx.sql(graph)}, {', '.join(out)}, every AS ({every}) {last}"
+
+
+@_query("random_walk", _walk_sql("sparse", WALKERS, STEPS, "SELECT walker, step, v FROM every"))
+def random_walk(spark: SparkSession, d: str) -> DataFrame:
+    return walk.random_walk(fx.sparse(spark, d), WALKERS, STEPS)
+
+
+@_query("random_walk_visits", _walk_sql("orders_parts", 1000, 3, "SELECT count(*)::BIGINT AS visited FROM every WHERE step < 4"))
+def random_walk_visits(spark: SparkSession, d: str) -> DataFrame:
+    """Walkers stop on parts, which have no out-edges."""
+    return walk.walk_visits(fx.orders_parts(spark, d), 1000, 4)
+
+
+@_query("log_summary", "SELECT event_type AS algo_name, user_id % 8 AS thread, round(avg((value * 1000)::BIGINT * 1e-6), 6) AS avg_s FROM events GROUP BY ALL")
+def log_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Events as benchmark runs: user as thread count, value as time."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    log = events.select(F.col("event_type").alias("algo_name"), (F.col("user_id") % 8).alias("thread"), F.bround(F.col("value") * 1000).cast("long").alias("time"))
+    return harness.summarize(log).withColumn("avg_s", F.round("avg_s", 6))
+
+
+def _dense(spark: SparkSession, d: str) -> Graph:
+    """The sparse graph with ids 0..V-1, as adjacency formats need."""
+    edges, ids = first_seen(fx.sparse(spark, d).edges, F.struct("src", "dst"))
+    return Graph(written(ids.select("id")), written(edges))
+
+
+_DENSE_SQL = (
+    f"WITH {fx.sql('sparse')}, n AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS k FROM e),"
+    " s AS (SELECT raw, row_number() OVER (ORDER BY min(k)) - 1 AS id FROM (SELECT src AS raw, 2 * k AS k FROM n UNION ALL SELECT dst, 2 * k + 1 FROM n) GROUP BY raw)"
+    " SELECT a.id AS src, b.id AS dst FROM e JOIN s a ON a.raw = e.src JOIN s b ON b.raw = e.dst"
+)
+
+
+def _round_trip(fmt: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        graph, path = _dense(spark, d), f"{shared_dir(spark)}.{fmt}"
+        writer = getattr(sources, f"write_{fmt}")
+        writer(graph, path, both=False) if fmt == "binedge" else writer(graph, path)
+        return sources.read_graph(spark, path).edges
+
+    return run
+
+
+for _fmt in ("adjlist", "binedge", "binadj"):
+    _query(f"round_trip_{_fmt}", _DENSE_SQL)(_round_trip(_fmt))
+
+
+@_query("round_trip_edgelist", _with("sparse", "SELECT (SELECT count(*) FROM v)::BIGINT AS num_nodes, (SELECT count(*) FROM e)::BIGINT AS num_edges, ceil((SELECT count(*) FROM v) / 512.0)::BIGINT AS num_vertex_blocks"))
+def round_trip_edgelist(spark: SparkSession, d: str) -> DataFrame:
+    """Edge lists are numbered anew when read, so what must stay are the counts."""
+    path = f"{shared_dir(spark)}.edgelist"
+    sources.write_edgelist(fx.sparse(spark, d), path)
+    return sources.read_graph(spark, path).stats()
+
+
+@_query("gen_er_like", None)
+def gen_er_like(spark: SparkSession, d: str) -> DataFrame:
+    """Degrees of a random graph over as many vertices as there are parts."""
+    return generate.erdos_renyi(spark, spark.read.parquet(f"{d}/part.parquet").count()).degrees()
+
+
+@_query("gen_ba_like", None)
+def gen_ba_like(spark: SparkSession, d: str) -> DataFrame:
+    """Degrees of a preferential-attachment graph over as many vertices as there are parts."""
+    return generate.barabasi_albert(spark, spark.read.parquet(f"{d}/part.parquet").count(), 5).degrees()

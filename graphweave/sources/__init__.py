@@ -1,0 +1,203 @@
+"""Graph files: METIS-like and SNAP-like text, binary edge and adjacency lists, and the engine's own tables.
+
+All are read and written by Spark, so any file system that Spark knows will do. A path may be a file or
+a folder of part files; the lines of a folder follow each other in the order of the files' names.
+"""
+
+from __future__ import annotations
+
+import os
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+
+from graphweave.graph import Graph
+from graphweave.operators.numbering import first_seen
+from graphweave.plans.stages import written
+
+FORMATS = ("adjlist", "edgelist", "binedge", "binadj")
+_EDGES = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+
+
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """line (from 0) and value of each line. Splits are numbered by file and offset; only their sizes go to the driver."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    kept = written(text.withColumn("row", F.monotonically_increasing_id()))
+    parts = sorted(kept.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).collect())
+    before = [0, *accumulate(p.n for p in parts)]
+    offsets = spark.createDataFrame([(p.file, p.start, p.first, b) for p, b in zip(parts, before)], "file string, start long, first long, before long")
+    # a row for each split of the input
+    return kept.join(F.broadcast(offsets), ["file", "start"]).select((F.col("before") + F.col("row") - F.col("first")).alias("line"), "value")
+
+
+def _tokens() -> F.Column:
+    return F.filter(F.split("value", "\\s+"), lambda x: x != "")
+
+
+def read_adjlist(spark: SparkSession, path: str) -> Graph:
+    """Line 0 is `V E ...`; line i holds the neighbours of vertex i, counted from 1, and becomes vertex i - 1. A blank line is an isolated vertex."""
+    lines = written(lines_of(spark, path).select("line", _tokens().alias("t")))
+    head = lines.filter("line = 0").first()
+    if head is None or len(head.t) < 2:
+        raise ValueError("an adjacency list starts with the numbers of vertices and edges")
+    n, rows = int(head.t[0]), lines.count() - 1
+    if rows != n:
+        raise ValueError(f"{n} vertices are declared, {rows} have a line")
+    edges = lines.filter("line > 0").select((F.col("line") - 1).alias("src"), F.explode("t").alias("t")).select("src", (F.col("t").cast("long") - 1).alias("dst"))
+    return Graph(spark.range(n), edges)
+
+
+def read_edgelist(spark: SparkSession, path: str) -> Graph:
+    """`src dst ...` a line, ids numbered by first appearance. `#` starts a comment; `# Nodes: N ...` and `p N M` declare N vertices at least."""
+    lines = lines_of(spark, path).select("line", F.trim("value").alias("value")).filter("value != ''")
+    head = F.regexp_extract("value", r"^(?:#\s*Nodes:|p)\s+(\d+)", 1)
+    declared = lines.select(F.max(F.when(head != "", head.cast("long")))).first()[0] or 0
+    pairs = lines.filter(~F.col("value").rlike(r"^(#|p\s)")).select("line", _tokens().alias("t"))
+    pairs = pairs.select("line", F.get("t", F.lit(0)).cast("long").alias("src"), F.coalesce(F.get("t", F.lit(1)), F.raise_error(F.concat(F.lit("no second id in line "), F.col("line").cast("string")))).cast("long").alias("dst"))
+    edges, ids = first_seen(pairs, "line")
+    return Graph.from_edges(edges, declared=max(declared, ids.count()))
+
+
+def read_binedge(spark: SparkSession, path: str) -> Graph:
+    """Pairs of little-endian int32, all of them; splits fall between pairs."""
+
+    def pairs(records):
+        data = np.frombuffer(b"".join(records), "<i4").reshape(-1, 2)
+        return ((int(a), int(b)) for a, b in data)
+
+    edges = spark.createDataFrame(spark.sparkContext.binaryRecords(path, 8).mapPartitions(pairs), "src long, dst long")
+    return Graph.from_edges(edges)
+
+
+def read_binadj(spark: SparkSession, path: str) -> Graph:
+    """int32 V and E, then degree and neighbours of each vertex. Records have no fixed length, so a file is one task's."""
+
+    def work(batches):
+        for b in batches:
+            for content in b["content"]:
+                data = np.frombuffer(content.as_buffer(), "<i4")
+                at, n = 2, int(data[0]) if len(data) else 0
+                for v in range(n):
+                    d = int(data[at])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(d + 1, v)), pa.array(np.append(data[at + 1 : at + 1 + d].astype(np.int64), -1))], schema=_EDGES)
+                    at += d + 1
+                if n and at != len(data):
+                    raise ValueError(f"{path}: {n} vertices do not fill the file")
+
+    rows = written(spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, "src long, dst long"))
+    return Graph(rows.filter("dst = -1").select(F.col("src").alias("id")), rows.filter("dst >= 0"))
+
+
+def read_graph(spark: SparkSession, path: str, fmt: str | None = None) -> Graph:
+    """A graph in the format given, else in that of the path's extension."""
+    fmt = fmt or path.rstrip("/").rpartition(".")[2]
+    readers = {"adjlist": read_adjlist, "edgelist": read_edgelist, "binedge": read_binedge, "binadj": read_binadj}
+    if fmt not in readers:
+        raise ValueError(f"unknown format {fmt!r}; known: {', '.join(FORMATS)}")
+    return readers[fmt](spark, path)
+
+
+def write_adjlist(graph: Graph, path: str) -> None:
+    """Ids must be 0..V-1. Part files hold ranges of vertices in the order of their names."""
+    n, m = graph.stats().select("num_nodes", "num_edges").first()
+    lists = graph.shifted(1).adjacency().select("id", F.array_join(F.col("nbrs").cast("array<string>"), " ").alias("value"))
+    head = graph.edges.sparkSession.createDataFrame([(0, f"{n} {m}")], "id long, value string")
+    lists.unionByName(head).repartitionByRange("id").sortWithinPartitions("id").select("value").write.text(path)
+
+
+def write_edgelist(graph: Graph, path: str) -> None:
+    """Comment lines and `src dst` lines, in no particular order."""
+    n, m = graph.stats().select("num_nodes", "num_edges").first()
+    head = graph.edges.sparkSession.createDataFrame([(f"# Nodes: {n} Edges: {m}",)], "value string")
+    head.unionByName(graph.edges.select(F.concat_ws(" ", "src", "dst").alias("value"))).write.text(path)
+
+
+class BinaryFiles(DataSource):
+    """A sink of raw bytes: each task writes the values of its rows, one after another, to a file of its own.
+
+    Options: path, an existing folder that all executors share.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "graphbytes"
+
+    def schema(self) -> str:
+        return "value binary"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _BytesWriter(self.options["path"])
+
+
+class _Part(WriterCommitMessage):
+    def __init__(self, path: str | None):
+        self.path = path
+
+
+class _BytesWriter(DataSourceWriter):
+    def __init__(self, path: str):
+        self.path = path.removeprefix("file://")
+
+    def write(self, rows) -> _Part:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        part = os.path.join(self.path, f".part-{context.partitionId():05d}-{context.taskAttemptId()}")
+        with open(part, "wb") as f:
+            for (value,) in rows:
+                f.write(value)
+        return _Part(part)
+
+    def commit(self, messages) -> None:
+        """Only files of tasks that count get their name; others are never seen by readers."""
+        for m in messages:
+            if m is not None:
+                folder, _, name = m.path.rpartition("/")
+                os.rename(m.path, f"{folder}/{name[1:].rpartition('-')[0]}")
+
+    def abort(self, messages) -> None:
+        for m in messages:
+            if m is not None:
+                os.unlink(m.path)
+
+
+def _write_bytes(values: DataFrame, path: str) -> None:
+    spark = values.sparkSession
+    spark.dataSource.register(BinaryFiles)
+    os.makedirs(path.removeprefix("file://"))
+    values.write.format("graphbytes").mode("append").save(path)
+
+
+def _int32(c) -> F.Column:
+    """Four little-endian bytes of a whole number."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(c, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4))))
+
+
+def write_binedge(graph: Graph, path: str, both: bool = True) -> None:
+    """Pairs of int32 in part files; by default each edge in both directions, a loop once."""
+    edges = (graph.symmetrized() if both else graph).edges
+    _write_bytes(edges.select(F.concat(_int32(F.col("src")), _int32(F.col("dst"))).alias("value")), path)
+
+
+def write_binadj(graph: Graph, path: str) -> None:
+    """V, E and the vertices' lists in one file, as the format has one head: for graphs that one task can write. Ids must be 0..V-1."""
+    n, m = graph.stats().select("num_nodes", "num_edges").first()
+    lists = graph.adjacency().select("id", F.concat(F.array(F.col("degree")), F.col("nbrs")).alias("v"))
+    head = graph.edges.sparkSession.createDataFrame([(-1, [n, m])], "id long, v array<long>")
+    value = F.aggregate("v", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, _int32(x)))
+    _write_bytes(lists.unionByName(head).repartition(1).sortWithinPartitions("id").select(value.alias("value")), path)
+
+
+def save(graph: Graph, path: str) -> None:
+    """The engine's own tables: vertices, edges sorted by source, and their statistics."""
+    graph.vertices.write.parquet(f"{path}/vertices")
+    graph.edges.repartition("src").sortWithinPartitions("src", "dst").write.parquet(f"{path}/edges")
+    graph.stats().write.parquet(f"{path}/stats")
+
+
+def load(spark: SparkSession, path: str) -> Graph:
+    return Graph(spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges"))
