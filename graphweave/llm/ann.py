@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import rows, slices, table, written
+from graphweave.llm.common import rows, sampled, slices, table, written
 
 #: Vectors and queries of the sample, vectors a centroid, most centroids, rounds of k-means.
 SAMPLE, SAMPLE_QUERIES, PER_LIST, MOST_LISTS, ROUNDS = 20_000, 400, 256, 4096, 8
@@ -188,7 +188,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, nearest: int = NEAR
     if common is None:
         return vectors.sparkSession.createDataFrame([], types.replace("query_id long,", "query_id long, rank int,"))
     v = v.filter(F.size("x") == common.d)
-    sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()["x"].combine_chunks()
+    sample = sampled(v, "vec_id", SAMPLE, common.n).toArrow()["x"].combine_chunks()
     index = Index(_matrix(sample, len(sample)), common.n, common.longest, nearest)
     posted = pa.schema([("list", pa.int32()), ("vec_id", pa.int64()), ("x", pa.list_(pa.float64()))])
 

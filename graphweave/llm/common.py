@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphweave.plans.stages import written
 
-__all__ = ["SPACE", "blocks", "fenced", "lowered", "mix", "rows", "settings", "slices", "slots", "table", "texts", "words_of", "written"]
+__all__ = ["SPACE", "blocks", "fenced", "lowered", "mix", "rows", "sampled", "settings", "slices", "slots", "table", "texts", "words_of", "written"]
 
 #: The white space that ends a word, as a Java and Python character class.
 SPACE = "\\x20\\x09-\\x0D"
@@ -56,6 +56,14 @@ def settings(spark: SparkSession, **values: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def sampled(df: DataFrame, key: str, most: int, n: int) -> DataFrame:
+    """About `most` of n rows, at most `most`, those of smallest hash; tasks send no more than that in all."""
+    if n > most:
+        span = 1 << 30
+        df = df.filter(F.pmod(F.xxhash64(key), F.lit(span)) < int(span * 0.95 * most / n))
+    return df.orderBy(F.xxhash64(key), key).limit(most)
+
+
 def slots(spark: SparkSession, least: int = 1) -> int:
     """Number of shuffle partitions of the session, at least `least`."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

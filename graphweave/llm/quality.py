@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import blocks, mix, rows, slices, table, texts, words_of, written
+from graphweave.llm.common import blocks, mix, rows, sampled, slices, table, texts, words_of, written
 
 #: Rows of the vector table by kind, their length, non-zero entries of an index vector, words looked at on each side.
 WORDS, ENDINGS, SHAPES, SIZE, NONZERO, WINDOW = 4096, 2048, 2048, 32, 4, 2
@@ -192,7 +192,7 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     d = texts(docs)
     x = written(features(d, context_sums(d)))
     known = labels.filter(F.col("quality").isNotNull() & (fold() != HELD_OUT)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    some = sampled(known, "doc_id", MAX_LABELLED, known.count())
     got = x.join(some, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(MAX_LABELLED).select("quality", "x").toArrow()
     sample = np.array(got["x"].to_pylist(), np.float64).reshape(got.num_rows, -1)
     network = Network(sample, np.array(got["quality"].to_pylist(), np.float64))
