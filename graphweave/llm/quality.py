@@ -32,6 +32,7 @@ WORDS, ENDINGS, SHAPES, SIZE, NONZERO, WINDOW = 4096, 2048, 2048, 32, 4, 2
 UNITS = WORDS + ENDINGS + SHAPES
 MAX_LABELLED, HIDDEN, EPOCHS, CALIBRATION = 20_000, 32, 40, 5
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
+SIGNS = 16  # random signs of a word by which repetition is told, a multiple of 8
 _PART, _SALTS = 256, 32
 _KIND = np.full(256, ord("."), np.uint8)  # letters, capitals, digits; other ASCII stands for itself
 _KIND[:128] = np.arange(128)
@@ -130,7 +131,7 @@ def features(docs: DataFrame, context: np.ndarray) -> DataFrame:
                 for k in range(1, 3):
                     run[:-k] += mix(whole[k:] + np.uint64(k))
                 for j, h in enumerate((whole, run)):
-                    signs = ((mix(h)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float32) * 2 - 1
+                    signs = np.unpackbits((mix(h) >> np.uint64(64 - SIGNS)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, : SIGNS // 8], axis=1).astype(np.float32) * 2 - 1
                     sums = np.add.reduceat(signs, first, 0)
                     out[has, -5 + j] = np.log1p((sums**2).mean(1) / n[has])
                 stutter = np.zeros(len(whole), np.float32)
