@@ -87,9 +87,10 @@ def context_sums(docs: DataFrame) -> np.ndarray:
                 around[k:] += own[:-k] * same
                 around[:-k] += own[k:] * same
             for kind in range(of.shape[1]):
-                order = np.argsort(of[:, kind], kind="stable")
-                row, first = np.unique(of[order, kind], return_index=True)
-                total[row] += np.add.reduceat(around[order], first, 0)
+                order = np.argsort(of[:, kind].astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
+                sorted_ = of[order, kind]
+                first = np.flatnonzero(np.diff(sorted_, prepend=-1))
+                total[sorted_[first]] += np.add.reduceat(around[order], first, 0)
         salt = int(np.abs(total).sum()) % _SALTS
         if total.any():
             yield rows(schema, range(UNITS // _PART), [salt] * (UNITS // _PART), [x.tobytes() for x in np.split(total, UNITS // _PART)])
