@@ -16,12 +16,14 @@ def min_label(graph: Graph) -> DataFrame:
 
     Only labels that changed are sent on. On a symmetric graph `wcc` gives the same in fewer steps.
     """
+    held = graph.cached("src")
     state = written(graph.vertices.select("id", F.col("id").alias("label")))
     changed = state
     while True:
-        best = gather(edge_map(changed, graph.edges, label=F.col("label")), message=F.min("label"))
+        best = gather(edge_map(changed, held.edges, label=F.col("label")), message=F.min("label"))
         new = written(state.join(best, "id").filter("message < label").select("id", F.col("message").alias("label")))
         if new.isEmpty():
+            held.release()
             return state
         after = written(state.join(new.withColumnRenamed("label", "new"), "id", "left").select("id", F.coalesce("new", "label").alias("label")))
         if changed is not state:

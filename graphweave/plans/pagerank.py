@@ -22,8 +22,7 @@ def _pulled(edges: DataFrame, state: DataFrame) -> DataFrame:
 def pagerank(graph: Graph, iterations: int = 10, cut_every: int = 5) -> DataFrame:
     """id and rank after that many synchronous iterations; 0 iterations give the start values 1 / degree."""
     held = graph.cached("dst")
-    degrees = graph.degrees()
-    base = written(degrees)
+    base = written(held.degrees())
     start = F.when(F.col("degree") > 0, 1.0 / F.col("degree"))
     if iterations == 0:
         held.release()
@@ -46,9 +45,8 @@ def pagerank(graph: Graph, iterations: int = 10, cut_every: int = 5) -> DataFram
 
 def pagerank_delta(graph: Graph, eps: float = 0.01, most: int = 1000) -> DataFrame:
     """id and rank when no change of rank / degree is above eps any more; only vertices next to such a change are computed again."""
-    degrees = graph.degrees()
     held = graph.cached("dst")
-    state = written(degrees.select("id", "degree", F.when(F.col("degree") > 0, 1.0 / F.col("degree")).alias("p"), (F.col("degree") > 0).alias("active")))
+    state = written(held.degrees().select("id", "degree", F.when(F.col("degree") > 0, 1.0 / F.col("degree")).alias("p"), (F.col("degree") > 0).alias("active")))
     for _ in range(most):
         live = state.filter("active").select("id")
         own = held.edges.join(live.withColumnRenamed("id", "src"), "src", "left_semi")

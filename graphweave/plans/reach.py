@@ -12,17 +12,17 @@ from graphweave.plans.stages import written
 
 def bfs(graph: Graph, source: int = 0) -> DataFrame:
     """id and level (hops from the source) of every vertex that directed paths reach; empty if there is no such source."""
-    spark = graph.edges.sparkSession
+    held = graph.cached("src")
     level = written(graph.vertices.filter(F.col("id") == source).select("id", F.lit(0).alias("level")))
     seen, depth = level, 0
     while not level.isEmpty():
         depth += 1
-        reached = dense_map(level.select("id"), graph.edges).join(seen.select("id"), "id", "left_anti")
+        reached = dense_map(level.select("id"), held.edges).join(seen.select("id"), "id", "left_anti")
         level = written(reached.select("id", F.lit(depth).alias("level")))
         seen = seen.unionByName(level)
         if depth % 16 == 0:  # a long path does not make a long plan
             seen = written(seen)
-    del spark
+    held.release()
     return seen
 
 
