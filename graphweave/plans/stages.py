@@ -26,12 +26,15 @@ def written(df: DataFrame) -> DataFrame:
     it are freed once it is written.
     """
     spark, path, schema = df.sparkSession, shared_dir(df.sparkSession), df.schema
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+    # results may read it as long as the application runs, and nothing after that
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     del df
     gc.collect()
     return spark.read.schema(schema).parquet(path)
