@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from graphweave.plans.stages import discard, written
 
 
-def _signature(pairs: DataFrame) -> tuple:
-    """Number and hash sum of the pairs, which tell whether a step changed any."""
-    return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether every u hangs on one v that hangs on nothing."""
+    ends = pairs.select(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(pairs.select(F.col("v").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    return ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).filter("hangs > 1 OR hangs + holds > 1").isEmpty()
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -40,16 +41,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     ends = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull())
     loops = ends.filter("u = v").select("u", "v")
     pairs = written(ends.filter("u != v").distinct())
-    before = _signature(pairs)
-    while before[0]:
+    while not _are_stars(pairs):
         after_large = _large_star(pairs)
         after = _small_star(after_large)
-        now = _signature(after)
         discard(pairs)
         discard(after_large)
         pairs = after
-        if now == before:
-            break
-        before = now
     found = pairs.unionByName(pairs.select(F.col("v").alias("u"), "v")).unionByName(loops)
     return found.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
