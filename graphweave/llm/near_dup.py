@@ -173,22 +173,28 @@ class _Links:
             pairs = pairs.join(label, x, "left").withColumn(f"l{x}", F.coalesce(f"l{x}", x))
         return pairs.filter("la != lb").drop("la", "lb")
 
-    def add(self, pairs: DataFrame) -> None:
-        """Verifies pairs, and joins the components of those that are links."""
+    def labelled(self, nodes: DataFrame) -> DataFrame:
+        """The rows with label, the component of their id."""
+        if self.labels is None:
+            return nodes.withColumn("label", F.col("id"))
+        return nodes.join(self.labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+
+    def settle(self, pairs: DataFrame) -> None:
+        """Adds all links among the pairs that join components: first one pair of each b, then those that two of these do not bridge."""
         if pairs.isEmpty():
             return
         ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
         sets = written(sets_of(self.docs.join(ends, "doc_id", "left_semi")))
-        found = verified(pairs, sets)
+        first = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        found = verified(first, sets)
+        rest = pairs.join(first, ["a", "b"], "left_anti")
+        for x in ("a", "b"):
+            hung = found.select(F.col("b").alias(x), F.col("a").alias(f"h{x}"))
+            rest = rest.join(hung, x, "left").withColumn(f"h{x}", F.coalesce(f"h{x}", x))
+        found = found.unionByName(verified(rest.filter("ha != hb").select("a", "b"), sets))
         self.links = found if self.links is None else self.links.unionByName(found)
         self.labels = written(connected_components(self.links, "a", "b"))
 
-    def settle(self, pairs: DataFrame) -> None:
-        """Adds all links among the pairs that join components: the first pair of each b, then what is still apart."""
-        first = written(self.apart(pairs).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        self.add(first)
-        self.add(written(self.apart(pairs.join(first, ["a", "b"], "left_anti"))))
-
 
 def _leaders(buckets: DataFrame, order) -> DataFrame:
     """Pairs of each bucket's first class by `order`, and each other class of the bucket."""
@@ -207,18 +213,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = classes.select("id", band)
     found = _Links(docs, classes)
     found.settle(promising(_leaders(buckets, F.lit(0)), classes))
-    if found.labels is not None:
-        known = found.labels.withColumnRenamed("component", "label")
-        marked = buckets.join(known, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed = marked.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("n > 2 AND low != high").select("band")
-        rest = written(marked.join(written(mixed), "band", "left_semi").select("band", "id", "label"))
-        found.settle(promising(found.apart(_leaders(rest, F.xxhash64("id", "band"))), classes))
-        found.settle(promising(_still_apart(rest, found), classes))
-    labels = classes.select("identity", F.col("id"))
-    if found.labels is not None:
-        labels = labels.join(found.labels, "id", "left").select("identity", F.coalesce("component", "id").alias("component_id"))
-    else:
-        labels = labels.select("identity", F.col("id").alias("component_id"))
+    marked = found.labelled(buckets)
+    mixed = marked.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("n > 2 AND low != high").select("band")
+    rest = written(marked.join(written(mixed), "band", "left_semi").select("band", "id"))
+    found.settle(promising(found.apart(_leaders(rest, F.xxhash64("id", "band"))), classes))
+    found.settle(promising(_still_apart(rest, found), classes))
+    labels = found.labelled(classes.select("identity", "id")).select("identity", F.col("label").alias("component_id"))
     done = sketches.select("doc_id", "n", "identity").join(written(labels), "identity", "left")
     component = F.coalesce("component_id", "doc_id")
     return done.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _still_apart(rest: DataFrame, found: _Links) -> DataFrame:
     """Pairs of classes of one bucket that are in different components."""
-    now = written(rest.select("band", "id").join(found.labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("label")))
+    now = written(found.labelled(rest).select("band", "id", "label"))
     mixed = written(now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("band"))
     members = written(now.join(mixed, "band", "left_semi"))
     other = members.select("band", F.col("id").alias("b"), F.col("label").alias("lb"))
