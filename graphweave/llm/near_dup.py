@@ -7,9 +7,9 @@ in a bucket. Of a pair, the joint likelihood of the two sketches, given both set
 similarity; pairs that may be similar enough are verified on their full sets.
 
 Documents with equal sets are one class from the start. In a bucket every class is compared with one
-leader, not with every other; then, only in buckets whose members do not yet hang together, with
-another leader; then with all that are still apart. So a group of near copies takes about as many
-comparisons as it has members, and yet no link between different components is missed.
+leader, not with every other. Members of buckets that do not hang together then are compared where they
+share a shingle among their rarest, so many that any link between them shows. So a group of near copies
+takes about as many comparisons as it has members, and yet no link between different components is missed.
 
 Defined results: null and empty texts have empty sets and are linked with nothing; texts of any length
 are taken whole; equal rows are in one class; rows with the same doc_id count as one document that has
@@ -31,6 +31,8 @@ SHINGLE, PERCENT = 5, 75
 REGISTERS, BAND = 128, 4
 #: The grid's base, the hashes' rate, the last register value.
 BASE, RATE, LIMIT = 1.02, 20.0, (1 << 16) - 2
+#: Cells of the table by which rare shingles are told from common ones.
+CELLS = 1 << 16
 #: A pair whose likelihood peaks this many standard errors below the threshold is not verified.
 ERRORS = 6
 _SPREAD = np.random.Generator(np.random.PCG64(0x5E75)).integers(1, 1 << 63, (2, max(REGISTERS, SHINGLE)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -164,15 +166,6 @@ class _Links:
     def __init__(self, docs: DataFrame, classes: DataFrame):
         self.docs, self.classes, self.links, self.labels = docs, classes, None, None
 
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose ends are not in one component yet."""
-        if self.labels is None:
-            return pairs
-        for x in ("a", "b"):
-            label = self.labels.select(F.col("id").alias(x), F.col("component").alias(f"l{x}"))
-            pairs = pairs.join(label, x, "left").withColumn(f"l{x}", F.coalesce(f"l{x}", x))
-        return pairs.filter("la != lb").drop("la", "lb")
-
     def labelled(self, nodes: DataFrame) -> DataFrame:
         """The rows with label, the component of their id."""
         if self.labels is None:
@@ -196,13 +189,69 @@ class _Links:
         self.labels = written(connected_components(self.links, "a", "b"))
 
 
-def _leaders(buckets: DataFrame, order) -> DataFrame:
-    """Pairs of each bucket's first class by `order`, and each other class of the bucket."""
-    first = written(buckets.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("id"))).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.col("first.id").alias("leader")))
-    pairs = buckets.join(first, "band").filter("id != leader")
+def _leaders(buckets: DataFrame) -> DataFrame:
+    """Pairs of each bucket's leader and each other class of the bucket.
+
+    The leader is the class with most company over all its buckets: of a text and its altered copies,
+    the text, which is nearer to the copies than they are to each other.
+    """
+    sizes = written(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    met = written(buckets.join(sizes, "band"))
+    company = met.groupBy("id").agg(F.sum("n").alias("company"))
+    ranked = met.select("band", "id").join(written(company), "id")
+    first = written(ranked.groupBy("band").agg(F.min(F.struct(-F.col("company"), F.col("id"))).alias("first")).select("band", F.col("first.id").alias("leader")))
+    pairs = met.select("band", "id").join(first, "band").filter("id != leader")
     return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """Occurrences of shingles in sets of items, counted in a table of fixed size by hash."""
+    schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
+
+    def work(batches):
+        total = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for x in b["items"]:
+                total += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        cell = np.flatnonzero(total)
+        yield rows(schema, cell, total[cell])
+
+    out = np.zeros(CELLS, np.int64)
+    for cell, n in sets.mapInArrow(work, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[cell] = n
+    return out
+
+
+def _still_apart(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of members (id, label) with different labels whose sets may be similar enough: none that are is missed.
+
+    With a set's shingles in one fixed order, rare ones first, two sets that share at least `need`
+    shingles share one among the first |set| - need + 1 of each. An altered copy that is too far from
+    the others has that many shingles of its own, and so meets no other.
+    """
+    rarity = _rarity(sets)
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("item", pa.int64()), ("place", pa.int64())])
+
+    def work(batches):
+        for b in batches:
+            for i, x in zip(b["id"].to_pylist(), b["items"], strict=True):
+                items = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(items)
+                head = items[np.lexsort((items, rarity[(items % np.uint64(CELLS)).astype(np.int64)]))][: n - -(-PERCENT * n // 100) + 1]
+                yield rows(schema, np.full(len(head), i), np.full(len(head), n), head.view(np.int64), np.arange(len(head)))
+
+    heads = written(sets.mapInArrow(work, "id long, n long, item long, place long").join(members, "id"))
+    by_label = heads.groupBy("item", "label").agg(F.count(F.lit(1)).alias("m"))
+    most = written(by_label.groupBy("item").agg(F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("m")).filter("m > most.m").select("item", F.col("most.label").alias("top")))
+    met = written(heads.join(most, "item"))
+    # of two labels one is not the commonest with that shingle
+    left = met.filter("label != top").select("item", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "place", "label")))
+    right = met.select("item", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "place", "label")))
+    need = f"(({PERCENT} * (n_x + n_y) + {99 + PERCENT}) div {100 + PERCENT})"
+    pairs = left.join(right, "item").filter(f"label_x != label_y AND 100 * least(n_x, n_y) >= {PERCENT} * greatest(n_x, n_y) AND place_x <= n_x - {need} AND place_y <= n_y - {need}")
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable over links) and kept of each document."""
     docs = texts(docs)
@@ -212,28 +261,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.xxhash64(i, F.substr("sketch", i * width + 1, F.lit(width))))).alias("band")
     buckets = classes.select("id", band)
     found = _Links(docs, classes)
-    found.settle(promising(_leaders(buckets, F.lit(0)), classes))
+    found.settle(promising(_leaders(buckets), classes))
     marked = found.labelled(buckets)
     mixed = marked.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("n > 2 AND low != high").select("band")
-    rest = written(marked.join(written(mixed), "band", "left_semi").select("band", "id"))
-    found.settle(promising(found.apart(_leaders(rest, F.xxhash64("id", "band"))), classes))
-    found.settle(promising(_still_apart(rest, found), classes))
+    members = written(marked.join(written(mixed), "band", "left_semi").select("id", "label").distinct())
+    if not members.isEmpty():
+        sets = written(sets_of(docs.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")))
+        found.settle(promising(_still_apart(members, sets), classes))
     labels = found.labelled(classes.select("identity", "id")).select("identity", F.col("label").alias("component_id"))
     done = sketches.select("doc_id", "n", "identity").join(written(labels), "identity", "left")
     component = F.coalesce("component_id", "doc_id")
     return done.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def _still_apart(rest: DataFrame, found: _Links) -> DataFrame:
-    """Pairs of classes of one bucket that are in different components."""
-    now = written(found.labelled(rest).select("band", "id", "label"))
-    mixed = written(now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("band"))
-    members = written(now.join(mixed, "band", "left_semi"))
-    other = members.select("band", F.col("id").alias("b"), F.col("label").alias("lb"))
-    pairs = members.withColumnsRenamed({"id": "a", "label": "la"}).join(other, "band").filter("la < lb")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """Component and verdict of each document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
