@@ -28,7 +28,7 @@ from graphweave.llm.common import rows, slices, table, texts
 #: Unicode's White_Space, which is what \s stands for in the pattern (fixed values).
 _SPACE = r"\t-\r \x85\xA0  -     　"
 #: Entries of a generation of a worker's caches of pre-tokens and of parts between spaces: they bound its memory, not the results.
-PIECES, PARTS = 300_000, 60_000
+PIECES, PARTS = 600_000, 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
