@@ -196,7 +196,7 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.filter(F.col("quality").isNotNull() & (fold() != HELD_OUT)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     some = sampled(known, "doc_id", MAX_LABELLED, known.count())
     got = x.join(some, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(MAX_LABELLED).select("quality", "x").toArrow()
-    sample = np.array(got["x"].to_pylist(), np.float64).reshape(got.num_rows, -1)
+    sample = np.array(got["x"].to_pylist(), np.float64) if got.num_rows else np.zeros((0, 1))
     network = Network(sample, np.array(got["quality"].to_pylist(), np.float64))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 
