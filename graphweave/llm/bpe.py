@@ -124,10 +124,10 @@ class Recent(dict):
 
 
 class Codec:
-    """Encodes texts and decodes ids by a table of ranks; bounded caches hold what recent pre-tokens, and recent stretches between two spaces, gave."""
+    """Encodes texts and decodes ids by a table of ranks or a file of one; bounded caches hold what recent pre-tokens, and recent stretches between two spaces, gave."""
 
-    def __init__(self, path: str, pattern: str):
-        self.ranks = read_ranks(path)
+    def __init__(self, ranks: str | dict[bytes, int], pattern: str):
+        self.ranks = read_ranks(ranks) if isinstance(ranks, str) else ranks
         self.table = [b""] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
             self.table[rank] = piece

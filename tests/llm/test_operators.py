@@ -222,6 +222,22 @@ def test_packing(spark, docs, none):
     assert packing.pack(none, path, pattern).count() == 0
 
 
+def test_packing_takes_ids_as_tokenizers(spark):
+    """Added tokens have their own ids, and no text is too much for the splitter."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [f"hello {end} world", end, f"{end}{end}", f"a {end}\n b<|endoftext|", " " * 1_000_000, "\n" * 1_000_000 + "x", "z" * 5000 + end + " tail"]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), *packing.default_files()).collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        want |= {(i, k): (at, n, zlib.crc32(ids[at : at + n].tobytes())) for k, (at, n) in enumerate(packing.cut(len(ids)))}
+    assert got == want
+
+
 def test_crossover_loses_and_doubles_nothing():
     rng = random.Random(1)
     sizes = [rng.randint(1, 1023) for _ in range(300)]
