@@ -159,13 +159,21 @@ def _search_blocks(nearest: int):
                 qx, px = _matrix(q.field("x"), len(qi)), _matrix(p.field("x"), len(pi))
                 score = qx @ px.T
                 score[qi[:, None] == pi[None, :]] = -np.inf
-                k = min(nearest, len(pi))
-                least = np.partition(score, len(pi) - k, 1)[:, len(pi) - k]
+                # rows of one vec_id are one candidate, with the larger score
+                by_id = np.argsort(pi, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(pi[by_id]) != 0))
+                distinct = score if len(first) == len(pi) else np.maximum.reduceat(score[:, by_id], first, 1)
+                n = len(first)
+                k = min(nearest, n)
+                least = np.partition(distinct, n - k, 1)[:, n - k]
                 # all that tie with the last within rounding, by the sum in one fixed order
                 i, j = np.nonzero((score >= least[:, None] - 1e-9 * (1 + np.abs(least[:, None]))) & np.isfinite(score))
                 exact = (qx[i] * px[j]).sum(1)
                 order = np.lexsort((pi[j], -exact, i))
                 i, j, exact = i[order], j[order], exact[order]
+                if n < len(pi):
+                    once = np.sort(np.unique(np.stack([i, pi[j]], 1), axis=0, return_index=True)[1])
+                    i, j, exact = i[once], j[once], exact[once]
                 place = np.arange(len(i)) - np.repeat(np.flatnonzero(np.diff(i, prepend=-1)), np.diff(np.append(np.flatnonzero(np.diff(i, prepend=-1)), len(i)))) if len(i) else i
                 keep = place < k
                 yield rows(schema, qi[i[keep]], pi[j[keep]], exact[keep])
@@ -188,7 +196,9 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, nearest: int = NEAR
     if common is None:
         return vectors.sparkSession.createDataFrame([], types.replace("query_id long,", "query_id long, rank int,"))
     v = v.filter(F.size("x") == common.d)
-    sample = sampled(v, "vec_id", SAMPLE, common.n).toArrow()["x"].combine_chunks()
+    sample = sampled(v, "vec_id", SAMPLE, common.n).toArrow().combine_chunks()
+    # one row of each vec_id: copies of a query's own row are not its neighbours, and would make the ratio narrow
+    sample = sample.take(pa.array(np.sort(np.unique(sample["vec_id"].to_numpy(), return_index=True)[1])))["x"].combine_chunks()
     index = Index(_matrix(sample, len(sample)), common.n, common.longest, nearest)
     posted = pa.schema([("list", pa.int32()), ("vec_id", pa.int64()), ("x", pa.list_(pa.float64()))])
 

@@ -198,6 +198,23 @@ def test_neighbours(spark):
     assert ann.nearest_neighbours(df.filter("vec_id < 3"), F.lit(True)).count() == 6
 
 
+@pytest.mark.parametrize("times", [2, 30])
+def test_neighbours_of_repeated_rows(spark, times):
+    """Rows of one vec_id are one candidate, and take no other's place."""
+    x = np.random.default_rng(5).normal(size=(300, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] * times, "vec_id long, embedding array<double>")
+    found, hits = {}, 0
+    for r in ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(found) == set(range(0, 300, 20))
+    for q, ids in found.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert len(set(ids)) == len(ids) == 20
+        hits += len(set(ids) & set(np.argsort(-score)[:20].tolist()))
+    assert hits / (20 * len(found)) >= 0.9
+
+
 def test_packing(spark, docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
