@@ -13,14 +13,16 @@ takes about as many comparisons as it has members, and yet no link between diffe
 
 Defined results: null and empty texts have empty sets and are linked with nothing; texts of any length
 are taken whole; equal rows are in one class; rows with the same doc_id count as one document that has
-the links of all its texts; an empty table gives no rows; other columns are not looked at.
+the links of all its texts; rows without doc_id count as one document where their texts are equal, which
+has no part in naming a component: a component is named by its least doc_id, null if it has none, and of
+one without any doc_id one text stays; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.llm.common import blocks, lowered, mix, rows, settings, slices, table, texts, words_of, written
@@ -38,6 +40,11 @@ ERRORS = 6
 _SPREAD = np.random.Generator(np.random.PCG64(0x5E75)).integers(1, 1 << 63, (2, max(REGISTERS, SHINGLE)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def key_of(doc_id: Column, text: Column) -> Column:
+    """The doc_id, or where that is null a hash of the text: it meets a doc_id as seldom as two shingles meet."""
+    return F.coalesce(doc_id, F.xxhash64(F.coalesce(text, F.lit(""))))
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each distinct shingle of each document in a block, sorted by document and hash, and its document."""
     starts, _, words = words_of(data)
@@ -74,12 +81,13 @@ def registers(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), identity (of the set) and sketch of each row of doc_id and text; the last two are null for empty sets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("identity", pa.binary()), ("sketch", pa.binary())])
+    """doc_id, absent, n (set size), identity (of the set) and sketch of each row of doc_id, absent and text; the last two are null for empty sets."""
+    schema = pa.schema([("doc_id", pa.int64()), ("absent", pa.bool_()), ("n", pa.int64()), ("identity", pa.binary()), ("sketch", pa.binary())])
 
     def work(batches):
         for b in slices(batches, 500):
-            for ids, data, offsets in blocks(b["doc_id"].to_pylist(), [lowered(x) for x in b["text"].to_pylist()]):
+            for keys, data, offsets in blocks(list(zip(b["doc_id"].to_pylist(), b["absent"].to_pylist(), strict=True)), [lowered(x) for x in b["text"].to_pylist()]):
+                ids, absent = zip(*keys, strict=True)
                 hashes, doc = shingles(data, offsets)
                 sizes, identity, sketch = np.bincount(doc, minlength=len(ids)), [None] * len(ids), [None] * len(ids)
                 if len(doc):
@@ -88,9 +96,9 @@ def sketched(docs: DataFrame) -> DataFrame:
                     regs = registers(hashes, first)
                     for i, d in enumerate(doc[first]):
                         identity[d], sketch[d] = both[i].tobytes(), regs[i].tobytes()
-                yield rows(schema, ids, sizes, identity, sketch)
+                yield rows(schema, ids, absent, sizes, identity, sketch)
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, identity binary, sketch binary")
+    return docs.select("doc_id", "absent", "text").mapInArrow(work, "doc_id long, absent boolean, n long, identity binary, sketch binary")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -252,11 +260,14 @@ def _still_apart(members: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable over links) and kept of each document."""
-    docs = texts(docs)
+def _judged(docs: DataFrame) -> DataFrame:
+    """key (of `key_of`) and the columns of `near_duplicates` of each document; inside, keys are the ids."""
+    named = texts(docs)
+    docs = named.select(key_of(F.col("doc_id"), F.col("text")).alias("doc_id"), "text", F.col("doc_id").isNull().alias("absent"))
     sketches = written(sketched(docs))
-    classes = written(sketches.filter("n > 0").groupBy("identity").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x")).select("identity", F.col("x.doc_id").alias("id"), "x.n", "x.sketch"))
+    # ids come before keys made of texts
+    least = F.min(F.struct("absent", "doc_id", "n", "sketch"))
+    classes = written(sketches.filter("n > 0").groupBy("identity").agg(least.alias("x")).select("identity", F.col("x.doc_id").alias("id"), "x.absent", "x.n", "x.sketch"))
     width = 2 * BAND
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.xxhash64(i, F.substr("sketch", i * width + 1, F.lit(width))))).alias("band")
     buckets = classes.select("id", band)
@@ -268,10 +279,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not members.isEmpty():
         sets = written(sets_of(docs.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")))
         found.settle(promising(_still_apart(members, sets), classes))
-    labels = found.labelled(classes.select("identity", "id")).select("identity", F.col("label").alias("component_id"))
-    done = sketches.select("doc_id", "n", "identity").join(written(labels), "identity", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return done.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    labels = written(found.labelled(classes.select("identity", "id", "absent")).select("identity", "id", "absent", "label"))
+    # a label is the least key of a component; its name the least doc_id
+    name = F.min(F.struct("absent", "id")).alias("name")
+    strange = written(labels.filter("absent").select("label").distinct())
+    named = labels.join(strange, "label", "left_semi").groupBy("label").agg(name).select("label", "name.*")
+    labels = labels.select("identity", "label").join(written(named), "label", "left")
+    labels = labels.select("identity", F.coalesce("id", "label").alias("name"), F.coalesce("absent", F.lit(False)).alias("nameless"))
+    done = sketches.join(written(labels), "identity", "left")
+    name, nameless = F.coalesce("name", "doc_id"), F.coalesce("nameless", "absent")
+    own = lambda c, absent: F.when(~absent, c)
+    return done.select(F.col("doc_id").alias("key"), own(F.col("doc_id"), F.col("absent")).alias("doc_id"), F.col("n").alias("n_shingles"), own(name, nameless).alias("component_id"), (F.col("doc_id") == name).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable over links) and kept of each document."""
+    return _judged(docs).drop("key")
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
@@ -281,6 +304,6 @@ def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The documents, columns as they were, of which one of each group stays: that with the least doc_id."""
-    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = _judged(docs).filter("NOT kept").select(F.col("key").alias("_gone")).distinct()
     d = docs.select(F.struct("*").alias("_row"))
-    return d.join(gone, F.col("_row.doc_id").cast("long") == F.col("_gone"), "left_anti").select("_row.*")
+    return d.join(gone, key_of(F.col("_row.doc_id").cast("long"), F.col("_row.text")) == F.col("_gone"), "left_anti").select("_row.*")

@@ -100,6 +100,24 @@ def test_near_duplicates_of_a_chain(spark):
     assert {i: r.component_id for i, r in by_id(near_dup.near_duplicates(df)).items()} == label
 
 
+def test_near_duplicates_without_doc_id(spark):
+    """A null doc_id names no component, and takes no copy of its text out of the component."""
+    base, near, other, lone = prose(1, 60), prose(1, 60).split(), prose(2, 60), prose(3, 60)
+    near[30] = "changed"
+    changed = other.split()
+    changed[30] = "changed"
+    rows = [(None, base), (7, base), (9, base), (4, " ".join(near)), (None, other), (None, other), (None, " ".join(changed)), (None, lone), (None, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.near_duplicates(df).collect()
+    assert sorted(tuple(r)[::2] + (r.kept,) for r in got if r.doc_id is not None) == [(2, 2, True), (4, 4, True), (7, 4, False), (9, 4, False)]
+    assert sorted((r.component_id or 0, r.n_shingles) for r in got if r.doc_id is None) == [(0, 0), (0, 56), (0, 56), (0, 56), (0, 56), (4, 56)]
+    assert not next(r for r in got if r.doc_id is None and r.component_id == 4).kept
+    kept = [tuple(r) for r in near_dup.representatives(df).collect()]
+    assert {x for x in kept if x[1] in (base, lone, None, "")} | {(4, " ".join(near))} == {(4, " ".join(near)), (None, lone), (None, None), (2, "")}
+    # of texts that are near each other and have no doc_id one stays, all its copies being one document
+    assert len({x for x in kept if x[1] in (other, " ".join(changed))}) == 1 and len(kept) in (5, 6)
+
+
 def test_line_dedup(spark, none):
     rows = [(i, f"own {i}\nCookies \n\n only here {i}", f"s{i}") for i in range(12)] + [(12, None, None), (13, "Cookies", "s1"), (14, "", "s1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
