@@ -32,7 +32,8 @@ WORDS, ENDINGS, SHAPES, SIZE, NONZERO, WINDOW = 4096, 2048, 2048, 32, 4, 2
 UNITS = WORDS + ENDINGS + SHAPES
 MAX_LABELLED, HIDDEN, EPOCHS, CALIBRATION = 20_000, 32, 40, 5
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
-SIGNS = 16  # random signs of a word by which repetition is told, a multiple of 8
+#: The bits of each byte value as eight counters of a byte each, and how many such can be added.
+_BITS, _MOST = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0], 255
 _PART, _SALTS = 256, 32
 _KIND = np.full(256, ord("."), np.uint8)  # letters, capitals, digits; other ASCII stands for itself
 _KIND[:128] = np.arange(128)
@@ -107,6 +108,16 @@ def context_sums(docs: DataFrame) -> np.ndarray:
     return out.reshape(UNITS, SIZE)
 
 
+def sign_sums(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the 64 signs of each hash (bit set: 1, else -1) over the stretches that begin at `first`."""
+    n = np.diff(np.append(first, len(hashes)))
+    chunks = -(-n // _MOST)  # so many chunks of each stretch, in which no counter overflows
+    begin = np.cumsum(chunks) - chunks
+    place = np.arange(chunks.sum()) - np.repeat(begin, chunks)
+    counts = np.add.reduceat(_BITS[hashes.astype("<u8").view(np.uint8).reshape(-1, 8)], np.repeat(first, chunks) + place * _MOST, 0)
+    return 2 * np.add.reduceat(counts.view(np.uint8).reshape(-1, 64), begin, 0, dtype=np.int64) - n[:, None]
+
+
 def features(docs: DataFrame, context: np.ndarray) -> DataFrame:
     """doc_id and x, the pooled vector of each row of doc_id and text."""
     schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float32()))])
@@ -132,8 +143,7 @@ def features(docs: DataFrame, context: np.ndarray) -> DataFrame:
                 for k in range(1, 3):
                     run[:-k] += mix(whole[k:] + np.uint64(k))
                 for j, h in enumerate((whole, run)):
-                    signs = np.unpackbits((mix(h) >> np.uint64(64 - SIGNS)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, : SIGNS // 8], axis=1).astype(np.float32) * 2 - 1
-                    sums = np.add.reduceat(signs, first, 0)
+                    sums = sign_sums(mix(h), first).astype(np.float32)
                     out[has, -5 + j] = np.log1p((sums**2).mean(1) / n[has])
                 stutter = np.zeros(len(whole), np.float32)
                 stutter[1:] = (whole[1:] == whole[:-1]) & (doc[1:] == doc[:-1])

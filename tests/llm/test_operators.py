@@ -328,3 +328,12 @@ def test_quality(spark, none):
     same = quality.classified(df, labels.filter("quality = 1"))
     assert {round(r.score, 9) for r in same.collect()} == {round(same.first().score, 9)}
     assert quality.classified(none, labels).count() == 0
+
+
+def test_repetition_is_told_by_64_signs():
+    rng = np.random.default_rng(6)
+    hashes = rng.integers(0, 1 << 64, 2000, dtype=np.uint64)
+    hashes[700:1500] = (1 << 64) - 1
+    first = np.array([0, 1, 256, 511, 700, 1999])
+    signs = ((hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int64) * 2 - 1
+    assert (quality.sign_sums(hashes, first) == np.add.reduceat(signs, first, 0)).all()
