@@ -123,3 +123,40 @@ def test_generators(spark):
     assert ba.vertices.count() == 200
     assert ba.edges.filter("src = dst").count() == 0
     assert set(pairs(labels.count(labels.wcc(ba)))) == {(1,)}
+
+
+def test_queries_over_all_rows(spark, tmp_path):
+    """Adjacency, round trips and walks take every pair, not those of few lines alone."""
+    from graphweave import catalog
+
+    lines = [(p, (p * 7 + k) % 50) for p in range(1200) for k in range(3)]
+    orders = [(o, o % 90) for o in range(400)]
+    d = str(tmp_path)
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{d}/orders.parquet")
+    run = lambda name: [tuple(r) for r in catalog.QUERIES[name](spark, d).collect()]
+    near = {}
+    for p, s in lines:
+        near.setdefault(2 * p, set()).add(2 * s + 1)
+        near.setdefault(2 * s + 1, set()).add(2 * p)
+    near = {v: sorted(x) for v, x in near.items()}
+    assert sorted(run("adjacency_all")) == sorted((v, len(x), " ".join(map(str, x))) for v, x in near.items())
+    draw = lambda w, k, n: (w * 1103515245 + k * 134775813 + 42 * 69069) % 2147483648 // 256 % n
+    want, steps = [], len(near) // 1000
+    for w in range(1000):
+        at = sorted(near)[draw(w, 0, len(near))]
+        want.append((w, 0, at))
+        for k in range(1, steps + 1):
+            at = near[at][draw(w, k, len(near[at]))]
+            want.append((w, k, at))
+    assert steps == 1 and sorted(run("random_walk_all")) == sorted(want)
+    assert run("random_walk_visits_all") == [(1000 * steps,)]
+    pairs = [(2 * c, 2 * o + 1) for o, c in orders]
+    both = sorted(pairs + [(b, a) for a, b in pairs])
+    place = {}
+    for a, b in both:
+        place.setdefault(a, len(place))
+        place.setdefault(b, len(place))
+    for fmt in ("adjlist", "binedge", "binadj"):
+        assert sorted(run(f"round_trip_{fmt}_all")) == sorted((place[a], place[b]) for a, b in both)
+    assert run("round_trip_edgelist_all")[0][:2] == (490, 800)
