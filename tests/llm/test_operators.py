@@ -233,6 +233,35 @@ def test_neighbours_of_repeated_rows(spark, times):
     assert hits / (20 * len(found)) >= 0.9
 
 
+def test_neighbours_over_many_lists(spark, monkeypatch):
+    """Many lists, blocks and chunks, a list larger than a block, unit vectors in clusters: recall, and how much of the lists is read."""
+    for name, value in (("PER_LIST", 20), ("BLOCKS", 8), ("LEAST_BLOCK", 100), ("MOST_BLOCK", 300), ("CHUNK", 16)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 16))[rng.integers(0, 60, 2000)] + 0.4 * rng.normal(size=(2000, 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x[500:1100] = x[500]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    v, index = ann.fitted(df)
+    assert len(index.centroids) >= 64 and sorted(index.order) == list(range(len(index.centroids)))
+    row, _ = index.probed(x[::20].astype(np.float64), np.ones(len(index.centroids), np.int64), 1)
+    share = np.bincount(row).mean() / len(index.centroids)
+    found = {}
+    for r in ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    y, hits = x.astype(np.float64), 0
+    assert set(found) == set(range(0, 2000, 20))
+    for q, got in found.items():
+        score = y @ y[q]
+        score[q] = -np.inf
+        got.sort()
+        assert [s for _, _, s in got] == pytest.approx([score[i] for _, i, _ in got], abs=1e-12) and len(got) == 20
+        hits += sum(s >= np.sort(score)[-20] - 1e-9 for _, _, s in got)
+    assert hits / (20 * len(found)) >= 0.9 and share < 0.7
+    # of the 600 equal vectors the smallest ids are taken, though they lie in several blocks
+    assert [i for _, i, _ in found[600]] == list(range(500, 520))
+
+
 def test_packing(spark, docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
