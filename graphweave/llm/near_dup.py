@@ -23,18 +23,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphweave.llm.common import blocks, lowered, mix, rows, settings, slices, table, texts, words_of, written
 from graphweave.plans.components import connected_components
+from graphweave.plans.stages import discard
 
 SHINGLE, PERCENT = 5, 75
 #: Registers and those of a band: a pair at the threshold misses every band with probability 5e-6.
 REGISTERS, BAND = 128, 4
 #: The grid's base, the hashes' rate, the last register value.
 BASE, RATE, LIMIT = 1.02, 20.0, (1 << 16) - 2
-#: Cells of the table by which rare shingles are told from common ones.
-CELLS = 1 << 16
+#: Bits of the filter that keeps texts without company from travelling.
+SIEVE = 1 << 25
 #: A pair whose likelihood peaks this many standard errors below the threshold is not verified.
 ERRORS = 6
 _SPREAD = np.random.Generator(np.random.PCG64(0x5E75)).integers(1, 1 << 63, (2, max(REGISTERS, SHINGLE)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -171,8 +173,16 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 class _Links:
     """Links found so far and the components they make."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame):
-        self.docs, self.classes, self.links, self.labels = docs, classes, None, None
+    def __init__(self, classes: DataFrame, sets: DataFrame, links: DataFrame | None):
+        """classes: id, n and sketch; sets: id and items, of the same ids; links: those that hold from the start."""
+        self.classes, self.sets, self.links, self.labels = classes, sets, links, None
+        if links is not None:
+            self._label()
+
+    def _label(self) -> None:
+        if self.labels is not None:
+            discard(self.labels)
+        self.labels = written(connected_components(self.links, "a", "b"))
 
     def labelled(self, nodes: DataFrame) -> DataFrame:
         """The rows with label, the component of their id."""
@@ -184,27 +194,41 @@ class _Links:
         """Adds all links among the pairs that join components: first one pair of each b, then those that two of these do not bridge."""
         if pairs.isEmpty():
             return
-        ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = written(sets_of(self.docs.join(ends, "doc_id", "left_semi")))
         first = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        found = verified(first, sets)
+        found = verified(first, self.sets)
         rest = pairs.join(first, ["a", "b"], "left_anti")
         for x in ("a", "b"):
             hung = found.select(F.col("b").alias(x), F.col("a").alias(f"h{x}"))
             rest = rest.join(hung, x, "left").withColumn(f"h{x}", F.coalesce(f"h{x}", x))
-        found = found.unionByName(verified(rest.filter("ha != hb").select("a", "b"), sets))
+        more = verified(rest.filter("ha != hb").select("a", "b"), self.sets)
+        discard(first)
+        found = found.unionByName(more)
         self.links = found if self.links is None else self.links.unionByName(found)
-        self.labels = written(connected_components(self.links, "a", "b"))
+        self._label()
+
+
+def _bands(classes: DataFrame) -> DataFrame:
+    """band and id: the buckets of each class."""
+    width = 2 * BAND
+    band = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.xxhash64(i, F.substr("sketch", i * width + 1, F.lit(width))))
+    return classes.select("id", F.explode(band).alias("band"))
 
 
-def _leaders(buckets: DataFrame) -> DataFrame:
+def _met(classes: DataFrame) -> DataFrame:
+    """band, id and n (classes in the bucket) of the buckets that hold several. All that follows works on this table, which has no lone classes."""
+    buckets = _bands(classes)
+    sizes = written(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    met = written(buckets.join(sizes, "band"))
+    discard(sizes)
+    return met
+
+
+def _leaders(met: DataFrame) -> DataFrame:
     """Pairs of each bucket's leader and each other class of the bucket.
 
     The leader is the class with most company over all its buckets: of a text and its altered copies,
     the text, which is nearer to the copies than they are to each other.
     """
-    sizes = written(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    met = written(buckets.join(sizes, "band"))
     company = met.groupBy("id").agg(F.sum("n").alias("company"))
     ranked = met.select("band", "id").join(written(company), "id")
     first = written(ranked.groupBy("band").agg(F.min(F.struct(-F.col("company"), F.col("id"))).alias("first")).select("band", F.col("first.id").alias("leader")))
@@ -212,43 +236,57 @@ def _leaders(buckets: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
-def _rarity(sets: DataFrame) -> np.ndarray:
-    """Occurrences of shingles in sets of items, counted in a table of fixed size by hash."""
-    schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
+def _sieve(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids, of fixed size: with very many ids it lets all pass, which costs time alone."""
+    at = F.explode(F.array(*(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(SIEVE)) for k in range(2)))).alias("at")
+    bits = ids.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("bits"))
+    got, out = bits.toArrow(), np.zeros(SIEVE // 64, np.int64)  # SIEVE / 64 rows at most
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out
+
+
+def _sets_of_some(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and items of the documents whose doc_id is among the ids: the texts of few others travel."""
+    sieve = _sieve(ids)
 
     def work(batches):
-        total = np.zeros(CELLS, np.int64)
         for b in batches:
-            for x in b["items"]:
-                total += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        cell = np.flatnonzero(total)
-        yield rows(schema, cell, total[cell])
-
-    out = np.zeros(CELLS, np.int64)
-    for cell, n in sets.mapInArrow(work, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        out[cell] = n
-    return out
+            keep = np.ones(b.num_rows, bool)
+            for k in range(2):
+                at = b[f"at{k}"].to_numpy()
+                keep &= sieve[at >> 6] >> (at & 63) & 1 == 1
+            if keep.any():
+                yield b.select(["doc_id", "text"]).filter(pa.array(keep))
+
+    marks = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(SIEVE)).alias(f"at{k}") for k in range(2)]
+    some = docs.select("doc_id", "text", *marks).mapInArrow(work, "doc_id long, text string")
+    return written(sets_of(some.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")))
 
 
 def _still_apart(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of members (id, label) with different labels whose sets may be similar enough: none that are is missed.
 
     With a set's shingles in one fixed order, rare ones first, two sets that share at least `need`
-    shingles share one among the first |set| - need + 1 of each. An altered copy that is too far from
-    the others has that many shingles of its own, and so meets no other.
+    shingles share one among the first |set| - need + 1 of each. Shingles of one set alone come first and
+    meet nothing, so they are counted but not sent: an altered copy that is too far from the others has
+    so many of its own that nothing of it is left.
     """
-    rarity = _rarity(sets)
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("item", pa.int64()), ("place", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("item", pa.int64())])
 
     def work(batches):
         for b in batches:
             for i, x in zip(b["id"].to_pylist(), b["items"], strict=True):
-                items = np.frombuffer(x.as_buffer(), np.uint64)
-                n = len(items)
-                head = items[np.lexsort((items, rarity[(items % np.uint64(CELLS)).astype(np.int64)]))][: n - -(-PERCENT * n // 100) + 1]
-                yield rows(schema, np.full(len(head), i), np.full(len(head), n), head.view(np.int64), np.arange(len(head)))
-
-    heads = written(sets.mapInArrow(work, "id long, n long, item long, place long").join(members, "id"))
+                items = np.frombuffer(x.as_buffer(), np.int64)
+                yield rows(schema, np.full(len(items), i), np.full(len(items), len(items)), items)
+
+    items = sets.join(members.select("id"), "id", "left_semi").mapInArrow(work, "id long, n long, item long")
+    counts = written(items.groupBy("item").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    shared = items.join(counts, "item")
+    own = W.partitionBy("id")  # no longer than a text
+    place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("m", "item")) - 1
+    heads = shared.withColumn("place", place).filter(f"place <= n - ({PERCENT} * n + 99) div 100")
+    heads = written(heads.select("id", "n", "item", "place").join(members, "id"))
+    discard(counts)
     by_label = heads.groupBy("item", "label").agg(F.count(F.lit(1)).alias("m"))
     most = written(by_label.groupBy("item").agg(F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("m")).filter("m > most.m").select("item", F.col("most.label").alias("top")))
     met = written(heads.join(most, "item"))
@@ -260,6 +298,14 @@ def _still_apart(members: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
+def _same_document(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of classes that hold texts of one doc_id: such a document has the links of all its texts."""
+    several = sketches.filter("n > 0").groupBy("doc_id").agg(F.min("identity").alias("low"), F.max("identity").alias("high")).filter("low != high").select("doc_id")
+    held = sketches.join(written(several), "doc_id", "left_semi").select("doc_id", "identity").join(classes.select("identity", "id"), "identity").select("doc_id", "id").distinct()
+    least = held.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return written(held.join(least, "doc_id").select("a", F.col("id").alias("b")).filter("a != b").distinct())
+
+
 def _judged(docs: DataFrame) -> DataFrame:
     """key (of `key_of`) and the columns of `near_duplicates` of each document; inside, keys are the ids."""
     named = texts(docs)
@@ -268,25 +314,28 @@ def _judged(docs: DataFrame) -> DataFrame:
     # ids come before keys made of texts
     least = F.min(F.struct("absent", "doc_id", "n", "sketch"))
     classes = written(sketches.filter("n > 0").groupBy("identity").agg(least.alias("x")).select("identity", F.col("x.doc_id").alias("id"), "x.absent", "x.n", "x.sketch"))
-    width = 2 * BAND
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.xxhash64(i, F.substr("sketch", i * width + 1, F.lit(width))))).alias("band")
-    buckets = classes.select("id", band)
-    found = _Links(docs, classes)
-    found.settle(promising(_leaders(buckets), classes))
-    marked = found.labelled(buckets)
+    met, same = _met(classes), _same_document(sketches, classes)
+    ids = written(met.select("id").distinct())
+    nodes = written(classes.join(ids, "id", "left_semi").select("id", "n", "sketch"))
+    found = _Links(nodes, _sets_of_some(docs, ids), None if same.isEmpty() else same)
+    pairs = promising(_leaders(met), nodes)
+    found.settle(pairs)
+    marked = found.labelled(met.select("band", "id"))
     mixed = marked.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("n > 2 AND low != high").select("band")
     members = written(marked.join(written(mixed), "band", "left_semi").select("id", "label").distinct())
+    discard(met)
     if not members.isEmpty():
-        sets = written(sets_of(docs.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")))
-        found.settle(promising(_still_apart(members, sets), classes))
+        found.settle(promising(_still_apart(members, found.sets), nodes))
     labels = written(found.labelled(classes.select("identity", "id", "absent")).select("identity", "id", "absent", "label"))
+    for x in (found.sets, nodes, classes):
+        discard(x)
     # a label is the least key of a component; its name the least doc_id
     name = F.min(F.struct("absent", "id")).alias("name")
     strange = written(labels.filter("absent").select("label").distinct())
     named = labels.join(strange, "label", "left_semi").groupBy("label").agg(name).select("label", "name.*")
     labels = labels.select("identity", "label").join(written(named), "label", "left")
     labels = labels.select("identity", F.coalesce("id", "label").alias("name"), F.coalesce("absent", F.lit(False)).alias("nameless"))
-    done = sketches.join(written(labels), "identity", "left")
+    done = sketches.select("doc_id", "absent", "n", "identity").join(written(labels), "identity", "left")
     name, nameless = F.coalesce("name", "doc_id"), F.coalesce("nameless", "absent")
     own = lambda c, absent: F.when(~absent, c)
     return done.select(F.col("doc_id").alias("key"), own(F.col("doc_id"), F.col("absent")).alias("doc_id"), F.col("n").alias("n_shingles"), own(name, nameless).alias("component_id"), (F.col("doc_id") == name).alias("kept"))

@@ -118,6 +118,17 @@ def test_near_duplicates_without_doc_id(spark):
     assert len({x for x in kept if x[1] in (other, " ".join(changed))}) == 1 and len(kept) in (5, 6)
 
 
+def test_near_duplicates_of_repeated_doc_ids(spark):
+    """A doc_id with several texts is one document with the links of all of them."""
+    a, b = prose(1, 60), prose(2, 60)
+    near = b.split()
+    near[30] = "changed"
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (7, " ".join(near)), (9, prose(3, 60)), (9, prose(3, 60)), (1, None), (9, "")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept, r.n_shingles) for r in near_dup.near_duplicates(df).collect())
+    assert got == [(1, 1, True, 0), (3, 3, True, 56), (5, 3, False, 56), (5, 3, False, 56), (7, 3, False, 56), (7, 3, False, 56), (9, 9, True, 0), (9, 9, True, 56), (9, 9, True, 56)]
+    assert {r.doc_id for r in near_dup.representatives(df).collect()} == {1, 3, 9}
+
+
 def test_line_dedup(spark, none):
     rows = [(i, f"own {i}\nCookies \n\n only here {i}", f"s{i}") for i in range(12)] + [(12, None, None), (13, "Cookies", "s1"), (14, "", "s1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
