@@ -1,287 +1,417 @@
 """A hashed maximum-entropy language model, trained and scored over whole corpora.
 
-A token's probability is that of its class given the two classes before it, times that of the token in
-its class. The most frequent tokens are classes of their own; all others, unseen ones too, fall into
-classes by their last two bytes. The class model is a softmax over the sum of the weight rows of the
-active features: bias, bigram, skip-bigram and a trigram hashed to a bounded number of rows. A context
-is a pair of classes, so training tokens with the same context have the same features: counting
-(context, class) over all training tokens, which Spark does, gives the exact gradient of the
-likelihood of all of them. Each update sums the gradients of the shards of those counts. In a class
-tokens have their add-one relative frequency.
-
-Words of the whole corpus are counted by shuffle. The `HOT` most frequent, a bounded number, go to the
-tasks; what a document holds beside them is joined by shuffle.
+A token's probability is that of its class given the words before it, times that of the token in its
+class given the word before it; both factors are softmaxes over weighted features.
+
+- Classes: the most frequent tokens are classes of their own; all others, unseen ones too, fall into
+  classes by their last two bytes. The features of a class are the last word, the word before it (a skip
+  bigram) and both together, each hashed to a row of weights. The training documents are dealt to as
+  many parts as there are updates. In each update the tasks sum observed and expected counts of every
+  weight over a part, a shuffle adds them up, and the weights move along the gradient, scaled by the
+  expected counts and damped by a logarithm. Every training token is seen by one update.
+- Words in a class: a word's weight is its add-one frequency; on top of it every pair of frequent words
+  that follow each other at least `LEAST` times has a weight of its own. Such pairs are counted by
+  shuffle, so their number grows with the corpus. A pair's weight depends on the counts of its own context
+  (word before, class) alone, so contexts are dealt to tasks that update the weights of all their pairs
+  until expected meet observed counts, less an L1 penalty. Words without a weight keep their share.
+
+Texts are read twice: to count words, and to encode them by the `HOT` most frequent words, which are two
+bytes a token. All else works on the codes. Pair weights and the counts of rare words are joined by
+shuffle with the documents that hold them; only what has a fixed bound goes to tasks: hot words, rows of
+class weights, a normaliser for each context. Words are told by hashes of 63 bits.
 
 Defined results: a null or empty text is the end token alone; rows with the same doc_id are scored each
-by itself; without training documents all counts are 0 and classes are equally likely; an empty table
-gives no rows; other columns are not looked at.
+by itself; a null doc_id counts as an empty text when documents are dealt; without training documents all
+counts are 0 and classes are equally likely; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import lowered, mix, rows, slices, table, texts, written
+from graphweave.llm.common import blocks, lowered, mix, rows, sampled, slices, table, texts, words_of, written
+from graphweave.plans.stages import discard
 
-#: Classes of one frequent token each, classes by ending, rows for hashed trigrams, words that tasks hold, updates, step and penalty.
-FREQUENT, ENDINGS, TRIGRAMS, HOT, UPDATES, STEP, PENALTY = 48, 48, 4096, 1 << 16, 10, 0.6, 1.0
+#: Classes of one frequent token each, classes by ending.
+FREQUENT, ENDINGS = 48, 48
 CLASSES = FREQUENT + ENDINGS
-_START = CLASSES  # the class before the first token
-_CONTEXTS = (CLASSES + 1) ** 2
-END = b""  # no word is empty
+#: Codes of two bytes: hot words, then the rare ones of each ending; the code before the first token.
+HOT, RARE, START = (1 << 16) - ENDINGS, (1 << 16) - ENDINGS, 1 << 16
+#: Rows of words (the most frequent have their own, the rest is hashed to `SHARED` of them) and of two words.
+WORD_ROWS, SHARED, PAIR_ROWS = 2048, 512, 4096
+N_ROWS = 1 + 2 * (WORD_ROWS + 1) + PAIR_ROWS
+#: Updates (and parts) of the class weights, their step, what smooths observed and expected counts.
+UPDATES, STEP, SMOOTH = 6, 0.5, 1.0
+#: Occurrences from which a pair has a weight, the penalty on it, updates of pair weights.
+LEAST, PENALTY, PAIR_UPDATES = 2, 0.6, 12
+#: Tokens of which a task sums up counts before it sends them, and whose classes are computed at once.
+FLUSH, DENSE = 4_000_000, 1 << 15
 FOLDS, HELD_OUT = 7, 2
+_TOP = np.uint64(1 << 63)  # set in all word hashes, in no pair
+_END = np.array([0xE0D], np.uint64) | _TOP
+_WORD_BITS, _CLASS_BITS = 17, 7
+_ANY_RARE = 1 << 16  # stands for all rare words of a class
 
 
 def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
-def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
-    """word (binary, lower case; the end token is empty) and c, over all rows of doc_id and text."""
-    schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
+def tokens(batches):
+    """Batches of 500 rows of text: batch rows, tokens of each, hashes and endings of all tokens. A row's last token is the end."""
+    for b in slices(batches, 500):
+        for places, data, offsets in blocks(list(range(b.num_rows)), [lowered(x) for x in b["text"].to_pylist()]):
+            starts, ends, words = words_of(data)
+            doc = np.searchsorted(offsets, starts, "right") - 1
+            n = np.bincount(doc, minlength=len(places)) + 1
+            hashes, ending = np.full(n.sum(), _END[0]), np.zeros(n.sum(), np.uint8)
+            at = np.arange(len(words)) + doc
+            hashes[at] = words | _TOP
+            second = np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)].astype(np.uint64), np.uint64(0))
+            ending[at] = mix(data[np.maximum(ends - 1, 0)].astype(np.uint64) * np.uint64(257) + second) % np.uint64(ENDINGS)
+            yield b, np.array(places), n, hashes, ending
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word (hash), ending and c of each word of rows of text, the end included."""
+    schema = pa.schema([("word", pa.int64()), ("ending", pa.int32()), ("c", pa.int64())])
 
     def work(batches):
-        seen: Counter = Counter()
-        for b in slices(batches, 500):
-            for text in b["text"].to_pylist():
-                seen.update(lowered(text).split())
-            seen[END] += b.num_rows
-            if len(seen) > most:
-                yield rows(schema, list(seen), list(seen.values()))
-                seen.clear()
-        if seen:
-            yield rows(schema, list(seen), list(seen.values()))
+        held, size = [], 0
+
+        def counted():
+            words, ending = (np.concatenate(x) for x in zip(*held, strict=True))
+            word, first, c = np.unique(words, return_index=True, return_counts=True)
+            return rows(schema, word.view(np.int64), ending[first], c)
 
-    return docs.select("text").mapInArrow(work, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+        for _, _, _, hashes, ending in tokens(batches):
+            held.append((hashes, ending))
+            size += len(hashes)
+            if size >= FLUSH:
+                yield counted()
+                held, size = [], 0
+        if held:
+            yield counted()
 
+    found = docs.select("text").mapInArrow(work, "word long, ending int, c long")
+    return found.groupBy("word").agg(F.first("ending").alias("ending"), F.sum("c").alias("c"))
 
-def hot_words(counts: DataFrame) -> list[tuple[bytes, int]]:
-    """The most frequent words and their counts, `HOT` at most, found by a histogram so that tasks send no more than that in all."""
+
+def hot_words(counts: DataFrame) -> list[tuple[int, int, int]]:
+    """word, ending and c of the most frequent words, `HOT` at most, found by a histogram so that tasks send no more than that in all."""
     level = F.floor(F.log2("c") * 32)
     sizes = sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
-    taken, least = 0, None
+    taken, found = 0, []
     for k, n in sizes:
-        if taken + n > HOT:
+        if taken + n > HOT:  # of a level that does not fit whole, words of smallest hash
+            found += sampled(counts.filter(level == k), "word", HOT - taken, n).collect() if taken < HOT else []
             break
         taken, least = taken + n, k
-    if least is None:
-        return []
-    return sorted(((bytes(w), c) for w, c in counts.filter(level >= least).collect()), key=lambda x: (-x[1], x[0]))
-
-
-def ending_class(word: bytes) -> int:
-    return FREQUENT + zlib.crc32(word[-2:]) % ENDINGS
+    if taken:
+        found += counts.filter(level >= least).collect()
+    return sorted(((w, e, c) for w, e, c in found), key=lambda x: (-x[2], x[0]))
 
 
 class Lexicon:
-    """The hot words: their places, classes and logarithms of count + 1."""
+    """The hot words: their codes, classes, rows and logarithms of count + 1."""
+
+    def __init__(self, hot: list[tuple[int, int, int]]):
+        word, ending, c = (np.array(x, np.int64) for x in (zip(*hot, strict=True) if hot else ((), (), ())))
+        order = np.argsort(word.view(np.uint64))
+        self.words, self.codes, self.n = word.view(np.uint64)[order], order, len(hot)
+        self.class_of = np.zeros(START + 1, np.int64)
+        self.class_of[:RARE] = np.where(np.arange(RARE) < FREQUENT, np.arange(RARE) % FREQUENT, 0)
+        self.class_of[FREQUENT : self.n] = FREQUENT + ending[FREQUENT:]
+        self.class_of[RARE:START] = FREQUENT + np.arange(ENDINGS)
+        code = np.arange(START + 1)
+        own = WORD_ROWS - SHARED
+        self.row_of = np.where(code < own, code, own + (mix(code.astype(np.uint64)) % np.uint64(SHARED)).astype(np.int64))
+        self.row_of[START] = WORD_ROWS
+        self.count = np.zeros(START + 1)
+        self.count[: self.n] = c
+        self.log = np.log10(self.count + 1)
+
+    def read(self, hashes: np.ndarray, ending: np.ndarray) -> np.ndarray:
+        if not self.n:
+            return (RARE + ending.astype(np.int64)).astype(np.uint16)
+        at = np.minimum(np.searchsorted(self.words, hashes), self.n - 1)
+        return np.where(self.words[at] == hashes, self.codes[at], RARE + ending.astype(np.int64)).astype(np.uint16)
+
+
+def encoded(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """doc (a number of the row), doc_id, held_out, part, codes (two bytes a token) and rare (hashes of the rare words in their order)."""
+    schema = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("part", pa.int32()), ("codes", pa.binary()), ("rare", pa.binary())])
 
-    def __init__(self, hot: list[tuple[bytes, int]]):
-        self.place = {w: i for i, (w, _) in enumerate(hot)}
-        self.frequent = {w: i for i, (w, _) in enumerate(hot[:FREQUENT])}
-        self.classes = np.array([self.class_of(w) for w, _ in hot] or [0], np.int64)
-        self.log = np.log10(np.array([c for _, c in hot] or [0]) + 1.0)
+    def work(batches):
+        for b, places, n, hashes, ending in tokens(batches):
+            codes = lexicon.read(hashes, ending)
+            ends = np.cumsum(n)
+            rare = codes >= RARE
+            left, before = hashes[rare], np.concatenate([[0], np.cumsum(rare)])
+            cut = lambda x, at: [x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+            at = np.concatenate([[0], ends])
+            own = b.take(pa.array(places))
+            yield rows(schema, own["doc"], own["doc_id"], own["held_out"], own["part"], cut(codes, at), cut(left, before[at]))
+
+    d = docs.withColumn("doc", F.monotonically_increasing_id()).withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(UPDATES)).cast("int"))
+    return d.select("doc", "doc_id", "held_out", "part", "text").mapInArrow(work, "doc long, doc_id long, held_out boolean, part int, codes binary, rare binary")
+
+
+def _read(batches, *columns: str):
+    """Batches of documents with tokens: the columns, the first token's place of each document, codes of all."""
+    for b in slices(batches, 1000):
+        if b.num_rows:
+            sizes = pa.compute.binary_length(b["codes"]).to_numpy() // 2
+            codes = np.frombuffer(b"".join(b["codes"].to_pylist()), np.uint16).astype(np.int64)
+            yield tuple(b[c] for c in columns), np.cumsum(sizes) - sizes, sizes, codes
+
+
+def before(codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes one and two before each token, START where a document has none."""
+    one = np.concatenate([[START], codes[:-1]])
+    one[begin] = START
+    two = np.concatenate([[START], one[:-1]])
+    two[begin] = START
+    return one, two
+
+
+def feature_rows(lexicon: Lexicon, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
+    """The weight rows active beside row 0, the bias: last word, word before it, both hashed."""
+    one, two = lexicon.row_of[one], lexicon.row_of[two]
+    both = mix((one * (WORD_ROWS + 1) + two).astype(np.uint64)) % np.uint64(PAIR_ROWS)
+    return [1 + one, 2 + WORD_ROWS + two, 3 + 2 * WORD_ROWS + both.astype(np.int64)]
+
+
+def log_probabilities(weights: np.ndarray, active: list[np.ndarray]) -> np.ndarray:
+    """Natural logarithms of the probabilities of all classes."""
+    z = weights[active[0]]
+    for x in active[1:]:
+        z += weights[x]
+    z += weights[0]
+    z -= z.max(1, keepdims=True)
+    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    return z
 
-    def class_of(self, word: bytes) -> int:
-        k = self.frequent.get(word)
-        return ending_class(word) if k is None else k
 
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Place (-1: not hot) and class of each word."""
-        place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
-        classes = self.classes[place]
-        for i in np.flatnonzero(place < 0):
-            classes[i] = ending_class(words[i])
-        return place, classes
+def _counts(coded: DataFrame, lexicon: Lexicon, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Observed and expected counts of each weight over the documents, added up by shuffle."""
+    schema, salts, width = pa.schema([("block", pa.int32()), ("salt", pa.int32()), ("sums", pa.binary())]), 16, 512
 
+    def work(batches):
+        observed, expected, seen = np.zeros(N_ROWS * CLASSES), np.zeros((N_ROWS, CLASSES), np.float32), 0
+        for _, begin, _, codes in _read(batches):
+            one, two = before(codes, begin)
+            seen += len(codes)
+            for i in range(0, len(codes), DENSE):
+                part = slice(i, i + DENSE)
+                active, of = feature_rows(lexicon, one[part], two[part]), lexicon.class_of[codes[part]]
+                p = np.exp(log_probabilities(weights, active))
+                expected[0] += p.sum(0)
+                observed += np.bincount(np.concatenate([x * CLASSES + of for x in (0, *active)]), minlength=len(observed))
+                for x in active:
+                    order = np.argsort(x.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
+                    first = np.flatnonzero(np.diff(x[order], prepend=-1))
+                    expected[x[order[first]]] += np.add.reduceat(p[order], first, 0)
+        if seen:
+            both = np.stack([observed.reshape(N_ROWS, CLASSES).astype(np.float32), expected], 1)
+            parts = [both[i : i + width] for i in range(0, N_ROWS, width)]
+            keep = [k for k, x in enumerate(parts) if x.any()]
+            yield rows(schema, keep, [seen % salts] * len(keep), [parts[k].astype("<f4").tobytes() for k in keep])
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, "<f4").astype(np.float64) for x in pdf["sums"])
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "salt": pdf["salt"].iloc[:1] * 0, "sums": [total.astype("<f4").tobytes()]})
+
+    types = "block int, salt int, sums binary"
+    found = coded.mapInArrow(work, types).groupBy("block", "salt").applyInPandas(added, types).groupBy("block").applyInPandas(added, types)
+    out = np.zeros((N_ROWS, 2, CLASSES))
+    for block, _, sums in found.collect():  # N_ROWS rows, whatever the corpus
+        x = np.frombuffer(sums, "<f4").reshape(-1, 2, CLASSES)
+        out[block * width : block * width + len(x)] = x
+    return out[:, 0], out[:, 1]
+
+
+def trained(coded: DataFrame, lexicon: Lexicon, of: np.ndarray) -> np.ndarray:
+    """Weights (rows, classes) after `UPDATES` updates, each over its part of the documents; `of` has the tokens of each class."""
+    weights = np.zeros((N_ROWS, CLASSES), np.float32)
+    weights[0] = np.log((of + 1) / (of + 1).sum())
+    tasks = max(1, coded.rdd.getNumPartitions() // UPDATES)
+    for k in range(UPDATES):
+        observed, expected = _counts(coded.filter(F.col("part") == k).select("codes").coalesce(tasks), lexicon, weights)
+        weights[1:] += STEP * np.log((observed[1:] + SMOOTH) / (expected[1:] + SMOOTH))
+    return weights
 
-def contexts(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Context of each token of documents put together; `first` marks the first token of each."""
-    one = np.concatenate([[_START], classes[:-1]])
-    one[first] = _START
-    two = np.concatenate([[_START], one[:-1]])
-    two[first] = _START
-    return one * (CLASSES + 1) + two
 
+def pairs_of(lexicon: Lexicon, codes: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Of each token the pair with the word before it: that word, the token's class, the token (all rare ones are one); -1 without a hot word before it."""
+    word = np.where(codes < RARE, codes, _ANY_RARE)
+    key = (one << _CLASS_BITS | lexicon.class_of[codes]) << _WORD_BITS | word
+    return np.where(one < RARE, key, -1)
 
-def feature_rows(context: np.ndarray) -> np.ndarray:
-    """The weight rows active in each context: bias, bigram, skip-bigram, hashed trigram."""
-    one, two = np.divmod(context, CLASSES + 1)
-    n = CLASSES + 1
-    hashed = (mix(context.astype(np.uint64)) % np.uint64(TRIGRAMS)).astype(np.int64)
-    return np.stack([np.zeros_like(one), 1 + one, 1 + n + two, 1 + 2 * n + hashed], 1)
 
+def pair_counts(coded: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """key and n of each pair."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
-N_ROWS = 1 + 2 * (CLASSES + 1) + TRIGRAMS
+    def work(batches):
+        held, size = [], 0
+        for _, begin, _, codes in _read(batches):
+            key = pairs_of(lexicon, codes, before(codes, begin)[0])
+            held.append(key[key >= 0])
+            size += len(held[-1])
+            if size >= FLUSH:
+                yield rows(schema, *np.unique(np.concatenate(held), return_counts=True))
+                held, size = [], 0
+        if held:
+            yield rows(schema, *np.unique(np.concatenate(held), return_counts=True))
 
+    return coded.select("codes").mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
-def log_probabilities(weights: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the probabilities of all classes in each context."""
-    z = weights[feature_rows(context)].sum(1)
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
 
+def fitted_pairs(key: np.ndarray, n: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys and weights of the pairs of whole contexts (keys sorted), contexts and logarithms of their normalisers, all to base 10.
 
-def class_counts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """cell (context * CLASSES + class) and n over all tokens of rows of text."""
-    schema = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
+    share: of each key's word in its class, by frequency alone.
+    """
+    context = key >> _WORD_BITS
+    first = np.flatnonzero(np.diff(context, prepend=-1))
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+    total = np.add.reduceat(n, first).astype(np.float64)
+    own = (key & ((1 << _WORD_BITS) - 1) < RARE) & (n >= LEAST)
+    key, n, share, group = key[own], n[own].astype(np.float64), share[own], group[own]
+    weight = np.zeros(len(key))
+    normaliser = lambda: 1 + np.bincount(group, share * (np.exp(weight) - 1), len(first))
+    for _ in range(PAIR_UPDATES):
+        expected = total[group] * share * np.exp(weight) / normaliser()[group]
+        weight += np.log((n - PENALTY) / expected)
+    z = np.log10(normaliser())
+    has = np.bincount(group, minlength=len(first)) > 0
+    return key, weight / math.log(10), context[first[has]], z[has]
+
+
+def pair_weights(counts: DataFrame, lexicon: Lexicon, mass: np.ndarray) -> DataFrame:
+    """key and value: of each pair its weight; of each context, as -1 - context, its normaliser. A context has at most as many pairs as a class has hot words."""
+    schema = pa.schema([("key", pa.int64()), ("value", pa.float64())])
 
     def work(batches):
-        total = np.zeros(_CONTEXTS * CLASSES, np.int64)
-        for b in slices(batches, 500):
-            cells = []
-            for text in b["text"].to_pylist():
-                words = lowered(text).split()
-                words.append(END)
-                classes = lexicon.read(words)[1]
-                first = np.zeros(len(words), bool)
-                first[0] = True
-                cells.append(contexts(classes, first) * CLASSES + classes)
-            if cells:
-                cell, n = np.unique(np.concatenate(cells), return_counts=True)
-                total[cell] += n
-        cell = np.flatnonzero(total)
-        for i in range(0, len(cell), 100_000):
-            yield rows(schema, cell[i : i + 100_000], total[cell[i : i + 100_000]])
-
-    return docs.select("text").mapInArrow(work, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-
-
-def _gradient(cells: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Gradient of the log likelihood, expected counts of each weight, and the log likelihood, summed over shards."""
-    schema = pa.schema([("gradient", pa.binary()), ("expected", pa.binary()), ("likelihood", pa.float64())])
+        def done(key, n):
+            word, of = key & ((1 << _WORD_BITS) - 1), key >> _WORD_BITS & ((1 << _CLASS_BITS) - 1)
+            key, weight, context, z = fitted_pairs(key, n, (lexicon.count[word] + 1) / (mass[of] + 1))
+            return rows(schema, np.concatenate([key, -1 - context]), np.concatenate([weight, z]))
+
+        held, size = [], 0
+        for b in batches:
+            key, n = b["key"].to_numpy(), b["n"].to_numpy()
+            held.append((key, n))
+            size += len(key)
+            if size < 200_000:
+                continue
+            key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            last = np.searchsorted(key, key[-1] >> _WORD_BITS << _WORD_BITS)  # the last context may go on
+            if last:
+                yield done(key[:last], n[:last])
+            held, size = [(key[last:], n[last:])], len(key) - last
+        if size:
+            yield done(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    def work(batches):
-        got = [(b["cell"].to_numpy(), b["n"].to_numpy()) for b in batches]
-        if not got:
-            return
-        cell, n = (np.concatenate(x) for x in zip(*got, strict=True))
-        context, place = np.unique(cell // CLASSES, return_inverse=True)
-        observed = np.zeros((len(context), CLASSES))
-        observed[place, cell % CLASSES] = n
-        log_p = log_probabilities(weights, context)
-        expected = np.exp(log_p) * observed.sum(1, keepdims=True)
-        active = feature_rows(context)
-        sums = np.zeros((2, N_ROWS, CLASSES))
-        for k in range(active.shape[1]):
-            np.add.at(sums[0], active[:, k], observed - expected)
-            np.add.at(sums[1], active[:, k], expected)
-        yield rows(schema, [sums[0].astype(np.float32).tobytes()], [sums[1].astype(np.float32).tobytes()], [float((log_p * observed).sum())])
-
-    gradient, expected, likelihood = np.zeros((N_ROWS, CLASSES)), np.zeros((N_ROWS, CLASSES)), 0.0
-    for row in cells.mapInArrow(work, "gradient binary, expected binary, likelihood double").toLocalIterator():
-        gradient += np.frombuffer(row[0], np.float32).reshape(gradient.shape)
-        expected += np.frombuffer(row[1], np.float32).reshape(gradient.shape)
-        likelihood += row[2]
-    return gradient, expected, likelihood
-
-
-def trained(docs: DataFrame, lexicon: Lexicon, trace: list | None = None) -> np.ndarray:
-    """The class model's weights (rows, classes) after `UPDATES` gradient updates over all tokens.
-
-    The counts have at most _CONTEXTS * CLASSES cells whatever the corpus, so a few shards hold them.
-    """
-    cells = written(written(class_counts(docs, lexicon)).coalesce(4))
-    weights, speed = np.zeros((N_ROWS, CLASSES), np.float32), np.zeros((N_ROWS, CLASSES))
-    of = np.zeros(CLASSES)
-    for k, n in cells.groupBy((F.col("cell") % CLASSES).alias("k")).agg(F.sum("n")).collect():
-        of[k] = n
-    weights[0] = np.log((of + 1) / (of + 1).sum())
-    for _ in range(UPDATES):
-        gradient, expected, likelihood = _gradient(cells, weights)
-        if trace is not None:
-            trace.append(likelihood)
-        # a weight's curvature is about its expected count; several features share each token
-        speed = 0.5 * speed + STEP * np.clip((gradient - PENALTY * weights) / (expected + 4 * PENALTY), -1, 1)
-        speed[0] = 0
-        weights = (weights + speed).astype(np.float32)
-    return weights
+    dealt = counts.repartition(F.shiftright("key", _WORD_BITS)).sortWithinPartitions("key")
+    return dealt.mapInArrow(work, "key long, value double")
 
 
 class Model:
-    """All that a task needs to score: hot words, class weights, sizes of classes, totals."""
+    """All that a task needs to score, but for pairs and rare words: hot words, class weights, sizes of classes, normalisers of contexts, totals."""
 
-    def __init__(self, lexicon: Lexicon, weights: np.ndarray, mass: np.ndarray, total: int, distinct: int):
-        self.lexicon, self.weights, self.total, self.distinct = lexicon, weights, total, distinct
+    def __init__(self, lexicon: Lexicon, weights: np.ndarray, mass: np.ndarray, normalisers: np.ndarray, total: int, distinct: int):
+        self.lexicon, self.weights, self.normalisers, self.total, self.distinct = lexicon, weights, normalisers, total, distinct
         self.in_class = np.log10(mass + 1.0)
 
 
-def fit(docs: DataFrame, trace: list | None = None) -> tuple[Model, DataFrame]:
-    """The model of all rows of doc_id and text, and the table of their word counts."""
-    counts = written(word_counts(docs))
+def fit(coded: DataFrame, counts: DataFrame, lexicon: Lexicon) -> tuple[Model, DataFrame]:
+    """The model of the encoded training documents and their word counts, and the table of pair weights (key, value)."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    hot = hot_words(counts)
-    lexicon = Lexicon(hot)
-    frequent = [w for w, _ in hot[:FREQUENT]]
-    ending = F.crc32(F.substring("word", -2, 2)) % ENDINGS
-    mass = np.zeros(CLASSES)  # tokens and distinct words of each class
-    for k, n in counts.filter(~F.col("word").isin(frequent)).groupBy(ending.alias("k")).agg(F.sum("c") + F.count(F.lit(1))).collect():
-        mass[FREQUENT + k] = n
-    for i, (_, c) in enumerate(hot[:FREQUENT]):
-        mass[i] = c + 1
-    return Model(lexicon, trained(docs, lexicon, trace), mass, total, distinct), counts
-
-
-def _scored(docs: DataFrame, model: Model) -> DataFrame:
-    """Per document what hot words and classes give, and its other words with their frequencies."""
-    types = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>"
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
+    mass, of = np.zeros(CLASSES), np.zeros(CLASSES)  # tokens and distinct words of each class; tokens
+    frequent = [int(x) for x in lexicon.words.view(np.int64)[lexicon.codes < FREQUENT]]
+    for k, c, n in counts.filter(~F.col("word").isin(frequent)).groupBy("ending").agg(F.sum("c"), F.count(F.lit(1))).collect():
+        mass[FREQUENT + k], of[FREQUENT + k] = c + n, c
+    known = min(FREQUENT, lexicon.n)
+    mass[:known], of[:known] = lexicon.count[:known] + 1, lexicon.count[:known]
+    weights = trained(coded, lexicon, of)
+    paired = written(pair_counts(coded, lexicon))
+    pairs = written(pair_weights(paired, lexicon, mass))
+    discard(paired)
+    normalisers = np.zeros((START + 1, CLASSES), np.float32)
+    # HOT * CLASSES rows at most
+    z = pairs.filter("key < 0").select((-1 - F.col("key")).cast("int").alias("context"), F.col("value").cast("float").alias("z")).toArrow()
+    normalisers[z["context"].to_numpy() >> _CLASS_BITS, z["context"].to_numpy() & ((1 << _CLASS_BITS) - 1)] = z["z"].to_numpy()
+    return Model(lexicon, weights, mass, normalisers, total, distinct), pairs.filter("key >= 0")
+
+
+def _scored(coded: DataFrame, model: Model) -> DataFrame:
+    """Per document what hot words, classes and contexts give."""
+    types = "doc long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+    schema = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
     every = math.log10(model.total + model.distinct + 1)
 
     def work(batches):
         lexicon = model.lexicon
-        for b in slices(batches, 200):
-            texts_, sizes, classes, known, logs, rare = b["text"].to_pylist(), [], [], [], [], []
-            for text in texts_:
-                words = lowered(text).split()
-                words.append(END)
-                place, of = lexicon.read(words)
-                hot = place >= 0
-                sizes.append(len(words))
-                classes.append(of)
-                known.append(int(hot.sum()))
-                logs.append(float(lexicon.log[place[hot]].sum()))
-                rare.append(Counter(words[i] for i in np.flatnonzero(~hot)))
-            if not sizes:
-                continue
-            sizes, of = np.array(sizes), np.concatenate(classes)
-            begin = np.cumsum(sizes) - sizes
-            first = np.zeros(len(of), bool)
-            first[begin] = True
-            context, place = np.unique(contexts(of, first), return_inverse=True)
-            log_p = log_probabilities(model.weights, context)[place, of] / math.log(10) - model.in_class[of]
-            by_class = np.add.reduceat(log_p, begin)
-            yield rows(schema, b["doc_id"], b["held_out"], sizes, known, np.array(logs) - sizes * every, np.array(logs) + by_class, [list(x) for x in rare], [list(x.values()) for x in rare])
+        for columns, begin, sizes, codes in _read(batches, "doc", "doc_id", "held_out"):
+            one, two = before(codes, begin)
+            of = lexicon.class_of[codes]
+            value = np.empty(len(codes))
+            for i in range(0, len(codes), DENSE):
+                part = slice(i, i + DENSE)
+                log_p = log_probabilities(model.weights, feature_rows(lexicon, one[part], two[part]))
+                value[part] = log_p[np.arange(len(log_p)), of[part]] / math.log(10)
+            value -= model.in_class[of] + model.normalisers[one, of]
+            base = np.add.reduceat(lexicon.log[codes], begin)
+            yield rows(schema, *columns, sizes, np.add.reduceat((codes < RARE).astype(np.int64), begin), base - sizes * every, base + np.add.reduceat(value, begin))
+
+    return coded.select("doc", "doc_id", "held_out", "codes").mapInArrow(work, types)
+
+
+def _asked(coded: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """key and doc of each pair of hot words and each rare word of each document."""
+    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64())])
+
+    def work(batches):
+        for (doc, rare), begin, sizes, codes in _read(batches, "doc", "rare"):
+            doc, n = doc.to_numpy(), pa.compute.binary_length(rare).to_numpy() // 8
+            key = pairs_of(lexicon, codes, before(codes, begin)[0])
+            some = (key >= 0) & (codes < RARE)
+            yield rows(schema, np.concatenate([key[some], np.frombuffer(b"".join(rare.to_pylist()), np.int64)]), np.concatenate([np.repeat(doc, sizes)[some], np.repeat(doc, n)]))
 
-    return docs.mapInArrow(work, types)
+    return coded.select("doc", "codes", "rare").mapInArrow(work, "key long, doc long")
 
 
 def scores(docs: DataFrame, train: Column) -> DataFrame:
     """Scores of all documents by the model and by add-one word frequencies, both learnt from those where `train` holds."""
     d = texts(docs).withColumn("held_out", ~train)
-    model, counts = fit(d.filter(train).select("doc_id", "text"))
-    part = written(_scored(d, model).withColumn("key", F.monotonically_increasing_id()))
-    rare = part.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
-    found = rare.join(counts, "word").select("key", F.col("n").cast("long").alias("n_known"), (F.col("n") * F.log10(F.col("c") + 1.0)).alias("logs"))
-    more = found.groupBy("key").agg(F.sum("n_known").alias("more_known"), F.sum("logs").alias("logs"))
-    done = part.join(more, "key", "left")
-    logs = F.coalesce("logs", F.lit(0.0))
+    counts = written(word_counts(d.filter(train)))
+    lexicon = Lexicon(hot_words(counts))
+    coded = written(encoded(d, lexicon))
+    model, pairs = fit(coded.filter("NOT held_out"), counts, lexicon)
+    part = written(_scored(coded, model))
+    zero = F.lit(0.0)
+    known = pairs.select("key", zero.alias("logs"), F.col("value").alias("gain"), F.lit(0).alias("known")).unionByName(counts.select(F.col("word").alias("key"), F.log10(F.col("c") + 1.0).alias("logs"), zero.alias("gain"), F.lit(1).alias("known")))
+    # keys are distinct on this side: it is the one to hash, however often a key is asked for
+    found = _asked(coded, lexicon).join(known.hint("shuffle_hash"), "key")
+    more = found.groupBy("doc").agg(F.sum("known").alias("more"), F.sum("logs").alias("logs"), F.sum("gain").alias("gain"))
+    done = part.join(more, "doc", "left")
+    logs = F.coalesce("logs", zero)
     return done.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("base") + logs).alias("base_score"),
-        (F.col("score") + logs).alias("score"),
+        (F.col("score") + logs + F.coalesce("gain", zero)).alias("score"),
     )
 
 

@@ -141,7 +141,10 @@ def test_line_dedup(spark, none):
     assert lines.dedup_lines(none).count() == 0
 
 
-def test_lm(spark, docs, none):
+@pytest.mark.parametrize("hot", [lm.HOT, 30, 0])
+def test_lm(spark, docs, none, monkeypatch, hot):
+    """Counts and base against plain Python; with few hot words most are counted through the join."""
+    monkeypatch.setattr(lm, "HOT", hot)
     got = by_id(lm.scores(docs, ~lm.held_out()))
     train = Counter()
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in corpus()}
@@ -154,15 +157,72 @@ def test_lm(spark, docs, none):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(tokens), sum(t in train for t in tokens), n)
         assert r.base_score == pytest.approx(sum(math.log10((train[t] + 1) / (n + v + 1)) for t in tokens))
         assert r.score < 0
-    assert lm.scores(none, ~lm.held_out()).count() == 0
-
-
-def test_lm_class_probabilities_sum_to_one_and_training_helps(spark, docs):
-    trace = []
-    model, _ = lm.fit(docs.select("doc_id", "text"), trace)
-    p = np.exp(lm.log_probabilities(model.weights, np.arange(0, lm._CONTEXTS, 97)))
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
-    assert trace[-1] > trace[0]
+    if hot:
+        assert lm.scores(none, ~lm.held_out()).count() == 0
+        assert {round(r.base_score, 9) for r in lm.scores(docs, F.lit(False)).collect()} == {0.0}
+
+
+def test_lm_score_is_that_of_its_weights(spark, monkeypatch):
+    """Every document's score from the weights one by one; all words of a context have a probability of 1 together."""
+    monkeypatch.setattr(lm, "HOT", 60)
+    rng = random.Random(3)
+    phrases = [prose(i, 4) for i in range(30)]
+    texts_ = {i: " ".join(rng.choice(phrases) for _ in range(rng.randint(0, 12))) + (" rare" + str(i) if i % 3 else "") for i in range(120)} | {500: "Word " * 300}
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts_.items()] + [(None, None, "x"), (7, "seven", "x")], "doc_id long, text string, codes string").repartition(3)
+    d = lm.texts(df).withColumn("held_out", lm.held_out())
+    counts = lm.written(lm.word_counts(d.filter("NOT held_out")))
+    lexicon = lm.Lexicon(lm.hot_words(counts))
+    coded = lm.written(lm.encoded(d, lexicon))
+    model, pairs = lm.fit(coded.filter("NOT held_out"), counts, lexicon)
+    gain, count = {r.key: r.value for r in pairs.collect()}, {r.word: (r.ending, r.c) for r in counts.collect()}
+    assert lexicon.n == 60 and len(gain) > 20
+    own = {int(w): int(c) for w, c in zip(lexicon.words.view(np.int64), lexicon.codes)}
+
+    def code_of(word):
+        batch = lm.pa.RecordBatch.from_pydict({"text": [word]})
+        _, _, _, hashes, ending = next(lm.tokens([batch]))
+        h = int(hashes.view(np.int64)[0])
+        return h, own.get(h, lm.RARE + int(ending[0]))
+
+    mass = 10.0**model.in_class - 1
+    memo = {w: code_of(w) for t in texts_.values() for w in t.split()} | {"seven": code_of("seven")}
+    end = int(lm._END.view(np.int64)[0])
+
+    def value(text):
+        total, one, two = 0.0, lm.START, lm.START
+        for h, code in [memo[w] for w in text.split()] + [(end, own[end])]:
+            of = int(lexicon.class_of[code])
+            z = sum(model.weights[r[0]].astype(float) for r in lm.feature_rows(lexicon, np.array([one]), np.array([two]))) + model.weights[0]
+            total += (z[of] - np.log(np.exp(z).sum())) / math.log(10)
+            total += math.log10((count.get(h, (0, 0))[1] + 1) / (mass[of] + 1)) - model.normalisers[one, of]
+            if one < lm.RARE and code < lm.RARE:
+                total += gain.get((one << 7 | of) << 17 | code, 0.0)
+            one, two = code, one
+        return total
+
+    got = lm.scores(df, ~lm.held_out()).collect()
+    assert len(got) == len(texts_) + 2
+    for r in got:
+        text = texts_.get(r.doc_id, "") if r.n_tokens != 2 or r.doc_id != 7 else "seven"
+        assert r.score == pytest.approx(value(text), rel=1e-4)
+    held = [r for r in got if r.held_out and r.n_tokens > 5]
+    assert sum(r.score for r in held) > 0.7 * sum(r.base_score for r in held)
+    # what the words of a class share out in a context, unseen ones included
+    for one in {k >> 24 for k in gain}:
+        for of in range(lm.CLASSES):
+            shares = [((c + 1) / (mass[of] + 1), gain.get((one << 7 | of) << 17 | own[w], 0.0) if w in own else 0.0) for w, (e, c) in count.items() if (int(lexicon.class_of[own[w]]) if w in own else lm.FREQUENT + e) == of]
+            unseen = 1 - sum(p for p, _ in shares)
+            assert (sum(p * 10**g for p, g in shares) + unseen) / 10.0 ** model.normalisers[one, of] == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_pairs_meet_their_counts():
+    key = (5 << 24 | 3 << 17) + np.array([1, 2, 9, 65536])
+    n = np.array([40, 10, 1, 30])
+    share = np.array([0.1, 0.2, 0.05, 0.3])
+    kept, weight, context, z = lm.fitted_pairs(key, n, share)
+    assert list(kept & 0xFFFF) == [1, 2] and list(context) == [5 << 7 | 3]
+    p = share[:2] * 10**weight / 10 ** z[0]
+    assert 81 * p == pytest.approx([40 - lm.PENALTY, 10 - lm.PENALTY], rel=0.02)
 
 
 def removed(texts):
