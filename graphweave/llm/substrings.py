@@ -1,22 +1,22 @@
 """Exact removal of byte strings that repeat across a corpus, by suffix sorting.
 
 Every string of `LENGTH` bytes has an anchor, its least hashed `GRAM`-byte part, and equal strings have
-equal anchors at the same place. Consecutive strings of a document that share an anchor are a run. Runs
-of equal content (a class) are told by hash: all but the earliest of a class repeat it. Only where runs
-of different content share an anchor must strings be compared one by one: the contents of such runs,
-grouped by anchor, are put together to blocks whose suffixes are sorted in two stages. Suffixes smaller
-than their successors are sorted directly; all others are induced from these by a scan over buckets of
-first bytes. Strings whose adjacent common prefix has `LENGTH` bytes are equal, and all but the earliest
-are repeats. An anchor with more than `GROUP` different runs, such as a part of a very common line, is
-not brought together anywhere: its strings are compared by their hashes in an aggregation.
-
-A task sends one run of each class that it holds, so that a passage in a third of all documents is sent
-once a task and not once a document.
+equal anchors at the same place. Consecutive strings of a document that share an anchor are a run.
+Hashes only bring runs together: the contents of all runs whose anchor is met more than once, grouped by
+anchor, are put together to blocks whose suffixes are sorted in two stages. Suffixes smaller than their
+successors are sorted directly; all others are induced from these by a scan over buckets of first bytes.
+Strings whose adjacent common prefix has `LENGTH` bytes are equal, and all but the earliest are repeats.
+
+A task sends one of the runs with equal bytes that it holds, so that a passage in a third of all
+documents is sent once a task and not once a document. The runs of an anchor with more than `GROUP` of
+them, such as a part of a very common line among many others, are split: the group is then that of all
+bytes of a string, and again a task sends one of its equal strings. So a group has at most `GROUP` runs or
+one string a task, and all of them are decided by the sort.
 
 Defined results: a null or empty text has no bytes; nothing that starts in one document is matched
-across its end; rows with the same doc_id but other texts are ordered by place, then by a hash of the
-text; equal rows are one document, of which no row repeats another; an empty table gives no rows; other
-columns are not looked at.
+across its end; rows with the same doc_id but other texts (null doc_ids are the same) are ordered by
+place, then by a hash of the text; equal rows are one document, of which no row repeats another; an empty
+table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,22 +28,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import _BYTE, blocks, mix, rows, settings, slices, slots, table, written
+from graphweave.llm.common import _BYTE, blocks, mix, rows, settings, slices, table, written
 
 LENGTH, GRAM = 100, 32
 #: Places an anchor can have in a string.
 PLACES = LENGTH - GRAM + 1
-#: Text of which a task sends each class once, runs of an anchor that are brought together, bytes whose suffixes are sorted at once.
+#: Text of which a task sends equal runs once, runs of an anchor that stay together, bytes whose suffixes are sorted at once.
 CHUNK, GROUP, BLOCK = 12 << 20, 1000, 4 << 20
-_TAG_BITS, _RUN_BITS = 25, 7
+_RUN_BITS = 8  # of a place: the number of strings less one, below PLACES, or that the row is a range
+_RANGE = (1 << _RUN_BITS) - 1
+_SPREAD_BITS = 16
 _NO_ID = -(1 << 62)  # stands for a null doc_id
-_RANGE = (1 << _RUN_BITS) - 1  # instead of a run's length: the row is a range of repeated strings
-_RUN = np.int64(_RANGE)
 
 
 def _tag(text: Column) -> Column:
     """Tells texts of the same doc_id apart."""
-    return F.pmod(F.xxhash64(text), F.lit(1 << _TAG_BITS))
+    return F.xxhash64(text)
 
 
 def _tagged(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
@@ -84,7 +84,7 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     gram, whole = hashes(data)
-    bits = np.uint64(max(1, len(data).bit_length()))
+    bits = np.uint64(31)  # Arrow's texts have fewer bytes; the same bits for all, so that equal strings have equal anchors wherever they stand
     least = (gram >> bits << bits) | np.arange(len(data), dtype=np.uint64)  # hash, then place: the leftmost wins
     size = 1
     while size < PLACES:  # the least over `size` places on
@@ -98,16 +98,8 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return gram[anchor[first]], content, doc[begin], begin - offsets[doc[begin]], last - begin
 
 
-_ROW = pa.schema([(c, pa.int64()) for c in ("anchor", "content", "doc_id", "place")])
-_ROW_TYPES = "anchor long, content long, doc_id long, place long"
-
-
-def _place(start: np.ndarray, tag: np.ndarray, run: np.ndarray | int) -> np.ndarray:
-    return start << np.int64(_TAG_BITS + _RUN_BITS) | tag << np.int64(_RUN_BITS) | run
-
-
-def _unplace(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return place >> np.int64(_TAG_BITS + _RUN_BITS), place >> np.int64(_RUN_BITS) & np.int64((1 << _TAG_BITS) - 1), place & _RUN
+_ROW = pa.schema([(c, pa.int64()) for c in ("anchor", "doc_id", "tag", "place")])
+_ROW_TYPES = "anchor long, doc_id long, tag long, place long"
 
 
 def _merged(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -120,86 +112,93 @@ def _merged(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray
     return doc[first], tag[first], start[first], end[np.append(first[1:], len(doc)) - 1] if len(doc) else end
 
 
-def _sent(chunk: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """A chunk's runs: the earliest of each class, and the others as ranges of repeated strings."""
-    anchor, content, doc, tag, start, run = (np.concatenate(x) for x in zip(*chunk, strict=True))
+def _alike(data: np.ndarray, one: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the stretches of `size` bytes from `one` and from `other` are equal, stretch by stretch."""
+    out = np.ones(len(size), bool)
+    for i in range(0, len(size), 20_000):
+        n = size[i : i + 20_000]
+        first = np.cumsum(n) - n
+        inside = np.arange(n.sum()) - np.repeat(first, n)
+        same = data[np.repeat(one[i : i + 20_000], n) + inside] == data[np.repeat(other[i : i + 20_000], n) + inside]
+        out[i : i + 20_000] = np.logical_and.reduceat(same, first)
+    return out
+
+
+def _sent(data: np.ndarray, anchor, content, doc, tag, at, start, run) -> pa.RecordBatch:
+    """A chunk's runs: the earliest of those with equal bytes, and the others as ranges of repeated strings. `at` is a run's place in data."""
     order = np.lexsort((tag, start, doc, content))
-    anchor, content, doc, tag, start, run = (x[order] for x in (anchor, content, doc, tag, start, run))
+    anchor, content, doc, tag, at, start, run = (x[order] for x in (anchor, content, doc, tag, at, start, run))
     new = np.ones(len(doc), bool)
     new[1:] = content[1:] != content[:-1]
     leader = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
-    other = (doc != doc[leader]) | (start != start[leader]) | (tag != tag[leader])
+    later = np.flatnonzero(~new)
+    equal = run[later] == run[leader[later]]  # the hash has told the same already: this makes it certain
+    equal[equal] = _alike(data, at[later[equal]], at[leader[later[equal]]], run[later[equal]] + LENGTH)
+    new[later[~equal]] = True
+    other = ~new & ((doc != doc[leader]) | (start != start[leader]) | (tag != tag[leader]))
     d, t, s, e = _merged(doc[other], tag[other], start[other], (start + run)[other])
-    spread = mix((d * np.int64(1_000_003) + s).astype(np.uint64)).view(np.int64)
+    spread = (mix((d * np.int64(1_000_003) + s).astype(np.uint64)) & np.uint64((1 << _SPREAD_BITS) - 1)).astype(np.int64)
     return rows(
         _ROW,
-        np.concatenate([anchor[new].view(np.int64), spread]),
-        np.concatenate([content[new].view(np.int64), e]),
+        np.concatenate([anchor[new].view(np.int64), e << _SPREAD_BITS | spread]),
         np.concatenate([doc[new], d]),
-        np.concatenate([_place(start, tag, run)[new], _place(s, t, _RUN)]),
+        np.concatenate([tag[new], t]),
+        np.concatenate([(start << _RUN_BITS | run)[new], s << _RUN_BITS | _RANGE]),
     )
 
 
 def _anchored(batches):
-    chunk, size = [], 0
+    chunk, texts, size = [], [], 0
+
+    def done():
+        return _sent(np.concatenate(texts), *(np.concatenate(x) for x in zip(*chunk, strict=True)))
+
     for b in slices(batches, 500):
         ids, tags = b["doc_id"].fill_null(_NO_ID).to_numpy(), b["tag"].to_numpy()
         for places, data, offsets in blocks(list(range(b.num_rows)), _utf8(b["text"]), 2 << 20):
             anchor, content, doc, start, run = runs(data, offsets)
             of = np.array(places)[doc] if len(doc) else doc
-            chunk.append((anchor, content, ids[of], tags[of], start, run))
+            chunk.append((anchor, content, ids[of], tags[of], size + offsets[doc] + start, start, run))
+            texts.append(data)
             size += len(data)
         if size >= CHUNK:
-            yield _sent(chunk)
-            chunk, size = [], 0
+            yield done()
+            chunk, texts, size = [], [], 0
     if chunk:
-        yield _sent(chunk)
+        yield done()
 
 
 _FOUND = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 _FOUND_TYPES = "anchor long, doc_id long, tag long, start long, end long"
 
 
-def _resolved(batches):
-    """Over rows sorted by anchor, content and position: repeated ranges (anchor null), and the earliest run of each class whose anchor has several.
+def _met(batches):
+    """Over rows sorted by anchor: repeated ranges (anchor null), and the runs whose anchor other rows have as well.
 
     Only one row is carried from batch to batch, however many rows an anchor has.
     """
-    last = None  # anchor, content, doc and place of the class's earliest run; whether the anchor has several classes
+    held, sent = [np.zeros(0, np.int64)] * 4, False  # the last row, and whether it is sent already
+
+    def out(key, doc, tag, place):
+        start = place >> _RUN_BITS
+        return rows(_FOUND, key, doc, tag, start, start + (place & _RANGE))
+
     for b in batches:
-        anchor, content, doc, place = (b[c].to_numpy() for c in _ROW.names)
-        ranges = place & _RUN == _RUN
-        out = [(None, doc[ranges], *(_unplace(place[ranges])[k] for k in (1, 0)), content[ranges])] if ranges.any() else []
-        anchor, content, doc, place = (x[~ranges] for x in (anchor, content, doc, place))
-        if len(anchor):
-            same = last is not None and anchor[0] == last[0]
-            if last is not None:  # the row carried stands in front
-                anchor, content, doc, place = (np.concatenate([[v], x]) for v, x in zip(last[:4], (anchor, content, doc, place), strict=True))
-            lead = 1 if last is not None else 0
-            new_anchor = np.ones(len(anchor), bool)
-            new_anchor[1:] = anchor[1:] != anchor[:-1]
-            new = new_anchor.copy()
-            new[1:] |= content[1:] != content[:-1]
-            at = np.arange(len(anchor))
-            leader = np.maximum.accumulate(np.where(new, at, 0))
-            group = np.cumsum(new_anchor) - 1
-            several = (np.bincount(group, new) > 1)[group]
-            if same and last[4]:
-                several |= group == 0
-            repeat = ~new & ((doc != doc[leader]) | (place != place[leader]))
-            send = new & several
-            if lead and last[4]:
-                send[0] = False  # sent before
-            for mask, key in ((repeat, None), (send, anchor)):
-                if mask.any():
-                    start, tag, run = _unplace(place[mask])
-                    out.append((None if key is None else key[mask], doc[mask], tag, start, start + run))
-            k = leader[-1]
-            last = (anchor[-1], content[-1], doc[k], place[k], bool(several[-1]))
-        elif last is None and not out:
+        anchor, doc, tag, place = (b[c].to_numpy() for c in _ROW.names)
+        ranges = place & _RANGE == _RANGE
+        if ranges.any():
+            yield rows(_FOUND, pa.nulls(int(ranges.sum()), pa.int64()), doc[ranges], tag[ranges], place[ranges] >> _RUN_BITS, anchor[ranges] >> _SPREAD_BITS)
+        anchor, doc, tag, place = row = [np.concatenate([h, x[~ranges]]) for h, x in zip(held, (anchor, doc, tag, place), strict=True)]
+        if not len(anchor):
             continue
-        for key, d, t, s, e in out:
-            yield rows(_FOUND, pa.nulls(len(d), pa.int64()) if key is None else key, d, t, s, e)
+        same = anchor[1:] == anchor[:-1]
+        send = np.append(False, same) | np.append(same, False)
+        last = bool(send[-1]) or (sent and len(anchor) == 1)
+        if sent and len(held[0]):
+            send[0] = False
+        if send.any():
+            yield out(*(x[send] for x in row))
+        held, sent = [x[-1:] for x in row], last
 
 
 def suffix_order(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -283,40 +282,65 @@ def repeats(spans: list[bytes], doc: np.ndarray, tag: np.ndarray, start: np.ndar
     return _merged(d[later], t[later], s[later], s[later])
 
 
-_SPAN = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("span", pa.binary())])
-_SPAN_TYPES = "key long, doc_id long, tag long, start long, span binary"
+_SPAN = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("span", pa.binary())])
+_SPAN_TYPES = "key long, doc_id long, tag long, start long, end long, span binary"
 
 
 def _spans(batches):
-    """Contents of runs by anchor; of anchors with very many, the hash of each string instead."""
+    """Contents of runs by anchor. The strings of anchors with very many runs come by themselves, by their hash: the earliest of those with equal bytes, the others as ranges without content."""
+    first: dict[bytes, tuple[int, int, int]] = {}
     for b in slices(batches, 200):
+        out, again = [], []
         for text, doc, tag, found in zip(_utf8(b["text"]), b["doc_id"].to_pylist(), b["tag"].to_pylist(), b["runs"].to_pylist(), strict=True):
-            plain = [r for r in found if not r["many"]]
-            if plain:
-                yield rows(_SPAN, [r["anchor"] for r in plain], [doc] * len(plain), [tag] * len(plain), [r["start"] for r in plain], [text[r["start"] : r["end"] + LENGTH] for r in plain])
             for r in found:
-                if r["many"]:
-                    n = r["end"] - r["start"] + 1
-                    own = hashes(np.frombuffer(text[r["start"] : r["end"] + LENGTH], np.uint8))[1][:n]
-                    yield rows(_SPAN, own.view(np.int64), [doc] * n, [tag] * n, np.arange(r["start"], r["end"] + 1), [None] * n)
+                if not r["many"]:
+                    out.append((r["anchor"], doc, tag, r["start"], r["end"], text[r["start"] : r["end"] + LENGTH]))
+                    continue
+                for start in range(r["start"], r["end"] + 1):
+                    string, place = text[start : start + LENGTH], (doc, start, tag)
+                    held = first.get(string)
+                    if held is not None and held != place:
+                        again.append(max(held, place))
+                    if held is None or place < held:
+                        first[string] = place
+        if len(first) * LENGTH >= CHUNK:
+            out, first = out + _strings(first), {}
+        if again:
+            d, s, t = (np.array(x, np.int64) for x in zip(*again, strict=True))
+            d, t, s, e = _merged(d, t, s, s)
+            yield rows(_SPAN, mix((d * np.int64(1_000_003) + s).astype(np.uint64)).view(np.int64), d, t, s, e, [None] * len(d))
+        if out:
+            yield rows(_SPAN, *zip(*out, strict=True))
+    if first:
+        yield rows(_SPAN, *zip(*_strings(first), strict=True))
+
+
+def _strings(first: dict[bytes, tuple[int, int, int]]) -> list[tuple]:
+    key = lambda x: int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
+    return [(key(x), doc, tag, start, start, x) for x, (doc, start, tag) in first.items()]
 
 
 def _sorted_blocks(batches):
-    """Repeats in the runs of each anchor; whole anchors are put together to blocks of suffixes."""
+    """Repeats in the spans of each key; whole keys are put together to blocks of suffixes. Ranges pass."""
 
     def done(held):
         columns = [np.array(x, np.int64) for x in list(zip(*held, strict=True))[1:4]]
-        d, t, s, e = repeats([x[4] for x in held], *columns)
+        d, t, s, e = repeats([x[5] for x in held], *columns)
         return rows(_FOUND, pa.nulls(len(d), pa.int64()), d, t, s, e)
 
     held, size = [], 0
     for b in batches:
+        ranges = b["span"].is_null()
+        if pa.compute.any(ranges).as_py():
+            part = b.filter(ranges)
+            yield rows(_FOUND, pa.nulls(part.num_rows, pa.int64()), *(part[c] for c in ("doc_id", "tag", "start", "end")))
+            b = b.filter(pa.compute.invert(ranges))
         for row in zip(*(b[c].to_pylist() for c in _SPAN.names), strict=True):
             if size >= BLOCK and row[0] != held[-1][0]:
                 yield done(held)
                 held, size = [], 0
             held.append(row)
-            size += len(row[4])
+            size += len(row[5])
     if held:
         yield done(held)
 
@@ -324,23 +348,19 @@ def _sorted_blocks(batches):
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, tag, start and end: ranges of starts of strings that also start earlier."""
     spark, d = docs.sparkSession, _tagged(docs)
-    n = slots(spark)
     sent = d.mapInArrow(_anchored, _ROW_TYPES)
-    found = written(sent.repartition(n, "anchor").sortWithinPartitions(*_ROW.names).mapInArrow(_resolved, _FOUND_TYPES))
-    leaders = found.filter(F.col("anchor").isNotNull())
-    many = written(leaders.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).select("anchor", F.lit(True).alias("many")))
-    marked = leaders.join(many, "anchor", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    found = written(sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_met, _FOUND_TYPES))
+    met = found.filter(F.col("anchor").isNotNull())
+    many = written(met.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).select("anchor", F.lit(True).alias("many")))
+    marked = met.join(many, "anchor", "left").withColumn("many", F.coalesce("many", F.lit(False)))
     by_doc = marked.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "start", "end", "many")).alias("runs"))
+    # equal rows are one document: one of them brings the text
     whole = d.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
     spans = whole.join(by_doc, ["doc_id", "tag"]).select("text", "doc_id", "tag", "runs").mapInArrow(_spans, _SPAN_TYPES)
     with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2000"):
-        spans = written(spans)
-    few = spans.filter("span IS NOT NULL").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sorted_blocks, _FOUND_TYPES)
-    hashed = spans.filter("span IS NULL").select("key", "doc_id", "start", "tag")
-    first = written(hashed.groupBy("key").agg(F.min(F.struct("doc_id", "start", "tag")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first"))
-    others = hashed.join(first, "key").filter(F.col("first") != F.struct("doc_id", "start", "tag")).select("doc_id", "tag", "start", F.col("start").alias("end"))
+        more = written(spans.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_blocks, _FOUND_TYPES))
     columns = ("doc_id", "tag", "start", "end")
-    return found.filter(F.col("anchor").isNull()).select(*columns).unionByName(written(few).select(*columns)).unionByName(others)
+    return found.filter(F.col("anchor").isNull()).select(*columns).unionByName(more.select(*columns))
 
 
 def _cut_out(data: bytes, found: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:

@@ -252,6 +252,26 @@ def test_substrings(spark, docs, none, monkeypatch, group):
         assert {r.doc_id for r in kept.collect()} >= {0, 3, 4, 6, 9}
 
 
+def test_substrings_of_null_and_repeated_ids(spark):
+    """Texts of one doc_id, or of none, are told apart; equal rows repeat nothing of each other."""
+    a, b = prose(7, 40), prose(8, 40)
+    df = spark.createDataFrame([(None, a), (None, a), (None, a + " " + b), (5, b), (5, b), (5, "y" + b), (6, b[:150] + a), (6, "x" + b), (6, a * 2)], "doc_id long, text string")
+    tags = {r.text: r.tag for r in df.select("text", F.xxhash64("text").alias("tag")).collect()}
+    documents, least = {(i, t) for i, t in ((r.doc_id, r.text) for r in df.collect())}, {}
+    place = lambda i, t, j: (-1 if i is None else i, j, tags[t])
+    for i, t in documents:
+        for j in range(len(t) - 99):
+            least[t[j : j + 100]] = min(least.get(t[j : j + 100], (99,)), place(i, t, j))
+    want = {}
+    for i, t in documents:
+        gone = {k for j in range(len(t) - 99) if least[t[j : j + 100]] != place(i, t, j) for k in range(j, j + 100)}
+        want.setdefault((i, len(t)), []).append("".join(c for k, c in enumerate(t) if k not in gone))
+    got = {}
+    for r in substrings.without_repeats(df).distinct().collect():
+        got.setdefault((r.doc_id, r.n_bytes), []).append(bytes(r.kept).decode())
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_suffixes_come_in_order():
     rng = np.random.default_rng(2)
     for _ in range(20):
