@@ -8,7 +8,8 @@ exactly. Lines spread over at least `min_sites` sites are boilerplate: their fir
 
 Defined results: lines are what `\\n` separates, compared without the white space around them; blank
 lines always stay; a null text is empty and a null source is a site of its own; rows with the same
-doc_id are told apart by their text, and equal rows are one occurrence; an empty table gives no rows.
+doc_id are told apart by their text, and equal rows are one occurrence; a null doc_id is the smallest;
+an empty table gives no rows; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,34 +24,41 @@ MIN_SITES = 10
 #: Log of the sketches' registers, and the relative error (three standard errors at 2**12) beyond which they are trusted.
 LOG_REGISTERS, MARGIN = 12, 0.05
 _NO_SITE = "\x00none"
+_NO_ID = -(1 << 63)  # stands for a null doc_id
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, site, place and hash of each line that is not blank."""
+    """key and tag (of the document), site, place and hash of each line that is not blank; written, as all that follows reads it again."""
     keys = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", ""))
-    d = fenced(docs, "doc_id", "tag", F.coalesce("source", F.lit(_NO_SITE)).alias("site"), keys.alias("keys"))
-    return d.select("doc_id", "tag", "site", F.posexplode("keys").alias("place", "key")).filter("key != ''").select("doc_id", "tag", "site", "place", F.xxhash64("key").alias("line"))
+    d = fenced(docs, "key", "tag", F.coalesce("source", F.lit(_NO_SITE)).alias("site"), keys.alias("keys"))
+    each = d.select("key", "tag", "site", F.posexplode("keys").alias("place", "line")).filter("line != ''")
+    return written(each.select("key", "tag", "site", "place", F.xxhash64("line").alias("line")))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """line, n_sites (a sketch's estimate beyond the margin, else exact) and first occurrence of each line on at least `min_sites` sites."""
+    """line, n_sites (a sketch's estimate beyond the margin, else exact) and first occurrence of each line on at least `min_sites` sites.
+
+    Sums, sketches and pairs of line and site are combined before they travel, and joins are between
+    written tables, which can be split where one line is very common.
+    """
     low, high = min_sites * (1 - MARGIN) - 1, min_sites * (1 + MARGIN) + 1
     spread = lines.groupBy("line").agg(
         F.count(F.lit(1)).alias("n"),
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_REGISTERS))).alias("estimate"),
-        F.min(F.struct("doc_id", "tag", "place")).alias("first"),
+        F.min(F.struct("key", "tag", "place")).alias("first"),
     )
-    wide = spread.filter((F.col("n") >= min_sites) & (F.col("estimate") >= low))
-    near = wide.filter(F.col("estimate") <= high).select("line")
-    exact = lines.join(near, "line", "left_semi").groupBy("line", "site").agg(F.count(F.lit(1)).alias("n")).groupBy("line").agg(F.count(F.lit(1)).alias("exact"))
+    wide = written(spread.filter((F.col("n") >= min_sites) & (F.col("estimate") >= low)).select("line", "estimate", "first"))
+    near = written(wide.filter(F.col("estimate") <= high).select("line"))
+    sites = written(lines.join(near, "line", "left_semi").select("line", "site"))
+    exact = sites.groupBy("line", "site").agg(F.lit(1)).groupBy("line").agg(F.count(F.lit(1)).alias("exact"))
     return wide.join(exact, "line", "left").select("line", F.coalesce("exact", "estimate").alias("n_sites"), "first").filter(F.col("n_sites") >= min_sites)
 
 
 def removals(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, tag and the sorted places of the lines to remove, for documents that have any."""
+    """key, tag and the sorted places of the lines to remove, for documents that have any."""
     hits = lines.join(found.select("line", "first"), "line")
-    gone = hits.filter(F.col("first") != F.struct("doc_id", "tag", "place"))
-    return gone.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    gone = hits.filter(F.col("first") != F.struct("key", "tag", "place"))
+    return gone.groupBy("key", "tag").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
 #: The lines between the places to remove; one slice for each stretch keeps the work linear in the lines.
@@ -63,13 +71,14 @@ _STAYING = (
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """row (the document as it was), doc_id, n_lines, n_removed and the cleaned text `kept_text` of each document.
 
-    The list of boilerplate lines is written to the shared folder: it is small beside the texts, and
-    a join of it with the lines can then be split where one line is very common.
+    The lines' hashes and the list of boilerplate lines are written to the shared folder: both are small
+    beside the texts, and a join of them can then be split where one line is very common.
     """
     text = F.coalesce("row.text", F.lit(""))
-    d = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"))
-    lines = _lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "source", F.coalesce("text", F.lit("")).alias("text")))
-    cut = d.join(removals(lines, written(boilerplate(lines, min_sites))), ["doc_id", "tag"], "left")
+    named = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    d = named.select("row", "doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), F.xxhash64("text").alias("tag"))
+    lines = _lines(named.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), F.xxhash64("text").alias("tag"), F.col("row.source").alias("source"), "text"))
+    cut = d.join(removals(lines, written(boilerplate(lines, min_sites))), ["key", "tag"], "left")
     cut = fenced(cut, "row", "doc_id", "places", F.split(text, "\n").alias("lines"))
     staying = F.when(F.col("places").isNull(), text).otherwise(F.array_join(F.expr(_STAYING), "\n"))
     return cut.select("row", "doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"), staying.alias("kept_text"))

@@ -141,6 +141,20 @@ def test_line_dedup(spark, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_of_null_and_repeated_ids_and_clashing_names(spark):
+    """The first occurrence has the smallest doc_id, null the smallest of all; equal rows are one document; a long text is cut whole."""
+    long = "\n".join(["Cookies", *map(str, range(20_000)), "Cookies"])
+    texts_ = [(None, "Cookies\nnull", "s0"), (3, "Cookies\nthree", "s1"), (3, "more\nCookies", "s2"), (3, "more\nCookies", "s2"), (4, long, None)]
+    rows_ = [(i, t, s, 1, [2], "c", "d", "e") for i, t, s in texts_ + [(i, f"Cookies\n{i}", f"s{i}") for i in range(10, 16)]]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string, row int, keys array<int>, places string, line string, tag string")
+    got = {(r.doc_id, r.row.text): (r.kept_text, r.n_removed) for r in lines.dedup_lines(df, 9).collect()}
+    assert got[None, "Cookies\nnull"] == ("Cookies\nnull", 0) and got[3, "Cookies\nthree"] == ("three", 1)
+    assert got[3, "more\nCookies"] == ("more", 1) and got[4, long] == ("\n".join(map(str, range(20_000))), 2)
+    assert all(got[i, f"Cookies\n{i}"] == (str(i), 1) for i in range(10, 16))
+    assert all(r.n_removed == 0 for r in lines.dedup_lines(df, 11).collect())
+    assert lines.cleaned(df, 9).columns == df.columns and lines.cleaned(df, 9).count() == len(rows_)
+
+
 @pytest.mark.parametrize("hot", [lm.HOT, 30, 0])
 def test_lm(spark, docs, none, monkeypatch, hot):
     """Counts and base against plain Python; with few hot words most are counted through the join."""
