@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphweave.graph import Graph
 from graphweave.operators.superstep import edge_map, gather
 from graphweave.plans.components import connected_components
-from graphweave.plans.stages import discard, written
+from graphweave.plans.stages import discard, measured, written
 
 
 def min_label(graph: Graph) -> DataFrame:
@@ -21,8 +21,8 @@ def min_label(graph: Graph) -> DataFrame:
     changed = state
     while True:
         best = gather(edge_map(changed, held.edges, label=F.col("label")), message=F.min("label"))
-        new = written(state.join(best, "id").filter("message < label").select("id", F.col("message").alias("label")))
-        if new.isEmpty():
+        new, seen = measured(state.join(best, "id").filter("message < label").select("id", F.col("message").alias("label")))
+        if not seen["n"]:
             held.release()
             return state
         after = written(state.join(new.withColumnRenamed("label", "new"), "id", "left").select("id", F.coalesce("new", "label").alias("label")))

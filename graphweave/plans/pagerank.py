@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.graph import Graph
-from graphweave.plans.stages import discard, written
+from graphweave.plans.stages import discard, measured, written
 
 DAMPING = 0.85
 
@@ -19,8 +19,19 @@ def _pulled(edges: DataFrame, state: DataFrame) -> DataFrame:
     return edges.join(state.select(F.col("id").alias("dst"), "p").hint("shuffle_hash"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("p").alias("s"))
 
 
-def pagerank(graph: Graph, iterations: int = 10, cut_every: int = 5) -> DataFrame:
-    """id and rank after that many synchronous iterations; 0 iterations give the start values 1 / degree."""
+def _turned(graph: Graph, direction: str) -> Graph:
+    if direction not in ("out", "in"):
+        raise ValueError("direction is 'out' or 'in'")
+    return graph if direction == "out" else Graph(graph.vertices, graph.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+def pagerank(graph: Graph, iterations: int = 10, cut_every: int = 5, direction: str = "out") -> DataFrame:
+    """id and rank after that many synchronous iterations; 0 iterations give the start values 1 / degree.
+
+    A vertex pulls from those that its edges lead to; with direction "in" edges are taken the other way
+    round: it pulls from those that lead to it, and degrees are those of edges that come in.
+    """
+    graph = _turned(graph, direction)
     held = graph.cached("dst")
     base = written(held.degrees())
     start = F.when(F.col("degree") > 0, 1.0 / F.col("degree"))
@@ -43,22 +54,31 @@ def pagerank(graph: Graph, iterations: int = 10, cut_every: int = 5) -> DataFram
     return last
 
 
-def pagerank_delta(graph: Graph, eps: float = 0.01, most: int = 1000) -> DataFrame:
-    """id and rank when no change of rank / degree is above eps any more; only vertices next to such a change are computed again."""
-    held = graph.cached("dst")
+def pagerank_delta(graph: Graph, eps: float = 0.01, most: int | None = None, direction: str = "out") -> DataFrame:
+    """id and rank when no change of rank / degree is above eps any more; only vertices next to such a change take a new rank.
+
+    Edges are held twice: dealt by the end that ranks are pulled from, and by the end whose change wakes
+    its neighbours. So a superstep shuffles partial sums and woken ids, never edges. With `most`, it is an
+    error if that many supersteps do not end it.
+    """
+    graph = _turned(graph, direction)
+    held, waking = graph.cached("dst"), graph.cached("src")
     state = written(held.degrees().select("id", "degree", F.when(F.col("degree") > 0, 1.0 / F.col("degree")).alias("p"), (F.col("degree") > 0).alias("active")))
-    for _ in range(most):
-        live = state.filter("active").select("id")
-        own = held.edges.join(live.withColumnRenamed("id", "src"), "src", "left_semi")
-        sums = own.join(state.filter("degree > 0").select(F.col("id").alias("dst"), "p"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("p").alias("s"))
-        moved = state.join(live.withColumn("live", F.lit(True)), "id", "left").join(sums, "id", "left")
-        new = F.when(F.col("live"), (1 - DAMPING + DAMPING * F.coalesce("s", F.lit(0.0))) / F.col("degree")).otherwise(F.col("p"))
-        after = written(moved.select("id", "degree", new.alias("p"), (F.col("live") & (F.abs(new - F.col("p")) > eps)).alias("changed")))
+    done = 0
+    while most is None or done < most:
+        done += 1
+        sums = _pulled(held.edges, state.filter("degree > 0"))
+        moved = state.join(sums, "id", "left")
+        new = F.when(F.col("active"), (1 - DAMPING + DAMPING * F.coalesce("s", F.lit(0.0))) / F.col("degree")).otherwise(F.col("p"))
+        after = written(moved.select("id", "degree", new.alias("p"), (F.col("active") & (F.abs(new - F.col("p")) > eps)).alias("changed")))
         discard(state)
         far = after.filter("changed").select(F.col("id").alias("src"))
-        near = held.edges.join(far, "src", "left_semi").select(F.col("dst").alias("id")).distinct().withColumn("woken", F.lit(True))
-        state = written(after.join(near, "id", "left").select("id", "degree", "p", (F.coalesce("woken", F.lit(False)) & (F.col("degree") > 0)).alias("active")))
-        if state.filter("active").isEmpty():
-            break
-    held.release()
-    return state.select("id", F.when(F.col("degree") > 0, F.col("p") * F.col("degree")).otherwise(F.lit(1 - DAMPING)).alias("rank"))
+        near = waking.edges.join(far, "src", "left_semi").select(F.col("dst").alias("id")).distinct().withColumn("woken", F.lit(True))
+        active = F.coalesce("woken", F.lit(False)) & (F.col("degree") > 0)
+        state, seen = measured(after.join(near, "id", "left").select("id", "degree", "p", active.alias("active")), awake=F.count_if(F.col("active")))
+        discard(after)
+        if not seen["awake"]:
+            held.release()
+            waking.release()
+            return state.select("id", F.when(F.col("degree") > 0, F.col("p") * F.col("degree")).otherwise(F.lit(1 - DAMPING)).alias("rank"))
+    raise RuntimeError(f"changes above {eps} after {most} supersteps")

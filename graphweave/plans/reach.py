@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.graph import Graph
 from graphweave.operators.superstep import dense_map
-from graphweave.plans.stages import written
+from graphweave.plans.stages import discard, measured, written
+
+#: Levels that become one table.
+MERGE = 16
 
 
 def bfs(graph: Graph, source: int = 0) -> DataFrame:
-    """id and level (hops from the source) of every vertex that directed paths reach; empty if there is no such source."""
+    """id and level (hops from the source) of every vertex that directed paths reach; empty if there is no such source.
+
+    A superstep joins the frontier with the edges and leaves out what was seen; levels are written, and
+    every `MERGE` of them become one table, so that a long path makes neither a long plan nor many scans.
+    """
     held = graph.cached("src")
-    level = written(graph.vertices.filter(F.col("id") == source).select("id", F.lit(0).alias("level")))
-    seen, depth = level, 0
-    while not level.isEmpty():
+    level, found = measured(graph.vertices.filter(F.col("id") == source).select("id", F.lit(0).alias("level")))
+    parts, depth = [level], 0
+    while found["n"]:
         depth += 1
+        seen = reduce(DataFrame.unionByName, parts)
         reached = dense_map(level.select("id"), held.edges).join(seen.select("id"), "id", "left_anti")
-        level = written(reached.select("id", F.lit(depth).alias("level")))
-        seen = seen.unionByName(level)
-        if depth % 16 == 0:  # a long path does not make a long plan
-            seen = written(seen)
+        level, found = measured(reached.select("id", F.lit(depth).alias("level")))
+        if found["n"]:
+            parts.append(level)
+        if len(parts) > MERGE:
+            merged = written(reduce(DataFrame.unionByName, parts[:-1]))
+            for x in parts[:-1]:
+                discard(x)
+            parts = [merged, level]
     held.release()
-    return seen
+    return reduce(DataFrame.unionByName, parts)
 
 
 def bfs_count(graph: Graph, source: int = 0) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -23,7 +23,7 @@ def written(df: DataFrame) -> DataFrame:
 
     The new plan is a scan: its size estimate is the files' size, so that estimates do not grow from
     step to step, and a lost executor costs nothing that was computed before. The shuffle files behind
-    it are freed once it is written.
+    it are freed once it is written, by a session setting that holds while it is.
     """
     spark, path, schema = df.sparkSession, shared_dir(df.sparkSession), df.schema
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -35,11 +35,16 @@ def written(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     # results may read it as long as the application runs, and nothing after that
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    del df
-    gc.collect()
     return spark.read.schema(schema).parquet(path)
 
 
+def measured(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
+    """`written`, and n (rows) and the other metrics, which are taken while it is written and cost no job of their own."""
+    seen = Observation()
+    kept = written(df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in metrics.items())))
+    return kept, seen.get
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table made by `written`."""
     spark = df.sparkSession

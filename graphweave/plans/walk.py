@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphweave.functions import draw
@@ -11,30 +12,40 @@ from graphweave.graph import Graph
 from graphweave.operators.numbering import numbered
 from graphweave.plans.stages import written
 
+#: Steps that are one plan.
+CUT = 4
+
 
 def random_walk(graph: Graph, walkers: int, steps: int, seed: int = 42) -> DataFrame:
     """walker, step and v: where each walker stands after 0, 1, ... steps.
 
-    Walkers start on vertices with out-edges; one that comes to a vertex without stops there. Edges are
-    numbered within their source, so that a step is a join on (source, number) and no list of a hub's
-    neighbours travels.
+    Walkers start on vertices with out-edges; one that comes to a vertex without stops there. All edges
+    are numbered in the order of source and destination, by sorted ranges, so that a vertex has a first
+    number and a step is a join on one number: neither sorting nor stepping brings a hub's edges together.
     """
     spark = graph.edges.sparkSession
-    out = written(graph.edges.select("src", "dst", (F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1).cast("long").alias("k")))
-    degrees = written(out.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("degree")))
+    out = numbered(graph.edges.select("src", "dst"), "src", "dst", name="place")
+    degrees = written(out.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("degree"), F.min("place").alias("first")))
     n = degrees.count()
     nothing = spark.createDataFrame([], "walker long, step int, v long")
     if not n or not walkers:
         return nothing
     starts = numbered(degrees.select("v"), "v", name="k")
     first = spark.range(walkers).select(F.col("id").alias("walker"), draw(F.col("id"), F.lit(0), F.lit(n), seed).alias("k"))
-    at = written(first.join(starts, "k").select("walker", F.lit(0).alias("step"), "v"))
-    seen = at
+    at = first.join(starts, "k").select("walker", "v", F.array("v").alias("way"))
+    parts, base = [(at, 0)] if steps == 0 else [], 0
     for k in range(1, steps + 1):
-        choice = at.join(degrees, "v").select("walker", F.col("v").alias("src"), draw(F.col("walker"), F.lit(k), F.col("degree"), seed).alias("k"))
-        at = written(choice.join(out, ["src", "k"]).select("walker", F.lit(k).alias("step"), F.col("dst").alias("v")))
-        seen = seen.unionByName(at)
-    return seen
+        # a walker that stops has no place to go to, and keeps the way that it came
+        choice = at.join(degrees, "v", "left").select("walker", "way", (F.col("first") + draw(F.col("walker"), F.lit(k), F.col("degree"), seed)).alias("place"))
+        way = F.when(F.col("dst").isNotNull(), F.concat("way", F.array("dst"))).otherwise(F.col("way"))
+        at = choice.join(out.select("place", "dst"), "place", "left").select("walker", F.col("dst").alias("v"), way.alias("way"))
+        if k % CUT == 0 or k == steps:
+            at = written(at)
+            parts.append((at, base))
+            base, at = k, at.filter("v IS NOT NULL").select("walker", "v", F.array("v").alias("way"))
+    # the first place of a way is the last one of the way before
+    seen = [x.select("walker", F.posexplode("way").alias("n", "v")).filter(F.col("n") >= min(b, 1)).select("walker", (F.col("n") + b).cast("int").alias("step"), "v") for x, b in parts]
+    return reduce(DataFrame.unionByName, seen)
 
 
 def walk_visits(graph: Graph, walkers: int, steps: int | None = None, seed: int = 42) -> DataFrame:
