@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import blocks, lowered, mix, rows, sampled, slices, table, texts, words_of, written
+from graphweave.llm.common import blocks, lowered, mix, rows, sampled, settings, slices, table, texts, words_of, written
 from graphweave.plans.stages import discard
 
 #: Classes of one frequent token each, classes by ending.
@@ -50,8 +50,8 @@ N_ROWS = 1 + 2 * (WORD_ROWS + 1) + PAIR_ROWS
 UPDATES, STEP, SMOOTH = 6, 0.5, 1.0
 #: Occurrences from which a pair has a weight, the penalty on it, updates of pair weights.
 LEAST, PENALTY, PAIR_UPDATES = 2, 0.6, 12
-#: Tokens of which a task sums up counts before it sends them, and whose classes are computed at once.
-FLUSH, DENSE = 4_000_000, 1 << 15
+#: Tokens of which a task sums up counts before it sends them, and contexts whose classes are computed at once.
+FLUSH, DENSE = 4_000_000, 1 << 13
 FOLDS, HELD_OUT = 7, 2
 _TOP = np.uint64(1 << 63)  # set in all word hashes, in no pair
 _END = np.array([0xE0D], np.uint64) | _TOP
@@ -165,7 +165,7 @@ def encoded(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def _read(batches, *columns: str):
     """Batches of documents with tokens: the columns, the first token's place of each document, codes of all."""
-    for b in slices(batches, 1000):
+    for b in slices(batches, 2000):
         if b.num_rows:
             sizes = pa.compute.binary_length(b["codes"]).to_numpy() // 2
             codes = np.frombuffer(b"".join(b["codes"].to_pylist()), np.uint16).astype(np.int64)
@@ -181,10 +181,15 @@ def before(codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return one, two
 
 
-def feature_rows(lexicon: Lexicon, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
+def contexts(lexicon: Lexicon, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The rows of both words before each token, as one number: tokens with the same have the same features."""
+    return lexicon.row_of[one] * (WORD_ROWS + 1) + lexicon.row_of[two]
+
+
+def feature_rows(context: np.ndarray) -> list[np.ndarray]:
     """The weight rows active beside row 0, the bias: last word, word before it, both hashed."""
-    one, two = lexicon.row_of[one], lexicon.row_of[two]
-    both = mix((one * (WORD_ROWS + 1) + two).astype(np.uint64)) % np.uint64(PAIR_ROWS)
+    one, two = np.divmod(context, WORD_ROWS + 1)
+    both = mix(context.astype(np.uint64)) % np.uint64(PAIR_ROWS)
     return [1 + one, 2 + WORD_ROWS + two, 3 + 2 * WORD_ROWS + both.astype(np.int64)]
 
 
@@ -204,20 +209,30 @@ def _counts(coded: DataFrame, lexicon: Lexicon, weights: np.ndarray) -> tuple[np
     schema, salts, width = pa.schema([("block", pa.int32()), ("salt", pa.int32()), ("sums", pa.binary())]), 16, 512
 
     def work(batches):
-        observed, expected, seen = np.zeros(N_ROWS * CLASSES), np.zeros((N_ROWS, CLASSES), np.float32), 0
-        for _, begin, _, codes in _read(batches):
-            one, two = before(codes, begin)
-            seen += len(codes)
-            for i in range(0, len(codes), DENSE):
-                part = slice(i, i + DENSE)
-                active, of = feature_rows(lexicon, one[part], two[part]), lexicon.class_of[codes[part]]
+        observed, expected, seen, held, size = np.zeros(N_ROWS * CLASSES), np.zeros((N_ROWS, CLASSES), np.float32), 0, [], 0
+
+        def expect():
+            context, n = np.unique(np.concatenate(held), return_counts=True)
+            for i in range(0, len(context), DENSE):
+                active = feature_rows(context[i : i + DENSE])
                 p = np.exp(log_probabilities(weights, active))
-                expected[0] += p.sum(0)
-                observed += np.bincount(np.concatenate([x * CLASSES + of for x in (0, *active)]), minlength=len(observed))
-                for x in active:
+                p *= n[i : i + DENSE, None].astype(np.float32)
+                for x in (np.zeros_like(active[0]), *active):
                     order = np.argsort(x.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
                     first = np.flatnonzero(np.diff(x[order], prepend=-1))
                     expected[x[order[first]]] += np.add.reduceat(p[order], first, 0)
+
+        for _, begin, _, codes in _read(batches):
+            context, of = contexts(lexicon, *before(codes, begin)), lexicon.class_of[codes]
+            for x in (0, *feature_rows(context)):
+                observed += np.bincount(x * CLASSES + of, minlength=len(observed))
+            held.append(context.astype(np.int32))
+            seen, size = seen + len(codes), size + len(codes)
+            if size >= FLUSH:
+                expect()
+                held, size = [], 0
+        if size:
+            expect()
         if seen:
             both = np.stack([observed.reshape(N_ROWS, CLASSES).astype(np.float32), expected], 1)
             parts = [both[i : i + width] for i in range(0, N_ROWS, width)]
@@ -363,11 +378,15 @@ def _scored(coded: DataFrame, model: Model) -> DataFrame:
         for columns, begin, sizes, codes in _read(batches, "doc", "doc_id", "held_out"):
             one, two = before(codes, begin)
             of = lexicon.class_of[codes]
+            context, place = np.unique(contexts(lexicon, one, two), return_inverse=True)
             value = np.empty(len(codes))
-            for i in range(0, len(codes), DENSE):
-                part = slice(i, i + DENSE)
-                log_p = log_probabilities(model.weights, feature_rows(lexicon, one[part], two[part]))
-                value[part] = log_p[np.arange(len(log_p)), of[part]] / math.log(10)
+            # tokens in the order of their contexts, so that a slice of contexts is one of tokens
+            order = np.argsort(place, kind="stable")
+            cuts = np.searchsorted(place[order], np.arange(0, len(context) + DENSE, DENSE))
+            for k, i in enumerate(range(0, len(context), DENSE)):
+                at = order[cuts[k] : cuts[k + 1]]
+                value[at] = log_probabilities(model.weights, feature_rows(context[i : i + DENSE]))[place[at] - i, of[at]]
+            value /= math.log(10)
             value -= model.in_class[of] + model.normalisers[one, of]
             base = np.add.reduceat(lexicon.log[codes], begin)
             yield rows(schema, *columns, sizes, np.add.reduceat((codes < RARE).astype(np.int64), begin), base - sizes * every, base + np.add.reduceat(value, begin))
@@ -384,7 +403,9 @@ def _asked(coded: DataFrame, lexicon: Lexicon) -> DataFrame:
             doc, n = doc.to_numpy(), pa.compute.binary_length(rare).to_numpy() // 8
             key = pairs_of(lexicon, codes, before(codes, begin)[0])
             some = (key >= 0) & (codes < RARE)
-            yield rows(schema, np.concatenate([key[some], np.frombuffer(b"".join(rare.to_pylist()), np.int64)]), np.concatenate([np.repeat(doc, sizes)[some], np.repeat(doc, n)]))
+            key = np.concatenate([key[some], np.frombuffer(b"".join(rare.to_pylist()), np.int64)])
+            order = np.argsort(key)  # equal keys beside each other are compressed to little when they travel
+            yield rows(schema, key[order], np.concatenate([np.repeat(doc, sizes)[some], np.repeat(doc, n)])[order])
 
     return coded.select("doc", "codes", "rare").mapInArrow(work, "key long, doc long")
 
@@ -394,7 +415,8 @@ def scores(docs: DataFrame, train: Column) -> DataFrame:
     d = texts(docs).withColumn("held_out", ~train)
     counts = written(word_counts(d.filter(train)))
     lexicon = Lexicon(hot_words(counts))
-    coded = written(encoded(d, lexicon))
+    with settings(docs.sparkSession, spark__sql__parquet__compression__codec="zstd"):
+        coded = written(encoded(d, lexicon))
     model, pairs = fit(coded.filter("NOT held_out"), counts, lexicon)
     part = written(_scored(coded, model))
     zero = F.lit(0.0)

@@ -206,7 +206,7 @@ def test_lm_score_is_that_of_its_weights(spark, monkeypatch):
         total, one, two = 0.0, lm.START, lm.START
         for h, code in [memo[w] for w in text.split()] + [(end, own[end])]:
             of = int(lexicon.class_of[code])
-            z = sum(model.weights[r[0]].astype(float) for r in lm.feature_rows(lexicon, np.array([one]), np.array([two]))) + model.weights[0]
+            z = sum(model.weights[r[0]].astype(float) for r in lm.feature_rows(lm.contexts(lexicon, np.array([one]), np.array([two])))) + model.weights[0]
             total += (z[of] - np.log(np.exp(z).sum())) / math.log(10)
             total += math.log10((count.get(h, (0, 0))[1] + 1) / (mass[of] + 1)) - model.normalisers[one, of]
             if one < lm.RARE and code < lm.RARE:
