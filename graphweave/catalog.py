@@ -36,7 +36,17 @@ _DEGREE = "SELECT id, coalesce(n, 0)::BIGINT AS degree FROM v LEFT JOIN (SELECT
 _REACH = "r(id) AS (SELECT 0::BIGINT UNION SELECT e.dst FROM r JOIN e ON e.src = r.id)"
 
 
-@_query("graph_stats", _with("parts_suppliers", "SELECT (SELECT count(*) FROM v)::BIGINT AS num_nodes, (SELECT count(*) FROM e)::BIGINT AS num_edges, ceil((SELECT count(*) FROM v) / 512.0)::BIGINT AS num_vertex_blocks"))
+def _pagerank_sql(graph: str, iterations: int = 10, where: str = "true", turned: bool = False) -> str:
+    """Chained expressions: q holds rank / degree, the last one ranks."""
+    steps = [f"g AS ({_DEGREE})", "q0 AS (SELECT id, degree, CASE WHEN degree > 0 THEN 1.0::DOUBLE / degree END AS p FROM g)"]
+    for k in range(1, iterations + 1):
+        value = "(0.15 + 0.85 * coalesce(s, 0))"
+        steps.append(f"q{k} AS (SELECT g.id, g.degree, {value + ' / nullif(g.degree, 0)' if k < iterations else value} AS p FROM g LEFT JOIN (SELECT e.src, sum(x.p) AS s FROM e JOIN q{k - 1} x ON x.id = e.dst GROUP BY e.src) ON src = g.id)")
+    edges = fx.sql(graph).replace("e AS (", "e0 AS (").replace("v AS (", "e AS (SELECT dst AS src, src AS dst FROM e0), v AS (") if turned else fx.sql(graph)
+    return f"WITH {edges}, {', '.join(steps)} SELECT id, round(p, 6) AS rank FROM q{iterations} WHERE {where}"
+
+
+@_query("graph_stats", _with("parts_suppliers", "SELECT (SELECT count(*) FROM v)::BIGINT AS num_nodes, (SELECT count(*) FROM e)::BIGINT AS num_edges"))
 def graph_stats(spark: SparkSession, d: str) -> DataFrame:
     return fx.parts_suppliers(spark, d).stats()
 
@@ -51,11 +61,17 @@ def degree_hist(spark: SparkSession, d: str) -> DataFrame:
     return fx.parts_suppliers(spark, d).degrees().groupBy("degree").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-@_query("hub_blocks", _with("orders_parts", "SELECT dst AS id, count(*)::BIGINT AS degree, ceil(count(*) / 1024.0)::BIGINT AS blocks FROM (SELECT dst % 3 AS dst FROM e) GROUP BY dst HAVING count(*) > 1024"))
-def hub_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Three hubs made of all order lines."""
+@_query("hubs", "SELECT dst AS id, count(*)::BIGINT AS degree FROM (SELECT (2 * l_partkey + 1) % 3 AS dst FROM lineitem) GROUP BY dst HAVING count(*) > 1024")
+def hubs(spark: SparkSession, d: str) -> DataFrame:
+    """Vertices of more than 1,024 edges, among three that share all order lines."""
     lines = fx.orders_parts(spark, d).edges
-    return Graph.from_edges(lines.select((F.col("dst") % 3).alias("src"), F.col("src").alias("dst"))).hub_blocks()
+    return Graph.from_edges(lines.select((F.col("dst") % 3).alias("src"), F.col("src").alias("dst"))).degrees().filter("degree > 1024")
+
+
+@_query("pagerank_in", _pagerank_sql("orders_parts", 5, turned=True))
+def pagerank_in(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks of orders and their parts, pulled along edges that come in."""
+    return pagerank.pagerank(fx.orders_parts(spark, d), 5, direction="in").select("id", F.round("rank", 6).alias("rank"))
 
 
 @_query("symmetrize", _with("orders_parts", "SELECT src, dst, count(*)::BIGINT AS mult FROM (SELECT * FROM e UNION ALL SELECT dst, src FROM e WHERE src <> dst) GROUP BY src, dst"))
@@ -129,11 +145,6 @@ def dense_map_query(spark: SparkSession, d: str) -> DataFrame:
     return dense_map(_small_parts(spark, d), fx.parts_suppliers(spark, d).edges)
 
 
-@_query("active_blocks", f"WITH {_FRONTIER} SELECT id // 512 AS block, count(*)::BIGINT AS cnt FROM f GROUP BY 1")
-def active_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return fx.parts_suppliers(spark, d).active_blocks(_small_parts(spark, d))
-
-
 _LEVELS = """b(id, level) USING KEY (id) AS (
   SELECT 0::BIGINT, 0 UNION
   SELECT e.dst, min(b.level + 1) FROM b JOIN e ON e.src = b.id WHERE NOT EXISTS (SELECT 1 FROM recurring.b r WHERE r.id = e.dst) GROUP BY 1)
@@ -190,15 +201,6 @@ def min_label_hashmin(spark: SparkSession, d: str) -> DataFrame:
     return labels.min_label(fx.sparse(spark, d))
 
 
-def _pagerank_sql(graph: str, iterations: int = 10, where: str = "true") -> str:
-    """Chained expressions: q holds rank / degree, the last one ranks."""
-    steps = [f"g AS ({_DEGREE})", "q0 AS (SELECT id, degree, CASE WHEN degree > 0 THEN 1.0::DOUBLE / degree END AS p FROM g)"]
-    for k in range(1, iterations + 1):
-        value = "(0.15 + 0.85 * coalesce(s, 0))"
-        steps.append(f"q{k} AS (SELECT g.id, g.degree, {value + ' / nullif(g.degree, 0)' if k < iterations else value} AS p FROM g LEFT JOIN (SELECT e.src, sum(x.p) AS s FROM e JOIN q{k - 1} x ON x.id = e.dst GROUP BY e.src) ON src = g.id)")
-    return f"WITH {fx.sql(graph)}, {', '.join(steps)} SELECT id, round(p, 6) AS rank FROM q{iterations} WHERE {where}"
-
-
 @_query("pagerank10", _pagerank_sql("parts_suppliers"))
 def pagerank10(spark: SparkSession, d: str) -> DataFrame:
     return pagerank.pagerank(fx.parts_suppliers(spark, d)).select("id", F.round("rank", 6).alias("rank"))
@@ -284,7 +286,8 @@ _DENSE_SQL = (
 
 def _round_trip(fmt: str, of):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        graph, path = _dense(of(spark, d)), f"{shared_dir(spark)}.{fmt}"
+        # ids of an edge list are any; they are numbered when it is read, in the order of the lines
+        graph, path = of(spark, d) if fmt == "edgelist" else _dense(of(spark, d)), f"{shared_dir(spark)}.{fmt}"
         writer = getattr(sources, f"write_{fmt}")
         writer(graph, path, both=False) if fmt == "binedge" else writer(graph, path)
         return sources.read_graph(spark, path).edges
@@ -292,25 +295,57 @@ def _round_trip(fmt: str, of):
     return run
 
 
-for _fmt in ("adjlist", "binedge", "binadj"):
+for _fmt in ("adjlist", "edgelist", "binedge", "binadj"):
     _query(f"round_trip_{_fmt}", f"WITH {fx.sql('sparse')}{_DENSE_SQL}")(_round_trip(_fmt, fx.sparse))
     _query(f"round_trip_{_fmt}_all", f"WITH {fx.sql('customers_orders')}{_DENSE_SQL}")(_round_trip(_fmt, fx.customers_orders))
 
 
-@_query("round_trip_edgelist", _with("sparse", "SELECT (SELECT count(*) FROM v)::BIGINT AS num_nodes, (SELECT count(*) FROM e)::BIGINT AS num_edges, ceil((SELECT count(*) FROM v) / 512.0)::BIGINT AS num_vertex_blocks"))
-def round_trip_edgelist(spark: SparkSession, d: str) -> DataFrame:
-    """Edge lists are numbered anew when read, so what must stay are the counts."""
-    path = f"{shared_dir(spark)}.edgelist"
-    sources.write_edgelist(fx.sparse(spark, d), path)
-    return sources.read_graph(spark, path).stats()
+@_query("round_trip_binedge_both", f"WITH {fx.sql('orders_parts')}, d AS (WITH x AS (SELECT 1){_DENSE_SQL}) SELECT src, dst FROM d UNION ALL SELECT dst, src FROM d WHERE src <> dst")
+def round_trip_binedge_both(spark: SparkSession, d: str) -> DataFrame:
+    """A directed multigraph, written as is usual: each edge in both directions."""
+    path = f"{shared_dir(spark)}.binedge"
+    sources.write_binedge(_dense(fx.orders_parts(spark, d)), path)
+    return sources.read_graph(spark, path).edges
+
+
+@_query("save_load", _with("orders_parts", "SELECT src, dst, count(*)::BIGINT AS mult FROM e GROUP BY src, dst"))
+def save_load(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_dir(spark)
+    sources.save(fx.orders_parts(spark, d), path)
+    return sources.load(spark, path).edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("mult"))
+
+
+@_query("save_load_stats", _with("orders_parts", "SELECT (SELECT count(*) FROM v)::BIGINT AS num_nodes, (SELECT count(*) FROM e)::BIGINT AS num_edges, (SELECT count(*) FROM v)::BIGINT AS saved_nodes"))
+def save_load_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics kept beside the tables, and the number of vertices in them."""
+    path = shared_dir(spark)
+    sources.save(fx.orders_parts(spark, d), path)
+    saved = sources.load(spark, path).vertices.agg(F.count(F.lit(1)).alias("saved_nodes"))
+    return sources.load_stats(spark, path).join(saved, F.lit(True))  # two single rows
+
 
+@_query("log_csv", "SELECT event_type AS algo_name, user_id % 64 AS cache_mb, 'events' AS dataset, 'all' AS algo, 'cache' AS testcase, count(*)::BIGINT AS runs, round(avg((value * 1000)::BIGINT * 1e-6), 6) AS avg_s FROM events GROUP BY ALL")
+def log_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Events as benchmark runs, written as CSV and read again."""
+    events, path = spark.read.parquet(f"{d}/events.parquet"), f"{shared_dir(spark)}/events_all_cache.csv"
+    log = events.select(F.col("event_type").alias("algo_name"), F.lit(1).alias("thread"), (F.col("user_id") % 64).cast("int").alias("cache_mb"), F.bround(F.col("value") * 1000).cast("long").alias("time"), F.col("value").alias("res"))
+    harness.write_log(log, path)
+    back = harness.read_log(spark, path)
+    named = back.groupBy("algo_name", "cache_mb", "dataset", "algo", "testcase").agg(F.count(F.lit(1)).alias("runs"))
+    seconds = harness.summarize(back, "cache_mb").withColumn("avg_s", F.round("avg_s", 6))
+    return named.join(seconds, ["algo_name", "cache_mb"]).select(F.col("cache_mb").cast("long").alias("cache_mb"), "algo_name", "dataset", "algo", "testcase", "runs", "avg_s")
 
-@_query("round_trip_edgelist_all", _with("customers_orders", "SELECT (SELECT count(*) FROM v)::BIGINT AS num_nodes, (SELECT count(*) FROM e)::BIGINT AS num_edges, ceil((SELECT count(*) FROM v) / 512.0)::BIGINT AS num_vertex_blocks"))
-def round_trip_edgelist_all(spark: SparkSession, d: str) -> DataFrame:
-    """Edge lists are numbered anew when read, so what must stay are the counts."""
-    path = f"{shared_dir(spark)}.edgelist"
-    sources.write_edgelist(fx.customers_orders(spark, d), path)
-    return sources.read_graph(spark, path).stats()
+
+def _invariants(graph: Graph) -> DataFrame:
+    """num_nodes; edges without their reverse, loops, repeated edges and vertices unknown, which should all be 0."""
+    e = graph.edges
+    alone = e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count_if(F.col("src") < F.col("dst")).alias("up"), F.count_if(F.col("src") > F.col("dst")).alias("down"))
+    bad = alone.agg(F.count_if(F.col("up") != F.col("down")).alias("asymmetric"), F.count_if(F.col("a") == F.col("b")).alias("loops"), F.count_if(F.col("up") > 1).alias("repeated"))
+    unknown = e.join(graph.vertices, e.src == graph.vertices.id, "left_anti").agg(F.count(F.lit(1)).alias("unknown"))
+    return graph.stats().select("num_nodes").join(bad, F.lit(True)).join(unknown, F.lit(True))  # single rows
+
+
+_SOUND = "SELECT count(*)::BIGINT AS num_nodes, 0::BIGINT AS asymmetric, 0::BIGINT AS loops, 0::BIGINT AS repeated, 0::BIGINT AS unknown FROM part"
 
 
 @_query("gen_er_like", None)
@@ -319,7 +354,20 @@ def gen_er_like(spark: SparkSession, d: str) -> DataFrame:
     return generate.erdos_renyi(spark, spark.read.parquet(f"{d}/part.parquet").count()).degrees()
 
 
+@_query("gen_er_sound", _SOUND)
+def gen_er_sound(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of every simple undirected graph holds of a random one over as many vertices as there are parts."""
+    return _invariants(generate.erdos_renyi(spark, spark.read.parquet(f"{d}/part.parquet").count()))
+
+
 @_query("gen_ba_like", None)
 def gen_ba_like(spark: SparkSession, d: str) -> DataFrame:
     """Degrees of a preferential-attachment graph over as many vertices as there are parts."""
     return generate.barabasi_albert(spark, spark.read.parquet(f"{d}/part.parquet").count(), 5).degrees()
+
+
+@_query("gen_ba_sound", _SOUND.replace(" FROM part", ", 0::BIGINT AS poor FROM part"))
+def gen_ba_sound(spark: SparkSession, d: str) -> DataFrame:
+    """As `gen_er_sound`; poor are vertices without edges, of which preferential attachment makes none."""
+    graph = generate.barabasi_albert(spark, spark.read.parquet(f"{d}/part.parquet").count(), 5)
+    return _invariants(graph).join(graph.degrees().agg(F.count_if(F.col("degree") == 0).alias("poor")), F.lit(True))  # single rows

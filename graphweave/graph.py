@@ -8,9 +8,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vertices and edges of a 4 KiB block (fixed values, used by the block statistics only).
-VERTICES_A_BLOCK, EDGES_A_BLOCK = 512, 1024
-
 
 @dataclass(frozen=True)
 class Graph:
@@ -54,11 +51,10 @@ class Graph:
         return self.vertices.join(counted, "id", "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
     def stats(self) -> DataFrame:
-        """One row: num_nodes, num_edges, num_vertex_blocks."""
+        """One row: num_nodes, num_edges."""
         n = self.vertices.agg(F.count(F.lit(1)).alias("num_nodes"))
         m = self.edges.agg(F.count(F.lit(1)).alias("num_edges"))
-        both = n.join(m, F.lit(True))  # two single rows
-        return both.select("num_nodes", "num_edges", F.ceil(F.col("num_nodes") / VERTICES_A_BLOCK).cast("long").alias("num_vertex_blocks"))
+        return n.join(m, F.lit(True))  # two single rows
 
     def adjacency(self) -> DataFrame:
         """id, degree and nbrs (ascending, with multiplicity) of each vertex."""
@@ -70,14 +66,6 @@ class Graph:
         """The out-edges of the vertices in keys(id)."""
         return self.edges.join(keys.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
 
-    def hub_blocks(self) -> DataFrame:
-        """id, degree and blocks of the vertices whose edges fill more than one block."""
-        return self.degrees().filter(F.col("degree") > EDGES_A_BLOCK).select("id", "degree", F.ceil(F.col("degree") / EDGES_A_BLOCK).cast("long").alias("blocks"))
-
-    def active_blocks(self, frontier: DataFrame) -> DataFrame:
-        """block and cnt: the vertex blocks that hold a frontier(id), and how many of it."""
-        return frontier.groupBy(F.expr(f"id div {VERTICES_A_BLOCK}").alias("block")).agg(F.count(F.lit(1)).alias("cnt"))
-
     def cached(self, by: str = "src") -> Graph:
         """The graph with its edges kept, dealt by one end, so that joins on it and sums over it need no shuffle of edges."""
         return Graph(self.vertices, self.edges.repartition(by).persist(StorageLevel.MEMORY_AND_DISK))

@@ -29,12 +29,15 @@ def sweep(spark: SparkSession, algorithms: dict[str, Callable[[], DataFrame]], p
 
 
 def write_log(log: DataFrame, path: str) -> None:
-    log.coalesce(1).write.csv(path, header=True)
+    """The log as CSV part files in a folder, which bears the log's name."""
+    log.write.csv(path, header=True)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The log rows, and dataset, algo and testcase from file names like dataset_algo_testcase.csv."""
-    log = spark.read.csv(path, schema=LOG, header=True).withColumn("_name", F.substring_index(F.substring_index(F.input_file_name(), "/", -1), ".", 1))
+    """The log rows, and dataset, algo and testcase from names like dataset_algo_testcase.csv, of a file or of a folder of part files."""
+    steps = F.split(F.input_file_name(), "/")
+    name = F.when(F.element_at(steps, -1).startswith("part-"), F.element_at(steps, -2)).otherwise(F.element_at(steps, -1))
+    log = spark.read.csv(path, schema=LOG, header=True).withColumn("_name", F.substring_index(name, ".", 1))
     parts = F.split("_name", "_")
     return log.select("*", *(F.get(parts, F.lit(i)).alias(k) for i, k in enumerate(("dataset", "algo", "testcase")))).drop("_name")
 

@@ -1,16 +1,18 @@
 """Graph files: METIS-like and SNAP-like text, binary edge and adjacency lists, and the engine's own tables.
 
-All are read and written by Spark, so any file system that Spark knows will do. A path may be a file or
-a folder of part files; the lines of a folder follow each other in the order of the files' names.
+Text and tables are read and written by Spark, binary files by the tasks through Arrow's file systems:
+paths may be local ones or URIs of a store that Arrow knows (file, hdfs, s3, gs, ...). A path may be a
+file or a folder of part files; the lines, or bytes, of a folder follow each other in the order of the
+files' names.
 """
 
 from __future__ import annotations
 
-import os
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -20,6 +22,8 @@ from graphweave.operators.numbering import first_seen
 from graphweave.plans.stages import written
 
 FORMATS = ("adjlist", "edgelist", "binedge", "binadj")
+#: Bytes of a binary file that a task reads, and of those that it holds at once.
+SPLIT, PIECE = 64 << 20, 4 << 20
 _EDGES = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
 
@@ -62,34 +66,104 @@ def read_edgelist(spark: SparkSession, path: str) -> Graph:
     return Graph.from_edges(edges, declared=max(declared, ids.count()))
 
 
-def read_binedge(spark: SparkSession, path: str) -> Graph:
-    """Pairs of little-endian int32, all of them; splits fall between pairs."""
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """A file system and the path in it, of a local path or a URI."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
-    def pairs(records):
-        data = np.frombuffer(b"".join(records), "<i4").reshape(-1, 2)
-        return ((int(a), int(b)) for a, b in data)
 
-    edges = spark.createDataFrame(spark.sparkContext.binaryRecords(path, 8).mapPartitions(pairs), "src long, dst long")
-    return Graph.from_edges(edges)
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """file (a URI or path) and length of each file; no content is read."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
 
 
-def read_binadj(spark: SparkSession, path: str) -> Graph:
-    """int32 V and E, then degree and neighbours of each vertex. Records have no fixed length, so a file is one task's."""
+def _ints(file: str, start: int, end: int):
+    """The int32 from one byte of a file to another, in pieces."""
+    store, path = _opened(file)
+    with store.open_input_file(path) as f:
+        for at in range(start, end, PIECE):
+            yield np.frombuffer(f.read_at(min(PIECE, end - at), at), "<i4")
+
+
+def read_binedge(spark: SparkSession, path: str) -> Graph:
+    """Pairs of little-endian int32, all of them; splits fall between pairs, and each is a task's."""
 
     def work(batches):
         for b in batches:
-            for content in b["content"]:
-                data = np.frombuffer(content.as_buffer(), "<i4")
-                at, n = 2, int(data[0]) if len(data) else 0
-                for v in range(n):
-                    d = int(data[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(d + 1, v)), pa.array(np.append(data[at + 1 : at + 1 + d].astype(np.int64), -1))], schema=_EDGES)
-                    at += d + 1
-                if n and at != len(data):
-                    raise ValueError(f"{path}: {n} vertices do not fill the file")
+            for file, start, end in zip(*(b[c].to_pylist() for c in ("file", "start", "end")), strict=True):
+                if (end - start) % 8:
+                    raise ValueError(f"{file}: a pair is cut off")
+                for data in _ints(file, start, end):
+                    pairs = data.reshape(-1, 2).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_EDGES)
+
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(SPLIT).cast("long")))
+    splits = _files(spark, path).filter("length > 0").select("file", "length", starts.alias("start"))
+    splits = splits.select("file", "start", F.least(F.col("start") + SPLIT, "length").alias("end"))
+    edges = splits.repartition("file", "start").mapInArrow(work, "src long, dst long")
+    return Graph.from_edges(edges)
 
-    rows = written(spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, "src long, dst long"))
-    return Graph(rows.filter("dst = -1").select(F.col("src").alias("id")), rows.filter("dst >= 0"))
+
+def read_binadj(spark: SparkSession, path: str) -> Graph:
+    """int32 V and E, then degree and neighbours of each vertex.
+
+    Records have no fixed length, so the files' bytes are read twice: first each file by one task, which
+    steps from degree to degree and notes where a vertex begins about every `SPLIT` bytes; then each
+    split by a task of its own. A file of a folder begins with a vertex.
+    """
+    named = [r.file for r in _files(spark, path).select("file").sort("file").collect()]  # a row for each file
+    if not named:
+        return Graph(spark.range(0), spark.createDataFrame([], "src long, dst long"))
+    head = named[0]
+    cuts_schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("n", pa.int64())])
+
+    def cuts(batches):
+        for b in batches:
+            for file, length in zip(b["file"].to_pylist(), b["length"].to_pylist(), strict=True):
+                begin = at = 2 if file == head else 0  # in int32
+                n, base, out, total = 0, 0, [], length // 4
+                for data in _ints(file, 0, total * 4):
+                    view, end = memoryview(data), base + len(data)
+                    while at < end:
+                        if (at - begin) * 4 >= SPLIT:
+                            out.append((file, begin * 4, at * 4, n))
+                            begin, n = at, 0
+                        at += view[at - base] + 1
+                        n += 1
+                    base = end
+                if at > total or length % 4:
+                    raise ValueError(f"{file}: vertices do not fill the file")
+                if n:
+                    out.append((file, begin * 4, at * 4, n))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), cuts_schema.types, strict=True)], schema=cuts_schema)
+
+    found = written(_files(spark, path).repartition("file").mapInArrow(cuts, "file string, start long, end long, n long"))
+    splits = sorted((r.file, r.start, r.end, r.n) for r in found.collect())  # a row for each split of SPLIT bytes
+    first = [0, *accumulate(n for *_, n in splits)]
+    declared = int(next(iter(_ints(head, 0, 8)), [0])[0])
+    if declared != first[-1]:
+        raise ValueError(f"{path}: {declared} vertices are declared, {first[-1]} found")
+
+    def edges(batches):
+        for b in batches:
+            for file, start, end, v in zip(*(b[c].to_pylist() for c in ("file", "start", "end", "v")), strict=True):
+                data = np.concatenate(list(_ints(file, start, end)))
+                view, at, places = memoryview(data), 0, []
+                while at < len(data):
+                    places.append(at)
+                    at += view[at] + 1
+                places = np.array(places)
+                src = np.repeat(np.arange(v, v + len(places)), data[places])
+                dst = np.delete(data, places).astype(np.int64)
+                for i in range(0, len(src), 1 << 17):
+                    yield pa.RecordBatch.from_arrays([pa.array(src[i : i + (1 << 17)]), pa.array(dst[i : i + (1 << 17)])], schema=_EDGES)
+
+    if not splits:
+        return Graph(spark.range(0), spark.createDataFrame([], "src long, dst long"))
+    placed = spark.createDataFrame([(f, s, e, v) for (f, s, e, _), v in zip(splits, first)], "file string, start long, end long, v long")
+    return Graph(spark.range(declared), placed.repartition("v").mapInArrow(edges, "src long, dst long"))
 
 
 def read_graph(spark: SparkSession, path: str, fmt: str | None = None) -> Graph:
@@ -103,23 +177,24 @@ def read_graph(spark: SparkSession, path: str, fmt: str | None = None) -> Graph:
 
 def write_adjlist(graph: Graph, path: str) -> None:
     """Ids must be 0..V-1. Part files hold ranges of vertices in the order of their names."""
-    n, m = graph.stats().select("num_nodes", "num_edges").first()
+    n, m = graph.stats().first()
     lists = graph.shifted(1).adjacency().select("id", F.array_join(F.col("nbrs").cast("array<string>"), " ").alias("value"))
     head = graph.edges.sparkSession.createDataFrame([(0, f"{n} {m}")], "id long, value string")
     lists.unionByName(head).repartitionByRange("id").sortWithinPartitions("id").select("value").write.text(path)
 
 
 def write_edgelist(graph: Graph, path: str) -> None:
-    """Comment lines and `src dst` lines, in no particular order."""
-    n, m = graph.stats().select("num_nodes", "num_edges").first()
-    head = graph.edges.sparkSession.createDataFrame([(f"# Nodes: {n} Edges: {m}",)], "value string")
-    head.unionByName(graph.edges.select(F.concat_ws(" ", "src", "dst").alias("value"))).write.text(path)
+    """A comment line, then `src dst` lines in the order of both, in part files of ranges."""
+    n, m = graph.stats().first()
+    head = graph.edges.sparkSession.createDataFrame([(None, None, f"# Nodes: {n} Edges: {m}")], "src long, dst long, value string")
+    lines = head.unionByName(graph.edges.select("src", "dst", F.concat_ws(" ", "src", "dst").alias("value")))
+    lines.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst").select("value").write.text(path)
 
 
 class BinaryFiles(DataSource):
     """A sink of raw bytes: each task writes the values of its rows, one after another, to a file of its own.
 
-    Options: path, an existing folder that all executors share.
+    Options: path, a folder that all executors share, or a URI of a store.
     """
 
     @classmethod
@@ -140,64 +215,80 @@ class _Part(WriterCommitMessage):
 
 class _BytesWriter(DataSourceWriter):
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.uri = path
 
     def write(self, rows) -> _Part:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        part = os.path.join(self.path, f".part-{context.partitionId():05d}-{context.taskAttemptId()}")
-        with open(part, "wb") as f:
+        store, path = _opened(self.uri)
+        part = f"{path}/.part-{context.partitionId():05d}-{context.taskAttemptId()}"
+        with store.open_output_stream(part) as f:
             for (value,) in rows:
                 f.write(value)
         return _Part(part)
 
     def commit(self, messages) -> None:
         """Only files of tasks that count get their name; others are never seen by readers."""
+        store, _ = _opened(self.uri)
         for m in messages:
             if m is not None:
                 folder, _, name = m.path.rpartition("/")
-                os.rename(m.path, f"{folder}/{name[1:].rpartition('-')[0]}")
+                store.move(m.path, f"{folder}/{name[1:].rpartition('-')[0]}")
 
     def abort(self, messages) -> None:
+        store, _ = _opened(self.uri)
         for m in messages:
             if m is not None:
-                os.unlink(m.path)
+                store.delete_file(m.path)
 
 
-def _write_bytes(values: DataFrame, path: str) -> None:
-    spark = values.sparkSession
-    spark.dataSource.register(BinaryFiles)
-    os.makedirs(path.removeprefix("file://"))
-    values.write.format("graphbytes").mode("append").save(path)
+def _write_ints(rows: DataFrame, path: str) -> None:
+    """The int32 of the rows' columns, row by row, in the order in which they come."""
+    names = rows.columns
 
+    def packed(batches):
+        for b in batches:
+            data = np.stack([b[c].to_numpy() for c in names], 1)
+            if len(data) and (data.min() < -(1 << 31) or data.max() >= 1 << 31):
+                raise ValueError("an id does not fit into 32 bits")
+            yield pa.RecordBatch.from_pydict({"value": pa.array([data.astype("<i4").tobytes()], pa.binary())})
 
-def _int32(c) -> F.Column:
-    """Four little-endian bytes of a whole number."""
-    return F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(c, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4))))
+    rows.sparkSession.dataSource.register(BinaryFiles)
+    store, folder = _opened(path)
+    store.create_dir(folder)
+    rows.mapInArrow(packed, "value binary").write.format("graphbytes").mode("append").save(path)
 
 
 def write_binedge(graph: Graph, path: str, both: bool = True) -> None:
     """Pairs of int32 in part files; by default each edge in both directions, a loop once."""
-    edges = (graph.symmetrized() if both else graph).edges
-    _write_bytes(edges.select(F.concat(_int32(F.col("src")), _int32(F.col("dst"))).alias("value")), path)
+    _write_ints((graph.symmetrized() if both else graph).edges.select("src", "dst"), path)
 
 
 def write_binadj(graph: Graph, path: str) -> None:
-    """V, E and the vertices' lists in one file, as the format has one head: for graphs that one task can write. Ids must be 0..V-1."""
-    n, m = graph.stats().select("num_nodes", "num_edges").first()
-    lists = graph.adjacency().select("id", F.concat(F.array(F.col("degree")), F.col("nbrs")).alias("v"))
-    head = graph.edges.sparkSession.createDataFrame([(-1, [n, m])], "id long, v array<long>")
-    value = F.aggregate("v", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, _int32(x)))
-    _write_bytes(lists.unionByName(head).repartition(1).sortWithinPartitions("id").select(value.alias("value")), path)
+    """V, E and the vertices' lists, in part files of vertex ranges: put together in the order of their names they are one file. Ids must be 0..V-1.
+
+    A list is written as its edges come, sorted behind the vertex's degree, and is never held whole.
+    """
+    n, m = graph.stats().first()
+    head = graph.edges.sparkSession.createDataFrame([(-1, 0, n), (-1, 1, m)], "id long, place long, value long")
+    degrees = graph.degrees().select("id", F.lit(-1).cast("long").alias("place"), F.col("degree").alias("value"))
+    edges = graph.edges.select(F.col("src").alias("id"), F.col("dst").alias("place"), F.col("dst").alias("value"))
+    rows = head.unionByName(degrees).unionByName(edges)
+    _write_ints(rows.repartitionByRange("id").sortWithinPartitions("id", "place").select("value"), path)
 
 
 def save(graph: Graph, path: str) -> None:
-    """The engine's own tables: vertices, edges sorted by source, and their statistics."""
+    """The engine's own tables: vertices, edges in ranges of sources, and their statistics. A filter on src reads the files of its range alone."""
     graph.vertices.write.parquet(f"{path}/vertices")
-    graph.edges.repartition("src").sortWithinPartitions("src", "dst").write.parquet(f"{path}/edges")
+    graph.edges.repartitionByRange("src").sortWithinPartitions("src", "dst").write.parquet(f"{path}/edges")
     graph.stats().write.parquet(f"{path}/stats")
 
 
 def load(spark: SparkSession, path: str) -> Graph:
     return Graph(spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges"))
+
+
+def load_stats(spark: SparkSession, path: str) -> DataFrame:
+    """The statistics that `save` kept: no edge is read."""
+    return spark.read.parquet(f"{path}/stats")
