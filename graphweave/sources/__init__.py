@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from graphweave.graph import Graph
 from graphweave.operators.numbering import first_seen
-from graphweave.plans.stages import written
+from graphweave.plans.stages import ship, written
 
 FORMATS = ("adjlist", "edgelist", "binedge", "binadj")
 #: Bytes of a binary file that a task reads, and of those that it holds at once.
@@ -75,6 +75,7 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     """file (a URI or path) and length of each file; no content is read."""
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
 
 
@@ -254,6 +255,7 @@ def _write_ints(rows: DataFrame, path: str) -> None:
                 raise ValueError("an id does not fit into 32 bits")
             yield pa.RecordBatch.from_pydict({"value": pa.array([data.astype("<i4").tobytes()], pa.binary())})
 
+    ship(rows.sparkSession)
     rows.sparkSession.dataSource.register(BinaryFiles)
     store, folder = _opened(path)
     store.create_dir(folder)
