@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import os
 from contextlib import contextmanager
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweave.plans.stages import written
+from graphweave.plans.stages import ship, written
 
 __all__ = ["SPACE", "blocks", "fenced", "lowered", "mix", "rows", "sampled", "settings", "slices", "slots", "table", "texts", "words_of", "written"]
 
@@ -20,11 +18,8 @@ SPACE = "\\x20\\x09-\\x0D"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table of that name; Python workers get this package on their path."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    """The table of that name; executors get this package for their Python workers."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
