@@ -37,7 +37,7 @@ from graphweave.llm.common import rows, sampled, slices, table, written
 SAMPLE, SAMPLE_QUERIES, PER_LIST, MOST_LISTS, ROUNDS = 20_000, 400, 256, 4096, 8
 #: Lists a vector is posted to at most, how much farther those beyond the first may be, neighbours of a centroid in the graph.
 REPLICAS, BOUNDARY, LINKS = 3, 1.05, 24
-COVERED, EVERY, NEAREST = 0.97, 20, 20
+COVERED, EVERY, NEAREST = 0.95, 20, 20
 #: Blocks that share all postings, least and most postings of one, most queries that meet a block in one task.
 BLOCKS, LEAST_BLOCK, MOST_BLOCK, CHUNK = 16, 1024, 1 << 16, 1 << 14
 #: Numbers that a step of dense work holds at once, in the driver as in the tasks.
