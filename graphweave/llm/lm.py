@@ -18,7 +18,8 @@ class given the word before it; both factors are softmaxes over weighted feature
 Texts are read twice: to count words, and to encode them by the `HOT` most frequent words, which are two
 bytes a token. All else works on the codes. Pair weights and the counts of rare words are joined by
 shuffle with the documents that hold them; only what has a fixed bound goes to tasks: hot words, rows of
-class weights, a normaliser for each context. Words are told by hashes of 63 bits.
+class weights, a normaliser for each context, the most frequent pairs, which so never meet in one task.
+Words are told by hashes of 63 bits.
 
 Defined results: a null or empty text is the end token alone; rows with the same doc_id are scored each
 by itself; a null doc_id counts as an empty text when documents are dealt; without training documents all
@@ -50,6 +51,8 @@ N_ROWS = 1 + 2 * (WORD_ROWS + 1) + PAIR_ROWS
 UPDATES, STEP, SMOOTH = 6, 0.5, 1.0
 #: Occurrences from which a pair has a weight, the penalty on it, updates of pair weights.
 LEAST, PENALTY, PAIR_UPDATES = 2, 0.6, 12
+#: Slots for the pairs that tasks hold, of which there are half as many at most.
+SLOTS = 1 << 19
 #: Tokens of which a task sums up counts before it sends them, and contexts whose classes are computed at once.
 FLUSH, DENSE = 4_000_000, 1 << 13
 FOLDS, HELD_OUT = 7, 2
@@ -103,19 +106,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.first("ending").alias("ending"), F.sum("c").alias("c"))
 
 
-def hot_words(counts: DataFrame) -> list[tuple[int, int, int]]:
-    """word, ending and c of the most frequent words, `HOT` at most, found by a histogram so that tasks send no more than that in all."""
-    level = F.floor(F.log2("c") * 32)
-    sizes = sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+def most_frequent(table_: DataFrame, key: str, n: str, most: int) -> list:
+    """The rows of largest n, `most` at most, found by a histogram so that tasks send no more than that in all."""
+    level = F.floor(F.log2(n) * 32)
+    sizes = sorted(table_.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True)
     taken, found = 0, []
-    for k, n in sizes:
-        if taken + n > HOT:  # of a level that does not fit whole, words of smallest hash
-            found += sampled(counts.filter(level == k), "word", HOT - taken, n).collect() if taken < HOT else []
+    for k, size in sizes:
+        if taken + size > most:  # of a level that does not fit whole, rows of smallest hash
+            found += sampled(table_.filter(level == k), key, most - taken, size).collect() if taken < most else []
             break
-        taken, least = taken + n, k
+        taken, least = taken + size, k
     if taken:
-        found += counts.filter(level >= least).collect()
-    return sorted(((w, e, c) for w, e, c in found), key=lambda x: (-x[2], x[0]))
+        found += table_.filter(level >= least).collect()
+    return sorted(found, key=lambda r: (-r[n], r[key]))
+
+
+def hot_words(counts: DataFrame) -> list[tuple[int, int, int]]:
+    """word, ending and c of the most frequent words, `HOT` at most."""
+    return [(r.word, r.ending, r.c) for r in most_frequent(counts, "word", "c", HOT)]
 
 
 class Lexicon:
@@ -124,14 +132,14 @@ class Lexicon:
     def __init__(self, hot: list[tuple[int, int, int]]):
         word, ending, c = (np.array(x, np.int64) for x in (zip(*hot, strict=True) if hot else ((), (), ())))
         order = np.argsort(word.view(np.uint64))
-        self.words, self.codes, self.n = word.view(np.uint64)[order], order, len(hot)
-        self.class_of = np.zeros(START + 1, np.int64)
+        self.words, self.codes, self.n = word.view(np.uint64)[order], order.astype(np.int32), len(hot)
+        self.class_of = np.zeros(START + 1, np.int16)
         self.class_of[:RARE] = np.where(np.arange(RARE) < FREQUENT, np.arange(RARE) % FREQUENT, 0)
         self.class_of[FREQUENT : self.n] = FREQUENT + ending[FREQUENT:]
         self.class_of[RARE:START] = FREQUENT + np.arange(ENDINGS)
         code = np.arange(START + 1)
         own = WORD_ROWS - SHARED
-        self.row_of = np.where(code < own, code, own + (mix(code.astype(np.uint64)) % np.uint64(SHARED)).astype(np.int64))
+        self.row_of = np.where(code < own, code, own + (mix(code.astype(np.uint64)) % np.uint64(SHARED)).astype(np.int64)).astype(np.int32)
         self.row_of[START] = WORD_ROWS
         self.count = np.zeros(START + 1)
         self.count[: self.n] = c
@@ -290,7 +298,7 @@ def pair_counts(coded: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def fitted_pairs(key: np.ndarray, n: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Keys and weights of the pairs of whole contexts (keys sorted), contexts and logarithms of their normalisers, all to base 10.
+    """Keys, counts and weights of the pairs of whole contexts (keys sorted), contexts and logarithms of their normalisers, all to base 10.
 
     share: of each key's word in its class, by frequency alone.
     """
@@ -307,18 +315,18 @@ def fitted_pairs(key: np.ndarray, n: np.ndarray, share: np.ndarray) -> tuple[np.
         weight += np.log((n - PENALTY) / expected)
     z = np.log10(normaliser())
     has = np.bincount(group, minlength=len(first)) > 0
-    return key, weight / math.log(10), context[first[has]], z[has]
+    return key, n.astype(np.int64), weight / math.log(10), context[first[has]], z[has]
 
 
 def pair_weights(counts: DataFrame, lexicon: Lexicon, mass: np.ndarray) -> DataFrame:
-    """key and value: of each pair its weight; of each context, as -1 - context, its normaliser. A context has at most as many pairs as a class has hot words."""
-    schema = pa.schema([("key", pa.int64()), ("value", pa.float64())])
+    """key, n and value: of each pair its count and weight; of each context, as -1 - context, its normaliser. A context has at most as many pairs as a class has hot words."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("value", pa.float64())])
 
     def work(batches):
         def done(key, n):
             word, of = key & ((1 << _WORD_BITS) - 1), key >> _WORD_BITS & ((1 << _CLASS_BITS) - 1)
-            key, weight, context, z = fitted_pairs(key, n, (lexicon.count[word] + 1) / (mass[of] + 1))
-            return rows(schema, np.concatenate([key, -1 - context]), np.concatenate([weight, z]))
+            key, n, weight, context, z = fitted_pairs(key, n, (lexicon.count[word] + 1) / (mass[of] + 1))
+            return rows(schema, np.concatenate([key, -1 - context]), np.concatenate([n, np.zeros_like(context)]), np.concatenate([weight, z]))
 
         held, size = [], 0
         for b in batches:
@@ -336,19 +344,39 @@ def pair_weights(counts: DataFrame, lexicon: Lexicon, mass: np.ndarray) -> DataF
             yield done(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     dealt = counts.repartition(F.shiftright("key", _WORD_BITS)).sortWithinPartitions("key")
-    return dealt.mapInArrow(work, "key long, value double")
+    return dealt.mapInArrow(work, "key long, n long, value double")
+
+
+class HotPairs:
+    """The weights of the most frequent pairs, for tasks: a slot holds one pair, of those that meet in it the most frequent one."""
+
+    def __init__(self, found: list):
+        """found: rows of key and value, the most frequent first."""
+        self.keys, self.values = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, np.float32)
+        key = np.array([r.key for r in found], np.int64)
+        slot, first = np.unique(self._slot(key), return_index=True)
+        self.keys[slot], self.values[slot] = key[first], np.array([r.value for r in found])[first] if len(key) else []
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (mix(key.astype(np.uint64)) % np.uint64(len(self.keys))).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are held, and their weights (0 for others)."""
+        slot = self._slot(key)
+        held = (self.keys[slot] == key) & (key >= 0)
+        return held, np.where(held, self.values[slot], 0)
 
 
 class Model:
-    """All that a task needs to score, but for pairs and rare words: hot words, class weights, sizes of classes, normalisers of contexts, totals."""
+    """All that a task needs to score, but for most pairs and rare words: hot words and pairs, class weights, sizes of classes, normalisers of contexts, totals."""
 
-    def __init__(self, lexicon: Lexicon, weights: np.ndarray, mass: np.ndarray, normalisers: np.ndarray, total: int, distinct: int):
-        self.lexicon, self.weights, self.normalisers, self.total, self.distinct = lexicon, weights, normalisers, total, distinct
+    def __init__(self, lexicon: Lexicon, weights: np.ndarray, mass: np.ndarray, normalisers: np.ndarray, hot: HotPairs, total: int, distinct: int):
+        self.lexicon, self.weights, self.normalisers, self.hot, self.total, self.distinct = lexicon, weights, normalisers, hot, total, distinct
         self.in_class = np.log10(mass + 1.0)
 
 
 def fit(coded: DataFrame, counts: DataFrame, lexicon: Lexicon) -> tuple[Model, DataFrame]:
-    """The model of the encoded training documents and their word counts, and the table of pair weights (key, value)."""
+    """The model of the encoded training documents and their word counts, and the table of pair weights (key, n, value)."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     mass, of = np.zeros(CLASSES), np.zeros(CLASSES)  # tokens and distinct words of each class; tokens
     frequent = [int(x) for x in lexicon.words.view(np.int64)[lexicon.codes < FREQUENT]]
@@ -364,7 +392,8 @@ def fit(coded: DataFrame, counts: DataFrame, lexicon: Lexicon) -> tuple[Model, D
     # HOT * CLASSES rows at most
     z = pairs.filter("key < 0").select((-1 - F.col("key")).cast("int").alias("context"), F.col("value").cast("float").alias("z")).toArrow()
     normalisers[z["context"].to_numpy() >> _CLASS_BITS, z["context"].to_numpy() & ((1 << _CLASS_BITS) - 1)] = z["z"].to_numpy()
-    return Model(lexicon, weights, mass, normalisers, total, distinct), pairs.filter("key >= 0")
+    pairs = pairs.filter("key >= 0")
+    return Model(lexicon, weights, mass, normalisers, HotPairs(most_frequent(pairs, "key", "n", SLOTS // 2)), total, distinct), pairs
 
 
 def _scored(coded: DataFrame, model: Model) -> DataFrame:
@@ -387,22 +416,22 @@ def _scored(coded: DataFrame, model: Model) -> DataFrame:
                 at = order[cuts[k] : cuts[k + 1]]
                 value[at] = log_probabilities(model.weights, feature_rows(context[i : i + DENSE]))[place[at] - i, of[at]]
             value /= math.log(10)
-            value -= model.in_class[of] + model.normalisers[one, of]
+            value += model.hot.find(pairs_of(lexicon, codes, one))[1] - model.in_class[of] - model.normalisers[one, of]
             base = np.add.reduceat(lexicon.log[codes], begin)
             yield rows(schema, *columns, sizes, np.add.reduceat((codes < RARE).astype(np.int64), begin), base - sizes * every, base + np.add.reduceat(value, begin))
 
     return coded.select("doc", "doc_id", "held_out", "codes").mapInArrow(work, types)
 
 
-def _asked(coded: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """key and doc of each pair of hot words and each rare word of each document."""
+def _asked(coded: DataFrame, lexicon: Lexicon, hot: HotPairs) -> DataFrame:
+    """key and doc of each rare word and each pair of hot words of each document, but for the pairs that tasks hold."""
     schema = pa.schema([("key", pa.int64()), ("doc", pa.int64())])
 
     def work(batches):
         for (doc, rare), begin, sizes, codes in _read(batches, "doc", "rare"):
             doc, n = doc.to_numpy(), pa.compute.binary_length(rare).to_numpy() // 8
             key = pairs_of(lexicon, codes, before(codes, begin)[0])
-            some = (key >= 0) & (codes < RARE)
+            some = (key >= 0) & (codes < RARE) & ~hot.find(key)[0]
             key = np.concatenate([key[some], np.frombuffer(b"".join(rare.to_pylist()), np.int64)])
             order = np.argsort(key)  # equal keys beside each other are compressed to little when they travel
             yield rows(schema, key[order], np.concatenate([np.repeat(doc, sizes)[some], np.repeat(doc, n)])[order])
@@ -422,7 +451,7 @@ def scores(docs: DataFrame, train: Column) -> DataFrame:
     zero = F.lit(0.0)
     known = pairs.select("key", zero.alias("logs"), F.col("value").alias("gain"), F.lit(0).alias("known")).unionByName(counts.select(F.col("word").alias("key"), F.log10(F.col("c") + 1.0).alias("logs"), zero.alias("gain"), F.lit(1).alias("known")))
     # keys are distinct on this side: it is the one to hash, however often a key is asked for
-    found = _asked(coded, lexicon).join(known.hint("shuffle_hash"), "key")
+    found = _asked(coded, lexicon, model.hot).join(known.hint("shuffle_hash"), "key")
     more = found.groupBy("doc").agg(F.sum("known").alias("more"), F.sum("logs").alias("logs"), F.sum("gain").alias("gain"))
     done = part.join(more, "doc", "left")
     logs = F.coalesce("logs", zero)

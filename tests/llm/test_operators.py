@@ -179,6 +179,7 @@ def test_lm(spark, docs, none, monkeypatch, hot):
 def test_lm_score_is_that_of_its_weights(spark, monkeypatch):
     """Every document's score from the weights one by one; all words of a context have a probability of 1 together."""
     monkeypatch.setattr(lm, "HOT", 60)
+    monkeypatch.setattr(lm, "SLOTS", 32)
     rng = random.Random(3)
     phrases = [prose(i, 4) for i in range(30)]
     texts_ = {i: " ".join(rng.choice(phrases) for _ in range(rng.randint(0, 12))) + (" rare" + str(i) if i % 3 else "") for i in range(120)} | {500: "Word " * 300}
@@ -189,7 +190,7 @@ def test_lm_score_is_that_of_its_weights(spark, monkeypatch):
     coded = lm.written(lm.encoded(d, lexicon))
     model, pairs = lm.fit(coded.filter("NOT held_out"), counts, lexicon)
     gain, count = {r.key: r.value for r in pairs.collect()}, {r.word: (r.ending, r.c) for r in counts.collect()}
-    assert lexicon.n == 60 and len(gain) > 20
+    assert lexicon.n == 60 and len(gain) > 20 and 5 < (model.hot.keys >= 0).sum() <= 16
     own = {int(w): int(c) for w, c in zip(lexicon.words.view(np.int64), lexicon.codes)}
 
     def code_of(word):
@@ -233,8 +234,8 @@ def test_lm_pairs_meet_their_counts():
     key = (5 << 24 | 3 << 17) + np.array([1, 2, 9, 65536])
     n = np.array([40, 10, 1, 30])
     share = np.array([0.1, 0.2, 0.05, 0.3])
-    kept, weight, context, z = lm.fitted_pairs(key, n, share)
-    assert list(kept & 0xFFFF) == [1, 2] and list(context) == [5 << 7 | 3]
+    kept, m, weight, context, z = lm.fitted_pairs(key, n, share)
+    assert list(kept & 0xFFFF) == [1, 2] and list(m) == [40, 10] and list(context) == [5 << 7 | 3]
     p = share[:2] * 10**weight / 10 ** z[0]
     assert 81 * p == pytest.approx([40 - lm.PENALTY, 10 - lm.PENALTY], rel=0.02)
 
