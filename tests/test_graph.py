@@ -160,3 +160,36 @@ def test_queries_over_all_rows(spark, tmp_path):
     for fmt in ("adjlist", "binedge", "binadj"):
         assert sorted(run(f"round_trip_{fmt}_all")) == sorted((place[a], place[b]) for a, b in both)
     assert run("round_trip_edgelist_all")[0][:2] == (490, 800)
+
+
+def test_empty_graphs_have_results(spark):
+    none = spark.createDataFrame([], "src long, dst long")
+    assert connected_components(none).count() == 0
+    for g, n in ((Graph.from_edges(none), 0), (Graph.from_edges(none, spark.range(3)), 3)):
+        assert [x.count() for x in (labels.wcc(g), labels.min_label(g), pagerank.pagerank(g), pagerank.pagerank_delta(g))] == [n] * 4
+        assert reach.bfs(g, 1).count() == min(n, 1) and walk.random_walk(g, 3, 9).count() == 0
+
+
+def test_walkers_that_stop_keep_their_way(spark):
+    """A path of seven edges: a walk crosses several written steps and ends at the sink; a loop goes on."""
+    g = graph(spark, [(i, i + 1) for i in range(7)] + [(20, 20)])
+    ways = {}
+    for r in walk.random_walk(g, 40, 10).collect():
+        ways.setdefault(r.walker, []).append((r.step, r.v))
+    assert len(ways) == 40
+    for way in ways.values():
+        way.sort()
+        start = way[0][1]
+        want = [20] * 11 if start == 20 else list(range(start, 8))
+        assert way == list(enumerate(want))
+    assert {w[0][1] for w in ways.values()} >= {0, 20}
+
+
+def test_pagerank_along_incoming_edges(spark):
+    edges = random_edges(3)
+    back = [(b, a) for a, b in edges]
+    one = {r.id: r.rank for r in pagerank.pagerank(graph(spark, edges, 30), 6, direction="in").collect()}
+    other = {r.id: r.rank for r in pagerank.pagerank(graph(spark, back, 30), 6).collect()}
+    assert one == pytest.approx(other)
+    with pytest.raises(RuntimeError, match="supersteps"):
+        pagerank.pagerank_delta(graph(spark, edges, 30), 1e-9, most=2)
