@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweave.plans.stages import ship, written
+from graphweave.plans.stages import measured, ship, written
 
-__all__ = ["SPACE", "blocks", "fenced", "lowered", "mix", "rows", "sampled", "settings", "slices", "slots", "table", "texts", "words_of", "written"]
+__all__ = ["SPACE", "blocks", "fenced", "lowered", "measured", "mix", "rows", "sampled", "settings", "slices", "table", "texts", "words_of", "written"]
 
 #: The white space that ends a word, as a Java and Python character class.
 SPACE = "\\x20\\x09-\\x0D"
@@ -59,11 +59,6 @@ def sampled(df: DataFrame, key: str, most: int, n: int) -> DataFrame:
     return df.orderBy(F.xxhash64(key), key).limit(most)
 
 
-def slots(spark: SparkSession, least: int = 1) -> int:
-    """Number of shuffle partitions of the session, at least `least`."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 # Word hashing. A hash depends on the word's bytes alone: the same in any process.
 
 _MASK = (1 << 64) - 1
