@@ -6,9 +6,8 @@ smaller ones where a bin becomes fuller, then by best fit, largest first. The pi
 of bounded size by hash; each shard is evolved on several islands, whose elites migrate around a ring
 between epochs. Bins that stay below `WELL_FILLED` are dissolved after a level, and their pieces meet in
 at most half as many shards on the next, until one is left: the loss of dealing them out is a few bins
-in all rather than a bin a shard. Evolution goes on for `PATIENCE` children without gain; it ends when no
-packing can have fewer bins, and before the last level when one in `SPARED` bins at most could be saved,
-as the next level packs what is in poorly filled ones again.
+in all rather than a bin a shard. Bins that best fit fills to the last token are settled, all others
+evolve, on every level: for `PATIENCE` children without gain, or until no packing can have fewer bins.
 
 Only lengths travel through the evolution. Texts are tokenized once, where they lie, to the ids that
 `tokenizers` gives by its JSON file: texts are cut at the file's added tokens, which have their own ids;
@@ -40,9 +39,7 @@ from graphweave.llm.common import rows, slices, table, texts, written
 
 CAPACITY, END_ID = 1024, 2
 #: Pieces a shard, islands a shard, epochs (migrations and one more), packings of an island, children without gain that end an epoch.
-SHARD, ISLANDS, EPOCHS, POPULATION, PATIENCE = 4096, 2, 2, 4, 24
-#: See above: bins of which one that could be saved is left to the next level.
-SPARED = 200
+SHARD, ISLANDS, EPOCHS, POPULATION, PATIENCE = 16_384, 2, 2, 4, 24
 #: Tokens from which a bin is left as it is when a level ends, elites that migrate, bins that a crossover opens, pieces of a bin up to which pairs are exchanged.
 WELL_FILLED, ELITES, OPENED, PAIRED = CAPACITY - 8, 2, 2, 8
 
@@ -235,29 +232,38 @@ def least_bins(sizes: list[int]) -> int:
     return max(-(-sum(sizes) // CAPACITY), sum(x > CAPACITY // 2 for x in sizes))
 
 
-def evolved(sizes: list[int], migrants: list[list[list[int]]], seed: int, last: bool = True) -> list[list[list[int]]]:
-    """The population of an island after an epoch, best first; it starts from migrants and a few packings of its own."""
-    rng = random.Random(seed)
-    decreasing = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    population = [*migrants, best_fit([], decreasing, sizes)]
-    least = least_bins(sizes)
-    enough = least if last else least + least // SPARED
-    if min(map(len, population)) > enough:
+def evolved(sizes: list[int], migrants: list[list[list[int]]], seed: int, trace: dict | None = None) -> list[list[list[int]]]:
+    """The population of an island after an epoch, best first; it starts from migrants and a few packings of its own.
+
+    Bins that best fit fills to the last token stay as they are: the same ones on every island, in every
+    epoch. The pieces of all other bins evolve. `trace` counts crossovers and the bins that they saved.
+    """
+    decreasing = best_fit([], sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes)
+    full = [b for b in decreasing if sum(sizes[i] for i in b) == CAPACITY]
+    settled = {i for b in full for i in b}
+    rest = lambda bins: [b for b in bins if b[0] not in settled]
+    rng, least = random.Random(seed), least_bins([x for i, x in enumerate(sizes) if i not in settled])
+    population = [*map(rest, migrants), rest(decreasing)]
+    start = min(map(len, population))
+    if start > least:
+        free = [i for b in population[0] for i in b]
         while len(population) < POPULATION:
-            shuffled = sorted(range(len(sizes)), key=lambda i: -sizes[i] * rng.uniform(0.7, 1))
-            population.append(best_fit([], shuffled, sizes))
+            population.append(best_fit([], sorted(free, key=lambda i: -sizes[i] * rng.uniform(0.7, 1)), sizes))
     population = sorted(((fitness(b, sizes), b) for b in population), key=lambda x: x[0], reverse=True)
-    idle = 0
-    while len(population) > 1 and len(population[0][1]) > enough and idle < PATIENCE:
+    idle = crossovers = 0
+    while len(population) > 1 and len(population[0][1]) > least and idle < PATIENCE:
         mother, father = (b for _, b in rng.sample(population, 2))
         child = crossed(mother, father, sizes, rng)
         score = fitness(child, sizes)
+        crossovers += 1
         idle = 0 if score > population[0][0] else idle + 1
         # one that is worse than all, or as good as one of them, brings nothing new
         if score > population[-1][0] and all(score != x for x, _ in population):
             population[-1] = score, child
             population.sort(key=lambda x: x[0], reverse=True)
-    return [b for _, b in population]
+    if trace is not None:
+        trace.update(crossovers=trace.get("crossovers", 0) + crossovers, saved=trace.get("saved", 0) + start - len(population[0][1]))
+    return [full + b for _, b in population]
 
 
 def _flat(bins: list[list[int]]) -> list[int]:
@@ -279,7 +285,7 @@ def _nested(of: Iterable[int]) -> list[list[int]]:
 _STATE = "shard long, island int, bins array<int>, n_bins long, filled double"
 
 
-def _epoch(items: DataFrame, state: DataFrame | None, epoch: int, last: bool) -> DataFrame:
+def _epoch(items: DataFrame, state: DataFrame | None, epoch: int) -> DataFrame:
     """One epoch of every island: items come with shard, item and length; state holds the migrants."""
     spread = items.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "item", "length")
 
@@ -288,7 +294,7 @@ def _epoch(items: DataFrame, state: DataFrame | None, epoch: int, last: bool) ->
         sizes = [int(x) for x in own["length"]]
         migrants = [] if came is None else [_nested(x) for x in came.sort_values("n_bins")["bins"]]
         shard, island = int(key[0]), int(key[1])
-        best = evolved(sizes, migrants, hash((shard, island, epoch)), last)[:ELITES]
+        best = evolved(sizes, migrants, hash((shard, island, epoch)))[:ELITES]
         return pd.DataFrame([(shard, island, _flat(b), len(b), float(fitness(b, sizes)[1])) for b in best], columns=["shard", "island", "bins", "n_bins", "filled"])
 
     by = spread.groupBy("shard", "island")
@@ -305,7 +311,7 @@ def packed(items: DataFrame, n: int) -> DataFrame:
         dealt = items.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(shards)))
         state = None
         for epoch in range(EPOCHS):
-            state = _epoch(dealt, state, epoch, shards == 1)
+            state = _epoch(dealt, state, epoch)
             if epoch < EPOCHS - 1:  # elites go to the next island, copies stay
                 moved = state.withColumn("island", ((F.col("island") + 1) % ISLANDS).cast("int"))
                 state = written(state.unionByName(moved))

@@ -431,6 +431,22 @@ def test_evolution_beats_best_fit_decreasing():
     assert len(plain) >= 110 and len(best) <= 103
 
 
+def test_evolution_runs_on_a_registered_table(spark):
+    """Bins that best fit leaves unfilled evolve; full ones stay, and no packing has fewer than the bound."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lengths = [r.length for r in packing.pieces(docs, *packing.default_files()).filter("length < 1024").sort("doc_id", "piece").collect()]
+    plain = packing.best_fit([], sorted(range(len(lengths)), key=lambda i: -lengths[i]), lengths)
+    trace = {}
+    best = packing.evolved(lengths, [], 1, trace)[0]
+    assert trace["crossovers"] > 0 or len(plain) == packing.least_bins(lengths)
+    assert packing.least_bins(lengths) <= len(best) <= len(plain) and sorted(i for b in best for i in b) == list(range(len(lengths)))
+    for part in range(3):  # as on a level of three shards
+        own, trace = lengths[part::3], {}
+        packing.evolved(own, [], 1, trace)
+        bins = packing.best_fit([], sorted(range(len(own)), key=lambda i: -own[i]), own)
+        assert trace["crossovers"] > 0 or len(bins) == packing.least_bins(own)
+
+
 def test_packing_over_several_levels(spark, monkeypatch):
     """Many shards and levels, pieces in exchange: nothing is lost or doubled, and few bins are more than needed."""
     monkeypatch.setattr(packing, "SHARD", 64)
