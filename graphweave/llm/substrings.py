@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import _BYTE, blocks, mix, rows, settings, slices, table, written
+from graphweave.llm.common import SPACE, _BYTE, blocks, mix, rows, settings, slices, table, written
 
 LENGTH, GRAM = 100, 32
 #: Places an anchor can have in a string.
@@ -425,7 +425,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", "text", F.struct("*").alias("row"))
     kind = d.schema["row"].dataType.simpleString()
     done = _with_ranges(d, ["row"]).select("text", "found", "row").mapInArrow(work, f"row {kind}, found boolean, text string")
-    done = done.filter("NOT found OR trim(text) != ''")
+    done = done.filter(~F.col("found") | F.col("text").rlike(f"[^{SPACE}]"))
     return done.select([F.when(F.col("found"), F.col("text")).otherwise(F.col("row.text")).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
