@@ -65,15 +65,18 @@ def _left(pattern: str) -> Column:
     return F.length(F.regexp_replace("text", pattern, "")).cast("long")
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
+
+
 def measured(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
     """doc_id, the measurements and the columns to carry of each document."""
-    words = F.filter(F.split("text", f"[{SPACE}]+"), lambda w: w != "")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     d = texts(docs, carry)
-    d = fenced(d, *d.columns, words.alias("words"), lines.alias("lines"))
+    d = fenced(d, *d.columns, _words(F.col("text")).alias("words"), _words(F.lower("text")).alias("lowered"), lines.alias("lines"))
     d = fenced(d, *d.columns, F.expr(_WINDOWS).alias("windows"))
     repeat = F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0)).otherwise(F.expr(_COVERED))
-    stutters = F.expr("size(filter(words, (w, i) -> i > 0 AND lower(words[i - 1]) = lower(w)))")
+    stutters = F.expr("size(filter(lowered, (w, i) -> i > 0 AND lowered[i - 1] = w))")
     return fenced(
         d,
         "doc_id",
