@@ -6,8 +6,8 @@ smaller ones where a bin becomes fuller, then by best fit, largest first. The pi
 of bounded size by hash; each shard is evolved on several islands, whose elites migrate around a ring
 between epochs. Bins that stay below `WELL_FILLED` are dissolved after a level, and their pieces meet in
 at most half as many shards on the next, until one is left: the loss of dealing them out is a few bins
-in all rather than a bin a shard. Bins that best fit fills to the last token are settled, all others
-evolve, on every level: for `PATIENCE` children without gain, or until no packing can have fewer bins.
+in all rather than a bin a shard. All bins that best fit leaves unfilled evolve, on every level: for
+`PATIENCE` children without gain, or until no packing can have fewer bins.
 
 Only lengths travel through the evolution. Texts are tokenized once, where they lie, to the ids that
 `tokenizers` gives by its JSON file: texts are cut at the file's added tokens, which have their own ids;
@@ -40,6 +40,8 @@ from graphweave.llm.common import rows, slices, table, texts, written
 CAPACITY, END_ID = 1024, 2
 #: Pieces a shard, islands a shard, epochs (migrations and one more), packings of an island, children without gain that end an epoch.
 SHARD, ISLANDS, EPOCHS, POPULATION, PATIENCE = 16_384, 2, 2, 4, 24
+#: Pieces of a shard that evolve at least.
+FREE = 1024
 #: Tokens from which a bin is left as it is when a level ends, elites that migrate, bins that a crossover opens, pieces of a bin up to which pairs are exchanged.
 WELL_FILLED, ELITES, OPENED, PAIRED = CAPACITY - 8, 2, 2, 8
 
@@ -235,20 +237,24 @@ def least_bins(sizes: list[int]) -> int:
 def evolved(sizes: list[int], migrants: list[list[list[int]]], seed: int, trace: dict | None = None) -> list[list[list[int]]]:
     """The population of an island after an epoch, best first; it starts from migrants and a few packings of its own.
 
-    Bins that best fit fills to the last token stay as they are: the same ones on every island, in every
-    epoch. The pieces of all other bins evolve. `trace` counts crossovers and the bins that they saved.
+    The pieces of all bins that best fit leaves unfilled evolve and, while these are fewer than `FREE`,
+    those of full bins, the ones of most pieces first; other full bins stay as they are: the same ones on
+    every island, in every epoch. `trace` counts crossovers and the bins that they saved.
     """
     decreasing = best_fit([], sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes)
-    full = [b for b in decreasing if sum(sizes[i] for i in b) == CAPACITY]
+    full = sorted((b for b in decreasing if sum(sizes[i] for i in b) == CAPACITY), key=len)
+    free = len(sizes) - sum(map(len, full))
+    while full and free < FREE:
+        free += len(full.pop())
     settled = {i for b in full for i in b}
     rest = lambda bins: [b for b in bins if b[0] not in settled]
     rng, least = random.Random(seed), least_bins([x for i, x in enumerate(sizes) if i not in settled])
     population = [*map(rest, migrants), rest(decreasing)]
     start = min(map(len, population))
     if start > least:
-        free = [i for b in population[0] for i in b]
+        loose = sorted(i for b in population[0] for i in b)
         while len(population) < POPULATION:
-            population.append(best_fit([], sorted(free, key=lambda i: -sizes[i] * rng.uniform(0.7, 1)), sizes))
+            population.append(best_fit([], sorted(loose, key=lambda i: -sizes[i] * rng.uniform(0.7, 1)), sizes))
     population = sorted(((fitness(b, sizes), b) for b in population), key=lambda x: x[0], reverse=True)
     idle = crossovers = 0
     while len(population) > 1 and len(population[0][1]) > least and idle < PATIENCE:
