@@ -10,7 +10,7 @@ from graphweave import generate, harness, sources
 from graphweave.graph import Graph
 from graphweave.operators.numbering import first_seen
 from graphweave.operators.superstep import dense_map, edge_map, gather, vertex_map
-from graphweave.plans import labels, pagerank, reach, walk
+from graphweave.plans import labels, pagerank, programs, reach, walk
 from graphweave.plans.stages import shared_dir, written
 
 QUERIES: dict = {}
@@ -56,6 +56,11 @@ def degrees(spark: SparkSession, d: str) -> DataFrame:
     return fx.sparse_all(spark, d).degrees()
 
 
+@_query("degrees_all", _with("orders_parts", _DEGREE))
+def degrees_all(spark: SparkSession, d: str) -> DataFrame:
+    return fx.orders_parts(spark, d).degrees()
+
+
 @_query("degree_hist", _with("parts_suppliers", f"SELECT degree, count(*)::BIGINT AS cnt FROM ({_DEGREE}) GROUP BY degree"))
 def degree_hist(spark: SparkSession, d: str) -> DataFrame:
     return fx.parts_suppliers(spark, d).degrees().groupBy("degree").agg(F.count(F.lit(1)).alias("cnt"))
@@ -171,6 +176,36 @@ def dfs_count(spark: SparkSession, d: str) -> DataFrame:
     return reach.dfs_count(fx.geography(spark, d))
 
 
+@_query("reach_within", f"WITH RECURSIVE {fx.sql('parts_suppliers')}, r(id, hops) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, hops + 1 FROM r JOIN e ON e.src = r.id WHERE hops < 3) SELECT id, min(hops)::INTEGER AS hops FROM r GROUP BY id")
+def reach_within(spark: SparkSession, d: str) -> DataFrame:
+    """What three hops from part 0 reach: one recursive query."""
+    return reach.within(fx.parts_suppliers(spark, d), spark.range(1), 3)
+
+
+@_query(
+    "shortest_paths",
+    """WITH RECURSIVE p AS (SELECT 2 * l_partkey AS a, 2 * l_suppkey + 1 AS b, min(l_quantity) AS weight FROM lineitem GROUP BY ALL),
+e AS (SELECT a AS src, b AS dst, weight FROM p UNION ALL SELECT b, a, weight FROM p),
+r(id, distance) USING KEY (id) AS (SELECT 0::BIGINT, 0.0::DOUBLE UNION
+  SELECT e.dst, min(r.distance + e.weight) FROM r JOIN e ON e.src = r.id LEFT JOIN recurring.r o ON o.id = e.dst GROUP BY e.dst HAVING min(r.distance + e.weight) < coalesce(min(o.distance), 'infinity'::DOUBLE))
+SELECT id, distance FROM r""",
+)
+def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Distances from part 0, an edge being as long as the least quantity that was ordered of it."""
+    return programs.shortest_paths(fx.weighted(spark, d), 0)
+
+
+@_query(
+    "k_core",
+    f"""WITH RECURSIVE {fx.sql('parts_suppliers')}, r(k, id) AS (SELECT 0, id FROM v UNION ALL
+  SELECT r.k + 1, e.src FROM r JOIN e ON e.src = r.id JOIN r t ON t.id = e.dst WHERE r.k < 40 GROUP BY r.k, e.src HAVING count(*) >= 26)
+SELECT id, count(*)::BIGINT AS degree FROM (SELECT id FROM r WHERE k = 40) JOIN e ON e.src = id WHERE e.dst IN (SELECT id FROM r WHERE k = 40) GROUP BY id""",
+)
+def k_core(spark: SparkSession, d: str) -> DataFrame:
+    """Parts and suppliers that keep 26 partners among themselves."""
+    return programs.k_core(fx.parts_suppliers(spark, d), 26)
+
+
 _LABELS = """w(id, label) USING KEY (id) AS (
   SELECT id, id FROM v UNION
   SELECT e.dst, min(w.label) FROM w JOIN e ON e.src = w.id JOIN recurring.w r ON r.id = e.dst GROUP BY e.dst HAVING min(w.label) < min(r.label))"""
@@ -186,6 +221,17 @@ def wcc_count(spark: SparkSession, d: str) -> DataFrame:
     return labels.count(labels.wcc(fx.sparse(spark, d)))
 
 
+@_query("wcc_labels_all", f"WITH RECURSIVE {fx.sql('orders_parts')}, e2 AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), {_LABELS.replace('JOIN e ', 'JOIN e2 e ')} SELECT id, label FROM w")
+def wcc_labels_all(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and parts that belong together, over all lines."""
+    return labels.wcc(fx.orders_parts(spark, d))
+
+
+@_query("wcc_count_all", f"WITH RECURSIVE {fx.sql('customers_orders')}, {_LABELS} SELECT count(DISTINCT label)::BIGINT AS n FROM w")
+def wcc_count_all(spark: SparkSession, d: str) -> DataFrame:
+    return labels.count(labels.wcc(fx.customers_orders(spark, d)))
+
+
 @_query("wcc_sizes", f"WITH RECURSIVE {fx.sql('customers_orders')}, {_LABELS} SELECT label, count(*)::BIGINT AS size FROM w GROUP BY label")
 def wcc_sizes(spark: SparkSession, d: str) -> DataFrame:
     return labels.sizes(labels.wcc(fx.customers_orders(spark, d)))
@@ -250,14 +296,24 @@ def random_walk_visits(spark: SparkSession, d: str) -> DataFrame:
     return walk.walk_visits(fx.orders_parts(spark, d), 1000, 4)
 
 
-@_query("random_walk_all", None)
+def _long_walk_sql(graph: str, last: str) -> str:
+    """Walks of 1,000 walkers over |V| / 1,000 steps, as a recursion."""
+    draw = lambda w, k, n: f"((({w} * 1103515245 + {k} * 134775813 + 42 * 69069) % 2147483648) // 256 % {n})"
+    return f"""WITH RECURSIVE {fx.sql(graph)}, o AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k FROM e),
+g AS (SELECT src AS v, count(*) AS degree, row_number() OVER (ORDER BY src) - 1 AS place FROM e GROUP BY src),
+w(walker, step, v) AS (SELECT r.range, 0, g.v FROM range(1000) r JOIN g ON g.place = {draw("r.range", 0, "(SELECT count(*) FROM g)")} UNION ALL
+  SELECT w.walker, w.step + 1, o.dst FROM w JOIN g ON g.v = w.v JOIN o ON o.src = w.v AND o.k = {draw("w.walker", "(w.step + 1)", "g.degree")} WHERE w.step < (SELECT count(*) FROM v) // 1000)
+{last}"""
+
+
+@_query("random_walk_all", _long_walk_sql("parts_suppliers", "SELECT walker, step, v FROM w"))
 def random_walk_all(spark: SparkSession, d: str) -> DataFrame:
-    """1,000 walkers over all pairs, which have no sinks, and |V| / 1,000 steps: SQL has no loop of so many."""
+    """1,000 walkers over all pairs, which have no sinks, and |V| / 1,000 steps."""
     graph = fx.parts_suppliers(spark, d)
     return walk.random_walk(graph, 1000, graph.vertices.count() // 1000)
 
 
-@_query("random_walk_visits_all", None)
+@_query("random_walk_visits_all", _long_walk_sql("parts_suppliers", "SELECT count(*)::BIGINT AS visited FROM w WHERE step < (SELECT count(*) FROM v) // 1000"))
 def random_walk_visits_all(spark: SparkSession, d: str) -> DataFrame:
     """The reference's default: 1,000 walkers and |V| / 1,000 steps."""
     return walk.walk_visits(fx.parts_suppliers(spark, d), 1000)

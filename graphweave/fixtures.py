@@ -20,6 +20,13 @@ def parts_suppliers(spark: SparkSession, sf_dir: str, where: str = "true") -> Gr
     return Graph.from_edges(pairs).symmetrized()
 
 
+def weighted(spark: SparkSession, sf_dir: str) -> Graph:
+    """The parts-suppliers graph with a weight on each edge, the least quantity of its lines."""
+    least = _table(spark, sf_dir, "lineitem").groupBy((2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst")).agg(F.min("l_quantity").alias("weight"))
+    both = least.unionByName(least.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return Graph(both.select(F.col("src").alias("id")).distinct(), both, implied=True)
+
+
 def sparse(spark: SparkSession, sf_dir: str) -> Graph:
     return parts_suppliers(spark, sf_dir, _SPARSE)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,25 +14,28 @@ class Graph:
 
     vertices: DataFrame
     edges: DataFrame
+    #: The vertices are the edges' ends and no others, so that stored edges tell them as well.
+    implied: bool = False
 
     @staticmethod
     def from_edges(edges: DataFrame, vertices: DataFrame | None = None, declared: int | None = None) -> Graph:
         """A graph over the given vertices, over 0..declared-1 and the edges' ends, or over the ends alone."""
         edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+        implied = vertices is None and declared is None
         if vertices is None:
             ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
             if declared is not None:
                 ends = ends.unionByName(edges.sparkSession.range(declared))
             vertices = ends.distinct()
-        return Graph(vertices.select(F.col("id").cast("long").alias("id")), edges)
+        return Graph(vertices.select(F.col("id").cast("long").alias("id")), edges, implied)
 
     def symmetrized(self) -> Graph:
         """Every edge in both directions; a loop stays one edge."""
         back = self.edges.filter("src != dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        return Graph(self.vertices, self.edges.unionByName(back))
+        return Graph(self.vertices, self.edges.unionByName(back), self.implied)
 
     def deduplicated(self) -> Graph:
-        return Graph(self.vertices, self.edges.distinct())
+        return Graph(self.vertices, self.edges.distinct(), self.implied)
 
     def without_loops(self) -> Graph:
         return Graph(self.vertices, self.edges.filter("src != dst"))
@@ -65,10 +67,3 @@ class Graph:
     def neighbours(self, keys: DataFrame) -> DataFrame:
         """The out-edges of the vertices in keys(id)."""
         return self.edges.join(keys.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
-
-    def cached(self, by: str = "src") -> Graph:
-        """The graph with its edges kept, dealt by one end, so that joins on it and sums over it need no shuffle of edges."""
-        return Graph(self.vertices, self.edges.repartition(by).persist(StorageLevel.MEMORY_AND_DISK))
-
-    def release(self) -> None:
-        self.edges.unpersist()

@@ -6,30 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.graph import Graph
-from graphweave.operators.superstep import edge_map, gather
+from graphweave.layout import store
 from graphweave.plans.components import connected_components
-from graphweave.plans.stages import discard, measured, written
+from graphweave.plans.fixpoint import vertex_program
 
 
 def min_label(graph: Graph) -> DataFrame:
     """id and label: the least id from which directed paths reach the vertex, itself included.
 
-    Only labels that changed are sent on. On a symmetric graph `wcc` gives the same in fewer steps.
+    Only labels that changed are sent on, and written. On a symmetric graph `wcc` gives the same in fewer steps.
     """
-    held = graph.cached("src")
-    state = written(graph.vertices.select("id", F.col("id").alias("label")))
-    changed = state
-    while True:
-        best = gather(edge_map(changed, held.edges, label=F.col("label")), message=F.min("label"))
-        new, seen = measured(state.join(best, "id").filter("message < label").select("id", F.col("message").alias("label")))
-        if not seen["n"]:
-            held.release()
-            return state
-        after = written(state.join(new.withColumnRenamed("label", "new"), "id", "left").select("id", F.coalesce("new", "label").alias("label")))
-        if changed is not state:
-            discard(changed)
-        discard(state)
-        state, changed = after, new
+    held = store(graph.edges, "src")
+    first = held.vertices(graph).select("id", F.col("id").alias("label"))
+    found = vertex_program(first, held, {"label": F.col("label")}, {"least": F.min("label")}, {"label": F.col("least")}, F.col("least") < F.col("label"))
+    held.release()
+    return found
 
 
 def wcc(graph: Graph) -> DataFrame:
