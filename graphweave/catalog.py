@@ -12,6 +12,7 @@ from graphweave.operators.numbering import first_seen
 from graphweave.operators.superstep import dense_map, edge_map, gather, vertex_map
 from graphweave.plans import labels, pagerank, programs, reach, walk
 from graphweave.plans.stages import shared_dir, written
+from graphweave.sources import formats
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -364,6 +365,15 @@ def round_trip_binedge_both(spark: SparkSession, d: str) -> DataFrame:
     return sources.read_graph(spark, path).edges
 
 
+@_query("binadj_range", f"WITH {fx.sql('customers_orders')}, d AS (WITH x AS (SELECT 1){_DENSE_SQL}) SELECT src, dst FROM d WHERE src <= 99")
+def binadj_range(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs written as a binary adjacency list, and the edges of its first hundred vertices read by the offset index."""
+    path = f"{shared_dir(spark)}.binadj"
+    sources.write_binadj(_dense(fx.customers_orders(spark, d)), path)
+    formats.register(spark)
+    return spark.read.format("binadj").option("most", 99).load(path)
+
+
 @_query("save_load", _with("orders_parts", "SELECT src, dst, count(*)::BIGINT AS mult FROM e GROUP BY src, dst"))
 def save_load(spark: SparkSession, d: str) -> DataFrame:
     path = shared_dir(spark)

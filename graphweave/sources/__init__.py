@@ -106,12 +106,36 @@ def read_binedge(spark: SparkSession, path: str) -> Graph:
     return Graph.from_edges(edges)
 
 
+def indexed(file: str) -> list[tuple[int, int, int]] | None:
+    """The cuts (start, end, vertices) of a part file by the index beside it, if there is one."""
+    store, path = _opened(file)
+    if store.get_file_info(_index_of(path)).type != fs.FileType.File:
+        return None
+    with store.open_input_file(_index_of(path)) as f:
+        return [tuple(map(int, x)) for x in np.frombuffer(f.read(), "<i8").reshape(-1, 3)]
+
+
+def lists_of(file: str, start: int, end: int, v: int):
+    """The edges of the vertices v, v + 1, ... whose lists lie between two bytes of a file, in batches."""
+    data = np.concatenate(list(_ints(file, start, end)))
+    view, at, places = memoryview(data), 0, []
+    while at < len(data):
+        places.append(at)
+        at += view[at] + 1
+    places = np.array(places)
+    src = np.repeat(np.arange(v, v + len(places)), data[places])
+    dst = np.delete(data, places).astype(np.int64)
+    for i in range(0, len(src), 1 << 17):
+        yield pa.RecordBatch.from_arrays([pa.array(src[i : i + (1 << 17)]), pa.array(dst[i : i + (1 << 17)])], schema=_EDGES)
+
+
 def read_binadj(spark: SparkSession, path: str) -> Graph:
     """int32 V and E, then degree and neighbours of each vertex.
 
-    Records have no fixed length, so the files' bytes are read twice: first each file by one task, which
-    steps from degree to degree and notes where a vertex begins about every `SPLIT` bytes; then each
-    split by a task of its own. A file of a folder begins with a vertex.
+    Records have no fixed length. Where the writer left an index of vertex offsets beside a file, it tells
+    the splits; a file without one is read twice: first by one task, which steps from degree to degree and
+    notes where a vertex begins about every `SPLIT` bytes; then each split by a task of its own. A file of
+    a folder begins with a vertex.
     """
     named = [r.file for r in _files(spark, path).select("file").sort("file").collect()]  # a row for each file
     if not named:
@@ -122,6 +146,10 @@ def read_binadj(spark: SparkSession, path: str) -> Graph:
     def cuts(batches):
         for b in batches:
             for file, length in zip(b["file"].to_pylist(), b["length"].to_pylist(), strict=True):
+                if (known := indexed(file)) is not None:
+                    if known:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((file, *cut) for cut in known), strict=True), cuts_schema.types, strict=True)], schema=cuts_schema)
+                    continue
                 begin = at = 2 if file == head else 0  # in int32
                 n, base, out, total = 0, 0, [], length // 4
                 for data in _ints(file, 0, total * 4):
@@ -149,17 +177,8 @@ def read_binadj(spark: SparkSession, path: str) -> Graph:
 
     def edges(batches):
         for b in batches:
-            for file, start, end, v in zip(*(b[c].to_pylist() for c in ("file", "start", "end", "v")), strict=True):
-                data = np.concatenate(list(_ints(file, start, end)))
-                view, at, places = memoryview(data), 0, []
-                while at < len(data):
-                    places.append(at)
-                    at += view[at] + 1
-                places = np.array(places)
-                src = np.repeat(np.arange(v, v + len(places)), data[places])
-                dst = np.delete(data, places).astype(np.int64)
-                for i in range(0, len(src), 1 << 17):
-                    yield pa.RecordBatch.from_arrays([pa.array(src[i : i + (1 << 17)]), pa.array(dst[i : i + (1 << 17)])], schema=_EDGES)
+            for split in zip(*(b[c].to_pylist() for c in ("file", "start", "end", "v")), strict=True):
+                yield from lists_of(*split)
 
     if not splits:
         return Graph(spark.range(0), spark.createDataFrame([], "src long, dst long"))
@@ -195,7 +214,8 @@ def write_edgelist(graph: Graph, path: str) -> None:
 class BinaryFiles(DataSource):
     """A sink of raw bytes: each task writes the values of its rows, one after another, to a file of its own.
 
-    Options: path, a folder that all executors share, or a URI of a store.
+    Options: path, a folder that all executors share, or a URI of a store; marks, whether rows tell where
+    vertices begin in their value, so that an index of vertex offsets is left beside each file.
     """
 
     @classmethod
@@ -203,10 +223,10 @@ class BinaryFiles(DataSource):
         return "graphbytes"
 
     def schema(self) -> str:
-        return "value binary"
+        return "value binary, begins binary"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _BytesWriter(self.options["path"])
+        return _BytesWriter(self.options["path"], self.options.get("marks") == "true")
 
 
 class _Part(WriterCommitMessage):
@@ -214,9 +234,38 @@ class _Part(WriterCommitMessage):
         self.path = path
 
 
+class Marks:
+    """Cuts of a file into about `SPLIT` bytes, each where a vertex begins: (start, end, vertices)."""
+
+    def __init__(self):
+        self.cuts: list[tuple[int, int, int]] = []
+        self.start, self.n = -1, 0
+
+    def add(self, begins: np.ndarray) -> None:
+        """Takes the bytes at which the next vertices begin, ascending."""
+        while len(begins):
+            if self.start < 0:
+                self.start = int(begins[0])
+            k = int(np.searchsorted(begins, self.start + SPLIT))
+            self.n += k
+            begins = begins[k:]
+            if len(begins):
+                self.cuts.append((self.start, int(begins[0]), self.n))
+                self.start, self.n = -1, 0
+
+    def done(self, end: int) -> list[tuple[int, int, int]]:
+        return self.cuts + ([(self.start, end, self.n)] if self.n else [])
+
+
+def _index_of(path: str) -> str:
+    """The index of a part file, in a folder beside that of the files, which stay all there is in theirs."""
+    folder, _, name = path.rpartition("/")
+    return f"{folder}.offsets/{name}"
+
+
 class _BytesWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.uri = path
+    def __init__(self, path: str, marks: bool):
+        self.uri, self.marks = path, marks
 
     def write(self, rows) -> _Part:
         from pyspark import TaskContext
@@ -224,9 +273,16 @@ class _BytesWriter(DataSourceWriter):
         context = TaskContext.get()
         store, path = _opened(self.uri)
         part = f"{path}/.part-{context.partitionId():05d}-{context.taskAttemptId()}"
+        marks, at = Marks(), 0
         with store.open_output_stream(part) as f:
-            for (value,) in rows:
+            for value, begins in rows:
                 f.write(value)
+                if self.marks:
+                    marks.add(at + np.frombuffer(begins, "<i8"))
+                at += len(value)
+        if self.marks:
+            with store.open_output_stream(_index_of(part)) as f:
+                f.write(np.array(marks.done(at), "<i8").tobytes())
         return _Part(part)
 
     def commit(self, messages) -> None:
@@ -235,31 +291,43 @@ class _BytesWriter(DataSourceWriter):
         for m in messages:
             if m is not None:
                 folder, _, name = m.path.rpartition("/")
-                store.move(m.path, f"{folder}/{name[1:].rpartition('-')[0]}")
+                final = f"{folder}/{name[1:].rpartition('-')[0]}"
+                if self.marks:  # before the file: a file without its index is read without it
+                    store.move(_index_of(m.path), _index_of(final))
+                store.move(m.path, final)
 
     def abort(self, messages) -> None:
         store, _ = _opened(self.uri)
         for m in messages:
             if m is not None:
                 store.delete_file(m.path)
+                if self.marks:
+                    store.delete_file(_index_of(m.path))
+
 
+def _write_ints(rows: DataFrame, path: str, vertices: bool = False) -> None:
+    """The int32 of the rows' columns, row by row, in the order in which they come.
 
-def _write_ints(rows: DataFrame, path: str) -> None:
-    """The int32 of the rows' columns, row by row, in the order in which they come."""
-    names = rows.columns
+    With `vertices` a column `begins` tells whether a vertex begins with the row, and an index is left of it.
+    """
+    names = [c for c in rows.columns if c != "begins"]
+    schema = pa.schema([("value", pa.binary()), ("begins", pa.binary())])
 
     def packed(batches):
         for b in batches:
             data = np.stack([b[c].to_numpy() for c in names], 1)
             if len(data) and (data.min() < -(1 << 31) or data.max() >= 1 << 31):
                 raise ValueError("an id does not fit into 32 bits")
-            yield pa.RecordBatch.from_pydict({"value": pa.array([data.astype("<i4").tobytes()], pa.binary())})
+            begins = np.flatnonzero(b["begins"].to_numpy(zero_copy_only=False)) * 4 * len(names) if vertices else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([data.astype("<i4").tobytes()], pa.binary()), pa.array([begins.astype("<i8").tobytes()], pa.binary())], schema=schema)
 
     ship(rows.sparkSession)
     rows.sparkSession.dataSource.register(BinaryFiles)
     store, folder = _opened(path)
     store.create_dir(folder)
-    rows.mapInArrow(packed, "value binary").write.format("graphbytes").mode("append").save(path)
+    if vertices:
+        store.create_dir(_index_of(f"{folder}/").rstrip("/"))
+    rows.mapInArrow(packed, "value binary, begins binary").write.format("graphbytes").option("marks", "true" if vertices else "false").mode("append").save(path)
 
 
 def write_binedge(graph: Graph, path: str, both: bool = True) -> None:
@@ -270,14 +338,16 @@ def write_binedge(graph: Graph, path: str, both: bool = True) -> None:
 def write_binadj(graph: Graph, path: str) -> None:
     """V, E and the vertices' lists, in part files of vertex ranges: put together in the order of their names they are one file. Ids must be 0..V-1.
 
-    A list is written as its edges come, sorted behind the vertex's degree, and is never held whole.
+    A list is written as its edges come, sorted behind the vertex's degree, and is never held whole. Beside
+    each file an index is left of where vertices begin, about every `SPLIT` bytes, by which readers split it.
     """
     n, m = graph.stats().first()
     head = graph.edges.sparkSession.createDataFrame([(-1, 0, n), (-1, 1, m)], "id long, place long, value long")
     degrees = graph.degrees().select("id", F.lit(-1).cast("long").alias("place"), F.col("degree").alias("value"))
     edges = graph.edges.select(F.col("src").alias("id"), F.col("dst").alias("place"), F.col("dst").alias("value"))
     rows = head.unionByName(degrees).unionByName(edges)
-    _write_ints(rows.repartitionByRange("id").sortWithinPartitions("id", "place").select("value"), path)
+    begins = ((F.col("place") == -1) & (F.col("id") >= 0)).alias("begins")
+    _write_ints(rows.repartitionByRange("id").sortWithinPartitions("id", "place").select("value", begins), path, vertices=True)
 
 
 def save(graph: Graph, path: str) -> None:
