@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from graphweave import fixtures as fx
 from graphweave import generate, harness, sources
 from graphweave.graph import Graph
-from graphweave.operators.numbering import first_seen
+from graphweave.operators.callbacks import h_index, vertex_apply
+from graphweave.operators.numbering import first_seen, numbered
 from graphweave.operators.superstep import dense_map, edge_map, gather, vertex_map
 from graphweave.plans import labels, pagerank, programs, reach, walk
 from graphweave.plans.stages import shared_dir, written
@@ -437,3 +438,73 @@ def gen_ba_sound(spark: SparkSession, d: str) -> DataFrame:
     """As `gen_er_sound`; poor are vertices without edges, of which preferential attachment makes none."""
     graph = generate.barabasi_albert(spark, spark.read.parquet(f"{d}/part.parquet").count(), 5)
     return _invariants(graph).join(graph.degrees().agg(F.count_if(F.col("degree") == 0).alias("poor")), F.lit(True))  # single rows
+
+
+_SHIPPED = "SELECT (2 * l_partkey)::BIGINT AS src, (2 * l_suppkey + 1)::BIGINT AS dst FROM lineitem WHERE l_returnflag"
+
+
+@_query("graph_difference", f"{_SHIPPED} = 'N' EXCEPT ALL {_SHIPPED} <> 'N'")
+def graph_difference(spark: SparkSession, d: str) -> DataFrame:
+    """Shipments that were kept, each as often as it is beyond those that were looked at for return."""
+    return fx.shipments(spark, d, "l_returnflag = 'N'").minus(fx.shipments(spark, d, "l_returnflag <> 'N'")).edges
+
+
+@_query("graph_common", f"SELECT src, dst, count(*)::BIGINT AS mult FROM ({_SHIPPED} = 'N' INTERSECT ALL {_SHIPPED} <> 'N') GROUP BY src, dst")
+def graph_common(spark: SparkSession, d: str) -> DataFrame:
+    both = fx.shipments(spark, d, "l_returnflag = 'N'").common(fx.shipments(spark, d, "l_returnflag <> 'N'"))
+    return both.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("mult"))
+
+
+@_query("neighbour_h_index", f"WITH {fx.sql('parts_suppliers')}, g AS ({_DEGREE}), n AS (SELECT e.src, g.degree, row_number() OVER (PARTITION BY e.src ORDER BY g.degree DESC) AS place FROM e JOIN g ON g.id = e.dst) SELECT src AS id, max(least(degree, place))::BIGINT AS h FROM n GROUP BY src")
+def neighbour_h_index(spark: SparkSession, d: str) -> DataFrame:
+    """The largest h for each vertex such that h of its neighbours have h edges or more: a callback over degrees that Spark has counted."""
+    graph = fx.parts_suppliers(spark, d)
+    edges = written(graph.edges)
+    degrees = Graph(graph.vertices, edges).degrees().withColumnRenamed("id", "dst")
+    counted = edges.join(degrees, "dst").groupBy(F.col("src").alias("id"), F.col("degree").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return vertex_apply(counted, h_index, "id long, h long", order=("-value",))
+
+
+_LAST_DAY = "SELECT 2 * o_orderkey AS id FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)"
+_HEAVY = "SELECT 2 * p_partkey + 1 AS id FROM part WHERE p_size = (SELECT max(p_size) FROM part) AND p_retailprice = (SELECT max(p_retailprice) FROM part WHERE p_size = (SELECT max(p_size) FROM part))"
+
+
+@_query("point_read_out", _with("orders_parts", f"SELECT src, dst FROM e WHERE src IN ({_LAST_DAY})"))
+def point_read_out(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the last day's orders, read from a saved graph by what Parquet keeps of sources."""
+    path, orders = shared_dir(spark), spark.read.parquet(f"{d}/orders.parquet")
+    sources.save(fx.orders_parts(spark, d), path)
+    last = orders.join(orders.agg(F.max("o_orderdate").alias("o_orderdate")), "o_orderdate", "left_semi")
+    return sources.edges_at(spark, path, last.select((2 * F.col("o_orderkey")).alias("id")))
+
+
+@_query("point_read_in", _with("orders_parts", f"SELECT src, dst FROM e WHERE dst IN ({_HEAVY})"))
+def point_read_in(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the dearest of the largest parts, by what it keeps of destinations, among which edges are not sorted."""
+    path, part = shared_dir(spark), spark.read.parquet(f"{d}/part.parquet")
+    sources.save(fx.orders_parts(spark, d), path)
+    dearest = part.agg(F.max(F.struct("p_size", "p_retailprice")).alias("m")).select("m.*")
+    return sources.edges_at(spark, path, part.join(dearest, ["p_size", "p_retailprice"], "left_semi").select((2 * F.col("p_partkey") + 1).alias("id")), "dst")
+
+
+_MD5_DRAW = "('0x' || substr(md5('42:' || {} || ':{}'), 1, 15))::BIGINT % (SELECT count(*) FROM customer)"
+
+
+@_query("gen_er_orders", f"WITH d AS (SELECT {_MD5_DRAW.format('o_orderkey', 0)} AS a, {_MD5_DRAW.format('o_orderkey', 1)} AS b FROM orders), e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM d WHERE a <> b) SELECT a AS src, b AS dst FROM e UNION ALL SELECT b, a FROM e")
+def gen_er_orders(spark: SparkSession, d: str) -> DataFrame:
+    """A uniform random graph over as many vertices as there are customers, an edge drawn for each order."""
+    customers = spark.read.parquet(f"{d}/customer.parquet").count()
+    return generate.uniform(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("key")), customers).edges
+
+
+_FOLLOW = """n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS e FROM orders),
+f(e, p) AS (SELECT e, (2 * e + 1)::UBIGINT FROM n UNION ALL
+  SELECT e, xor(y, y >> 32) % p FROM (SELECT e, p, ((xor(x, x >> 29)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS y
+    FROM (SELECT e, p, ((p::UHUGEINT * 11400714819323198485::UHUGEINT + 42) % 18446744073709551616::UHUGEINT)::UBIGINT AS x FROM f WHERE p % 2 = 1 AND p // 2 >= 5)))"""
+
+
+@_query("gen_ba_orders", f"WITH RECURSIVE {_FOLLOW} SELECT n.o_orderkey, 5 + n.e // 5 AS src, (CASE WHEN p % 2 = 0 THEN 5 + p // 2 // 5 ELSE p // 2 END)::BIGINT AS dst FROM f JOIN n ON n.e = f.e WHERE p % 2 = 0 OR p // 2 < 5")
+def gen_ba_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as edges of a graph that grows by preferential attachment in the order of their keys, five a vertex."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey")
+    return generate.attached(numbered(orders, "o_orderkey", name="e"), 5).select("o_orderkey", "src", "dst")

@@ -47,6 +47,11 @@ def orders_parts(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_edges(_table(spark, sf_dir, "lineitem").select((2 * F.col("l_orderkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst")))
 
 
+def shipments(spark: SparkSession, sf_dir: str, where: str = "true") -> Graph:
+    """Parts to the suppliers that ship them, directed, an edge for each line."""
+    return Graph.from_edges(_table(spark, sf_dir, "lineitem").filter(where).select((2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst")))
+
+
 def geography(spark: SparkSession, sf_dir: str) -> Graph:
     """Regions to nations to customers and suppliers."""
     nation = _table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("src"), (100 + F.col("n_nationkey")).alias("dst"))

@@ -6,9 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweave.functions import hashed
 from graphweave.graph import Graph
 
 
@@ -35,18 +36,26 @@ def erdos_renyi(spark: SparkSession, n: int, p: float | None = None, seed: int =
     return Graph(spark.range(n), spark.range(n).mapInPandas(draw, "src long, dst long")).symmetrized()
 
 
-def barabasi_albert(spark: SparkSession, n: int, m: int = 25, seed: int = 42) -> Graph:
-    """Preferential attachment of m edges a vertex, both directions, parallel edges made one.
+def uniform(rows: DataFrame, n: int, seed: int = 42) -> Graph:
+    """G(n, m) over 0..n-1: each row of rows(key) draws the two ends of an edge; both directions, loops left out, parallel edges made one.
+
+    An end is a function of key and seed that SQL repeats, so an edge stays what it is when rows are added.
+    """
+    size = max(n, 1)  # all edges over no vertex are loops
+    ends = rows.select(hashed(seed, F.col("key"), F.lit(0), size).alias("src"), hashed(seed, F.col("key"), F.lit(1), size).alias("dst"))
+    return Graph(rows.sparkSession.range(n), ends.filter("src != dst")).undirected()
+
+
+def attached(rows: DataFrame, m: int, seed: int = 42) -> DataFrame:
+    """rows(e, ...) with the ends src and dst of edge e of a graph that grows by preferential attachment, m edges a vertex.
 
     Endpoint 2e+1 of edge e copies a uniformly drawn earlier endpoint. As every draw is a function of
     its position, a task follows the copies back to a vertex by itself, and no vertex waits for others.
     """
-    if n <= m:
-        raise ValueError("more vertices than edges a vertex are needed")
 
     def follow(batches):
         for b in batches:
-            e = np.asarray(b["id"], np.int64)
+            e = np.asarray(b["e"], np.int64)
             at = 2 * e + 1
             while True:
                 odd = np.flatnonzero((at & 1 == 1) & (at // 2 >= m))
@@ -57,7 +66,15 @@ def barabasi_albert(spark: SparkSession, n: int, m: int = 25, seed: int = 42) ->
                 at[odd] = ((x ^ (x >> np.uint64(32))) % at[odd].astype(np.uint64)).astype(np.int64)
             # even endpoints are the vertex of the edge; the first m edges join vertex m to 0..m-1
             target = np.where(at & 1 == 0, m + at // 2 // m, at // 2)
-            yield pd.DataFrame({"src": m + e // m, "dst": target})
+            yield b.assign(src=m + e // m, dst=target)
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(follow, f"{types}, src long, dst long")
+
 
-    edges = spark.range((n - m) * m).mapInPandas(follow, "src long, dst long").filter(F.col("src") != F.col("dst"))
+def barabasi_albert(spark: SparkSession, n: int, m: int = 25, seed: int = 42) -> Graph:
+    """Preferential attachment of m edges a vertex, both directions, parallel edges made one."""
+    if n <= m:
+        raise ValueError("more vertices than edges a vertex are needed")
+    edges = attached(spark.range((n - m) * m).withColumnRenamed("id", "e"), m, seed).select("src", "dst").filter(F.col("src") != F.col("dst"))
     return Graph(spark.range(n), edges).undirected()

@@ -43,6 +43,18 @@ class Graph:
     def undirected(self) -> Graph:
         return self.symmetrized().deduplicated()
 
+    def plus(self, other: Graph) -> Graph:
+        """The edges of both, with multiplicity; the vertices of either."""
+        return Graph(self.vertices.unionByName(other.vertices).distinct(), self.edges.unionByName(other.edges), self.implied and other.implied)
+
+    def minus(self, other: Graph) -> Graph:
+        """Each edge as often as it is here more than in the other; all vertices of this one."""
+        return Graph(self.vertices, self.edges.select("src", "dst").exceptAll(other.edges.select("src", "dst")))
+
+    def common(self, other: Graph) -> Graph:
+        """Each edge as often as it is in both; the vertices that both have."""
+        return Graph(self.vertices.join(other.vertices, "id", "left_semi"), self.edges.select("src", "dst").intersectAll(other.edges.select("src", "dst")))
+
     def shifted(self, by: int) -> Graph:
         """All ids plus `by`: formats count from 1 or from 0."""
         return Graph(self.vertices.select((F.col("id") + by).alias("id")), self.edges.select((F.col("src") + by).alias("src"), (F.col("dst") + by).alias("dst")))

@@ -13,7 +13,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -24,6 +24,8 @@ from graphweave.plans.stages import ship, written
 FORMATS = ("adjlist", "edgelist", "binedge", "binadj")
 #: Bytes of a binary file that a task reads, and of those that it holds at once.
 SPLIT, PIECE = 64 << 20, 4 << 20
+#: Bytes of a row group of saved edges; keys that become a filter.
+ROW_GROUP, POINTS = 16 << 20, 1000
 _EDGES = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
 
@@ -38,7 +40,7 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
     return kept.join(F.broadcast(offsets), ["file", "start"]).select((F.col("before") + F.col("row") - F.col("first")).alias("line"), "value")
 
 
-def _tokens() -> F.Column:
+def _tokens() -> Column:
     return F.filter(F.split("value", "\\s+"), lambda x: x != "")
 
 
@@ -351,12 +353,42 @@ def write_binadj(graph: Graph, path: str) -> None:
 
 
 def save(graph: Graph, path: str) -> None:
-    """The engine's own tables: vertices, edges in ranges of sources, and their statistics. A filter on src reads the files of its range alone."""
+    """The engine's own tables: vertices, edges in ranges of sources, and their statistics.
+
+    A filter on src reads the files, row groups and pages of its range alone; one on dst reads the row
+    groups whose dictionary or Bloom filter may have the value, for which row groups are kept small.
+    """
     graph.vertices.write.parquet(f"{path}/vertices")
-    graph.edges.repartitionByRange("src").sortWithinPartitions("src", "dst").write.parquet(f"{path}/edges")
+    edges = graph.edges.repartitionByRange("src").sortWithinPartitions("src", "dst").write
+    for key, value in {"block.size": ROW_GROUP, "bloom.filter.enabled#dst": "true", "bloom.filter.adaptive.enabled": "true", "bloom.filter.max.bytes": ROW_GROUP // 8}.items():
+        edges = edges.option(f"parquet.{key}", value)
+    edges.parquet(f"{path}/edges")
     graph.stats().write.parquet(f"{path}/stats")
 
 
+def edges_at(spark: SparkSession, path: str, keys: DataFrame, end: str = "src") -> DataFrame:
+    """The edges of a saved graph whose end (src or dst) is one of keys(id).
+
+    Up to `POINTS` keys become a filter that Parquet compares with what it keeps of files, row groups and
+    pages; more are joined, so nothing grows on the driver.
+    """
+    edges, wanted = load(spark, path).edges, keys.select(F.col("id").cast("long").alias(end)).filter(f"{end} IS NOT NULL").distinct()
+    few = [k for (k,) in wanted.limit(POINTS + 1).collect()]
+    if len(few) > POINTS:
+        return edges.join(wanted, end, "left_semi")
+    return edges.filter(_any_of(end, sorted(few)))
+
+
+def _any_of(end: str, keys: list[int]) -> Column:
+    """A balanced tree of equalities: beyond ten values Spark hands Parquet an IN by its bounds alone."""
+    if not keys:
+        return F.lit(False)
+    if len(keys) == 1:
+        return F.col(end) == keys[0]
+    half = len(keys) // 2
+    return _any_of(end, keys[:half]) | _any_of(end, keys[half:])
+
+
 def load(spark: SparkSession, path: str) -> Graph:
     return Graph(spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges"))
 
