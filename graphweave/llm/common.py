@@ -5,16 +5,19 @@ from __future__ import annotations
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweave.plans.stages import measured, ship, written
 
-__all__ = ["SPACE", "blocks", "fenced", "lowered", "measured", "mix", "rows", "sampled", "settings", "slices", "table", "texts", "words_of", "written"]
+__all__ = ["SPACE", "added_up", "blocks", "fenced", "lowered", "measured", "mix", "rows", "sampled", "settings", "slices", "table", "texts", "words_of", "written"]
 
 #: The white space that ends a word, as a Java and Python character class.
 SPACE = "\\x20\\x09-\\x0D"
+#: Arrays that one call of `added_up` adds on its first levels, and levels; the last one adds what is left of each block.
+FAN, LEVELS = 64, 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,3 +134,21 @@ def slices(batches, most_rows: int = 2000):
 
 def rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+def added_up(partials: DataFrame, kind: str) -> DataFrame:
+    """block and sums: the sums of the arrays (of that numpy type, as bytes) in rows of block int, task int and sums binary.
+
+    They are added in a tree over the tasks that sent them, so that no group grows with their number: it is
+    `FAN` arrays on each level, and on the last one a `FAN ** (LEVELS - 1)`-th of the tasks.
+    """
+    types = "block int, task int, sums binary"
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, kind).astype(np.float64) for x in pdf["sums"])
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "task": pdf["task"].iloc[:1], "sums": [total.astype(kind).tobytes()]})
+
+    for level in range(1, LEVELS + 1):
+        over = F.lit(0) if level == LEVELS else F.floor(F.col("task") / FAN).cast("int")
+        partials = partials.withColumn("task", over).groupBy("block", "task").applyInPandas(added, types)
+    return partials.select("block", "sums")

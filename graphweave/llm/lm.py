@@ -31,12 +31,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import blocks, lowered, mix, rows, sampled, settings, slices, table, texts, words_of, written
+from graphweave.llm.common import added_up, blocks, lowered, mix, rows, sampled, settings, slices, table, texts, words_of, written
 from graphweave.plans.stages import discard
 
 #: Classes of one frequent token each, classes by ending.
@@ -214,7 +214,7 @@ def log_probabilities(weights: np.ndarray, active: list[np.ndarray]) -> np.ndarr
 
 def _counts(coded: DataFrame, lexicon: Lexicon, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Observed and expected counts of each weight over the documents, added up by shuffle."""
-    schema, salts, width = pa.schema([("block", pa.int32()), ("salt", pa.int32()), ("sums", pa.binary())]), 16, 512
+    schema, width = pa.schema([("block", pa.int32()), ("task", pa.int32()), ("sums", pa.binary())]), 512
 
     def work(batches):
         observed, expected, seen, held, size = np.zeros(N_ROWS * CLASSES), np.zeros((N_ROWS, CLASSES), np.float32), 0, [], 0
@@ -245,16 +245,11 @@ def _counts(coded: DataFrame, lexicon: Lexicon, weights: np.ndarray) -> tuple[np
             both = np.stack([observed.reshape(N_ROWS, CLASSES).astype(np.float32), expected], 1)
             parts = [both[i : i + width] for i in range(0, N_ROWS, width)]
             keep = [k for k, x in enumerate(parts) if x.any()]
-            yield rows(schema, keep, [seen % salts] * len(keep), [parts[k].astype("<f4").tobytes() for k in keep])
+            yield rows(schema, keep, [TaskContext.get().partitionId()] * len(keep), [parts[k].astype("<f4").tobytes() for k in keep])
 
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, "<f4").astype(np.float64) for x in pdf["sums"])
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "salt": pdf["salt"].iloc[:1] * 0, "sums": [total.astype("<f4").tobytes()]})
-
-    types = "block int, salt int, sums binary"
-    found = coded.mapInArrow(work, types).groupBy("block", "salt").applyInPandas(added, types).groupBy("block").applyInPandas(added, types)
+    found = added_up(coded.mapInArrow(work, "block int, task int, sums binary"), "<f4")
     out = np.zeros((N_ROWS, 2, CLASSES))
-    for block, _, sums in found.collect():  # N_ROWS rows, whatever the corpus
+    for block, sums in found.collect():  # N_ROWS rows, whatever the corpus
         x = np.frombuffer(sums, "<f4").reshape(-1, 2, CLASSES)
         out[block * width : block * width + len(x)] = x
     return out[:, 0], out[:, 1]

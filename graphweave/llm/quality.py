@@ -22,10 +22,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import blocks, mix, rows, sampled, slices, table, texts, words_of, written
+from graphweave.llm.common import added_up, blocks, mix, rows, sampled, slices, table, texts, words_of, written
 
 #: Rows of the vector table by kind, their length, non-zero entries of an index vector, words looked at on each side.
 WORDS, ENDINGS, SHAPES, SIZE, NONZERO, WINDOW = 4096, 2048, 2048, 32, 4, 2
@@ -34,7 +35,7 @@ MAX_LABELLED, HIDDEN, EPOCHS, CALIBRATION = 20_000, 32, 40, 5
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: The bits of each byte value as eight counters of a byte each, and how many such can be added.
 _BITS, _MOST = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0], 255
-_PART, _SALTS = 256, 32
+_PART = 256
 _KIND = np.full(256, ord("."), np.uint8)  # letters, capitals, digits; other ASCII stands for itself
 _KIND[:128] = np.arange(128)
 _KIND[ord("a") : ord("z") + 1] = _KIND[128:] = ord("a")
@@ -72,7 +73,7 @@ def _blocks(batches):
 
 def context_sums(docs: DataFrame) -> np.ndarray:
     """The context vectors of all rows of units, over rows of doc_id and text."""
-    schema = pa.schema([("part", pa.int32()), ("salt", pa.int32()), ("sums", pa.binary())])
+    schema = pa.schema([("block", pa.int32()), ("task", pa.int32()), ("sums", pa.binary())])
 
     def work(batches):
         index, total = index_vectors(), np.zeros((UNITS, SIZE))
@@ -92,18 +93,12 @@ def context_sums(docs: DataFrame) -> np.ndarray:
                 sorted_ = of[order, kind]
                 first = np.flatnonzero(np.diff(sorted_, prepend=-1))
                 total[sorted_[first]] += np.add.reduceat(around[order], first, 0)
-        salt = int(np.abs(total).sum()) % _SALTS
         if total.any():
-            yield rows(schema, range(UNITS // _PART), [salt] * (UNITS // _PART), [x.tobytes() for x in np.split(total, UNITS // _PART)])
+            yield rows(schema, range(UNITS // _PART), [TaskContext.get().partitionId()] * (UNITS // _PART), [x.tobytes() for x in np.split(total, UNITS // _PART)])
 
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "salt": pdf["salt"].iloc[:1] * 0, "sums": [np.sum([np.frombuffer(x) for x in pdf["sums"]], 0).tobytes()]})
-
-    types = "part int, salt int, sums binary"
-    sums = docs.select("doc_id", "text").mapInArrow(work, types)
-    sums = sums.groupBy("part", "salt").applyInPandas(added, types).groupBy("part").applyInPandas(added, types)
+    sums = added_up(docs.select("doc_id", "text").mapInArrow(work, "block int, task int, sums binary"), "<f8")
     out = np.zeros((UNITS // _PART, _PART * SIZE))
-    for part, _, data in sums.collect():  # UNITS * SIZE numbers, whatever the corpus
+    for part, data in sums.collect():  # UNITS * SIZE numbers, whatever the corpus
         out[part] = np.frombuffer(data)
     return out.reshape(UNITS, SIZE)
 

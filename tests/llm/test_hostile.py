@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphweave.llm import ann, bpe, chat, packing, quality, rules
+from graphweave.llm import ann, bpe, chat, common, packing, quality, rules
 from tests.llm.test_operators import prose
 
 LONG = prose(5, 60_000)
@@ -86,3 +86,36 @@ def test_ablation(spark):
     for r in rules.ablation(book).collect():
         bit = 1 << names.index(r.rule)
         assert (r.fails, r.alone, r["without"]) == (sum(b & bit > 0 for b in bits), sum(b & every == bit for b in bits), sum(b & every & ~bit == 0 for b in bits))
+
+
+@pytest.mark.parametrize("fan,levels", [(64, 3), (4, 3), (7, 2), (64, 1)])
+def test_sums_of_many_tasks(spark, monkeypatch, fan, levels):
+    """Arrays of 2,000 tasks, of which one block is sent by few; the tree's shape changes no sum."""
+    monkeypatch.setattr(common, "FAN", fan)
+    monkeypatch.setattr(common, "LEVELS", levels)
+    sent = [(b, t, np.array([t, 1, -b], "<f8").tobytes()) for t in range(2000) for b in range(3) if b < 2 or t % 500 == 7]
+    got = common.added_up(spark.createDataFrame(sent, "block int, task int, sums binary"), "<f8").collect()
+    want = {0: [1999000, 2000, 0], 1: [1999000, 2000, -2000], 2: [3028, 4, -8]}
+    assert len(got) == 3 and {r.block: np.frombuffer(r.sums).tolist() for r in got} == want
+    assert common.added_up(spark.createDataFrame([], "block int, task int, sums binary"), "<f8").collect() == []
+
+
+def test_groups_of_sums_are_bounded(spark, monkeypatch):
+    """No group of any level but the last has more than FAN arrays, and the last one has 2,000 / FAN ** 2."""
+    monkeypatch.setattr(common, "FAN", 10)
+    one, sizes, frame = np.ones(1, "<f8").tobytes(), [], type(spark.range(1))
+    group = frame.groupBy
+
+    def watched(df, *keys):
+        sizes.append(group(df, *keys).count().sort(F.desc("count")).first()["count"])
+        return group(df, *keys)
+
+    monkeypatch.setattr(frame, "groupBy", watched)
+    rows = common.added_up(spark.createDataFrame([(0, t, one) for t in range(2000)], "block int, task int, sums binary"), "<f8").collect()
+    assert np.frombuffer(rows[0].sums)[0] == 2000 and sizes == [10, 10, 20]
+
+
+def test_context_vectors_do_not_depend_on_tasks(spark):
+    docs = spark.createDataFrame([(k, f"some words {k} of text {k % 7} that vary {k % 3}") for k in range(400)], "doc_id long, text string")
+    one, many = (quality.context_sums(docs.repartition(n)) for n in (1, 90))
+    assert np.abs(one).sum() > 0 and np.array_equal(one, many)
