@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def draw(walker: Column, step: Column, size: Column, seed: int = 42) -> Column:
     """A number in 0..size-1, fixed by walker, step and seed: whole-number arithmetic that any SQL engine repeats."""
-    state = F.pmod(walker * 1103515245 + step * 134775813 + F.lit(seed * 69069).cast("long"), F.lit(1 << 31))
+    # a product of two ints is an int, which is too small from step 16 on
+    state = F.pmod(walker.cast("long") * 1103515245 + step.cast("long") * 134775813 + F.lit(seed * 69069).cast("long"), F.lit(1 << 31))
     return F.pmod(F.shiftright(state.cast("long"), 8), size)
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphweave import generate, sources
+from graphweave.functions import draw
 from graphweave.graph import Graph
 from graphweave.operators import callbacks
 from graphweave.operators.callbacks import h_index, vertex_apply
@@ -108,3 +109,11 @@ def test_attached_rows_keep_their_columns(spark):
     assert {r.dst for r in got if r.e < 4} <= {0, 1, 2, 3, 4}
     again = {(r.e, r.dst) for r in generate.attached(rows.repartition(7), 4).collect()}
     assert again == {(r.e, r.dst) for r in got}
+
+
+def test_draws_of_late_steps(spark):
+    """From step 16 on, 134,775,813 times the step is no int any more."""
+    steps = [0, 1, 15, 16, 126, 7560]
+    rows = spark.range(3).withColumn("w", (F.col("id") * 333).cast("int"))
+    got = {s: [r.d for r in rows.select(draw(F.col("w"), F.lit(s), F.lit(1000)).alias("d")).collect()] for s in steps}
+    assert got == {s: [(w * 1103515245 + s * 134775813 + 42 * 69069) % 2**31 // 256 % 1000 for w in (0, 333, 666)] for s in steps}
