@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphweave.functions import draw
 from graphweave.graph import Graph
+from graphweave.layout import bucketed, buckets_for
 from graphweave.operators.numbering import numbered
 from graphweave.plans.stages import written
 
@@ -22,27 +23,33 @@ def random_walk(graph: Graph, walkers: int, steps: int, seed: int = 42) -> DataF
     Walkers start on vertices with out-edges; one that comes to a vertex without stops there. All edges
     are numbered in the order of source and destination, by sorted ranges, so that a vertex has a first
     number and a step is a join on one number: neither sorting nor stepping brings a hub's edges together.
+    An edge is stored with the first number and the degree of the vertex that it leads to, in buckets of
+    numbers, so that a step needs no other join and exchanges no edges.
     """
     spark = graph.edges.sparkSession
     out = numbered(graph.edges.select("src", "dst"), "src", "dst", name="place")
     degrees = written(out.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("degree"), F.min("place").alias("first")))
-    n = degrees.count()
+    n, m = degrees.agg(F.count(F.lit(1)), F.sum("degree")).first()
     nothing = spark.createDataFrame([], "walker long, step int, v long")
     if not n or not walkers:
         return nothing
-    starts = numbered(degrees.select("v"), "v", name="k")
+    starts = numbered(degrees, "v", name="k")
+    # an edge to a sink leads to no number
+    ahead = out.select("place", F.col("dst").alias("v")).join(degrees, "v", "left")
+    ways = bucketed(ahead, ["place"], buckets_for(spark, m))
     first = spark.range(walkers).select(F.col("id").alias("walker"), draw(F.col("id"), F.lit(0), F.lit(n), seed).alias("k"))
-    at = first.join(starts, "k").select("walker", "v", F.array("v").alias("way"))
+    at = first.join(starts, "k").select("walker", "v", "first", "degree", F.array("v").alias("way"))
     parts, base = [(at, 0)] if steps == 0 else [], 0
     for k in range(1, steps + 1):
         # a walker that stops has no place to go to, and keeps the way that it came
-        choice = at.join(degrees, "v", "left").select("walker", "way", (F.col("first") + draw(F.col("walker"), F.lit(k), F.col("degree"), seed)).alias("place"))
-        way = F.when(F.col("dst").isNotNull(), F.concat("way", F.array("dst"))).otherwise(F.col("way"))
-        at = choice.join(out.select("place", "dst"), "place", "left").select("walker", F.col("dst").alias("v"), way.alias("way"))
+        choice = at.select("walker", "way", (F.col("first") + draw(F.col("walker"), F.lit(k), F.col("degree"), seed)).alias("place"))
+        way = F.when(F.col("v").isNotNull(), F.concat("way", F.array("v"))).otherwise(F.col("way"))
+        # the walkers are hashed, not the edges
+        at = choice.hint("shuffle_hash").join(ways, "place", "left").select("walker", "v", "first", "degree", way.alias("way"))
         if k % CUT == 0 or k == steps:
             at = written(at)
             parts.append((at, base))
-            base, at = k, at.filter("v IS NOT NULL").select("walker", "v", F.array("v").alias("way"))
+            base, at = k, at.filter("v IS NOT NULL").select("walker", "v", "first", "degree", F.array("v").alias("way"))
     # the first place of a way is the last one of the way before
     seen = [x.select("walker", F.posexplode("way").alias("n", "v")).filter(F.col("n") >= min(b, 1)).select("walker", (F.col("n") + b).cast("int").alias("step"), "v") for x, b in parts]
     return reduce(DataFrame.unionByName, seen)
