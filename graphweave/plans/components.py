@@ -14,7 +14,7 @@ MANY = 5_000_000
 def _least(pairs: DataFrame, split: bool) -> DataFrame:
     """u and m, the least of u and its v. Where pairs are many it is written, so that a join with it can split what belongs to one very common u."""
     least = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return written(least) if split else least
+    return written(least, spreads=True) if split else least
 
 
 def _large_star(pairs: DataFrame, split: bool) -> DataFrame:
@@ -33,7 +33,7 @@ def _small_star(pairs: DataFrame, split: bool) -> DataFrame:
 
 def _kept(pairs: DataFrame) -> tuple[DataFrame, tuple]:
     """The pairs, written, and what tells a set of pairs from others: their number and the sum of their hashes."""
-    pairs, seen = measured(pairs, mark=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    pairs, seen = measured(pairs, spreads=True, mark=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     return pairs, (seen["n"], seen["mark"])
 
 
@@ -52,7 +52,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         split = mark[0] > MANY
         after = _large_star(pairs, split)
         if split:
-            after = large = written(after)
+            after = large = written(after, spreads=True)
         after, now = _kept(_small_star(after, split))
         if split:
             discard(large)

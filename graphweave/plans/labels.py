@@ -9,6 +9,7 @@ from graphweave.graph import Graph
 from graphweave.layout import store
 from graphweave.plans.components import connected_components
 from graphweave.plans.fixpoint import vertex_program
+from graphweave.plans.stages import written
 
 
 def min_label(graph: Graph) -> DataFrame:
@@ -25,8 +26,14 @@ def min_label(graph: Graph) -> DataFrame:
 
 def wcc(graph: Graph) -> DataFrame:
     """id and label (the least id of its component) of every vertex, directions ignored."""
-    found = connected_components(graph.edges)
-    return graph.vertices.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
+    if not graph.implied:
+        found = written(connected_components(graph.edges), spreads=True)
+        return written(graph.vertices.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("label")), spreads=True)
+    # every vertex is an end; one that only has edges to null is its own component, and so is null
+    known = graph.edges.select(F.coalesce("src", "dst").alias("src"), F.coalesce("dst", "src").alias("dst"))
+    found = written(connected_components(known).select("id", F.col("component").alias("label")), spreads=True)
+    null = F.lit(None).cast("long")
+    return found.unionByName(graph.edges.filter("src IS NULL OR dst IS NULL").limit(1).select(null.alias("id"), null.alias("label")))
 
 
 def sizes(labels: DataFrame) -> DataFrame:
