@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def parts_suppliers(spark: SparkSession, sf_dir: str, where: str = "true") -> Graph:
     """Parts and the suppliers that ship them, in both directions, each pair once."""
     pairs = _table(spark, sf_dir, "lineitem").filter(where).select((2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst")).distinct()
-    return Graph.from_edges(pairs).symmetrized()
+    return replace(Graph.from_edges(pairs).symmetrized(), symmetric=True)
 
 
 def weighted(spark: SparkSession, sf_dir: str) -> Graph:

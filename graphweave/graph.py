@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ class Graph:
     edges: DataFrame
     #: The vertices are the edges' ends and no others, so that stored edges tell them as well.
     implied: bool = False
+    #: It is known that every edge is there in both directions equally often, so that plans may store one for both.
+    symmetric: bool = False
 
     @staticmethod
     def from_edges(edges: DataFrame, vertices: DataFrame | None = None, declared: int | None = None) -> Graph:
@@ -30,18 +32,19 @@ class Graph:
         return Graph(vertices.select(F.col("id").cast("long").alias("id")), edges, implied)
 
     def symmetrized(self) -> Graph:
-        """Every edge in both directions; a loop stays one edge."""
-        back = self.edges.filter("src != dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        return Graph(self.vertices, self.edges.unionByName(back), self.implied)
+        """Every edge in both directions; a loop stays one edge. Edges are read once for both."""
+        there, back = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        both = F.when(F.col("src") != F.col("dst"), F.array(there, back)).otherwise(F.array(there))
+        return Graph(self.vertices, self.edges.select(F.explode(both).alias("edge")).select("edge.*"), self.implied)
 
     def deduplicated(self) -> Graph:
-        return Graph(self.vertices, self.edges.distinct(), self.implied)
+        return Graph(self.vertices, self.edges.distinct(), self.implied, self.symmetric)
 
     def without_loops(self) -> Graph:
         return Graph(self.vertices, self.edges.filter("src != dst"))
 
     def undirected(self) -> Graph:
-        return self.symmetrized().deduplicated()
+        return replace(self.symmetrized().deduplicated(), symmetric=True)
 
     def plus(self, other: Graph) -> Graph:
         """The edges of both, with multiplicity; the vertices of either."""

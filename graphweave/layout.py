@@ -69,6 +69,12 @@ class EdgeTable:
             return graph.vertices
         return self.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
+    def vertex(self, graph: Graph, id_: int) -> DataFrame:
+        """id of that vertex, if the graph has it: `vertices` without looking at the others."""
+        if not graph.implied:
+            return graph.vertices.filter(F.col("id") == id_).select("id")
+        return self.edges.filter((F.col("src") == id_) | (F.col("dst") == id_)).limit(1).select(F.lit(id_).cast("long").alias("id"))
+
     def degrees(self, graph: Graph) -> DataFrame:
         """id and degree, the number of out-edges, of all vertices of that graph, in one aggregation."""
         counted = self.edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("n")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("n")))).alias("end")).select("end.*")
@@ -88,7 +94,7 @@ def store(edges: DataFrame, by: str = "src", values: tuple[str, ...] = ()) -> Ed
 
 def store_by(edges: DataFrame, ends: tuple[str, ...], values: tuple[str, ...] = ()) -> list[EdgeTable]:
     """A table dealt by each of these ends. The edges are computed once; hubs are found by counting before anything is dealt."""
-    kept, seen = measured(edges.select("src", "dst", *values))
+    kept, seen = measured(edges.select("src", "dst", *values), spreads=True)
     out = [_dealt(kept, seen["n"], by, values) for by in ends]
     discard(kept)
     return out
@@ -98,7 +104,7 @@ def _dealt(kept: DataFrame, n: int, by: str, values: tuple[str, ...]) -> EdgeTab
     buckets, hubs = buckets_for(kept.sparkSession, n), None
     if n > HUB:  # else no vertex can have so many
         counts = kept.groupBy(F.col(by).alias("id")).agg(F.count(F.lit(1)).alias("degree")).filter(F.col("degree") > HUB)
-        found, seen = measured(counts.select("id", F.ceil(F.col("degree") / HUB).cast("int").alias("salts")))
+        found, seen = measured(counts.select("id", F.ceil(F.col("degree") / HUB).cast("int").alias("salts")), spreads=True)
         hubs = found if seen["n"] else None
     if hubs is None:
         return EdgeTable(by, bucketed(kept, [by], buckets), buckets, None, tuple(values))
