@@ -63,7 +63,7 @@ def bfs(graph: Graph, source: int = 0) -> DataFrame:
         reached = held.meet(level.select("id")).select("id").distinct()
         return outside(reached, visited()).select("id", F.lit(k).alias("level"))
 
-    last, _ = loop(held.vertices(graph).filter(F.col("id") == source).select("id", F.lit(0).alias("level")), step, kept=lambda level: None)
+    last, _ = loop(held.vertex(graph, source).select("id", F.lit(0).alias("level")), step, kept=lambda level: None)
     held.release()
     return reduce(DataFrame.unionByName, [*older, *recent, last])
 
@@ -81,18 +81,19 @@ def dfs_count(graph: Graph, source: int = 0) -> DataFrame:
 def within(graph: Graph, sources: DataFrame, hops: int) -> DataFrame:
     """id and hops, the fewest to it from any of sources(id), of the vertices that so many hops reach.
 
-    One recursive query, without a loop on the driver. A recursion keeps every pair that it meets, as SQL
-    has it, once for each number of hops; it is meant for few hops, `bfs` for all.
+    One recursive query, without a loop on the driver, over edges that are stored by source: no hop exchanges
+    or sorts them. A recursion keeps every pair that it meets, as SQL has it, once for each number of hops; it
+    is meant for few hops, `bfs` for all.
     """
-    spark = graph.edges.sparkSession
+    spark, held = graph.edges.sparkSession, store(graph.edges)
     names = [f"graphweave_{kind}_{uuid.uuid4().hex}" for kind in ("edges", "sources")]
-    for name, df in zip(names, (written(graph.edges.select("src", "dst").distinct()), sources.select(F.col("id").cast("long").alias("id")).distinct()), strict=True):
+    for name, df in zip(names, (held.edges, sources.select(F.col("id").cast("long").alias("id")).distinct()), strict=True):
         df.createOrReplaceTempView(name)
     found = spark.sql(
         f"""WITH RECURSIVE r(id, hops) MAX RECURSION LEVEL {hops + 2} AS (
               SELECT id, 0 FROM {names[1]}
               UNION ALL
-              SELECT DISTINCT e.dst, hops + 1 FROM r JOIN {names[0]} e ON e.src = r.id WHERE hops < {hops})
+              SELECT /*+ SHUFFLE_HASH(r) */ DISTINCT e.dst, hops + 1 FROM r JOIN {names[0]} e ON e.src = r.id WHERE hops < {hops})
             SELECT id, min(hops) AS hops FROM r GROUP BY id"""
     )
     for name in names:
