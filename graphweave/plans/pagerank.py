@@ -24,7 +24,7 @@ def _pulled(held: EdgeTable, state: DataFrame) -> DataFrame:
 def _turned(graph: Graph, direction: str) -> Graph:
     if direction not in ("out", "in"):
         raise ValueError("direction is 'out' or 'in'")
-    return graph if direction == "out" else Graph(graph.vertices, graph.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), graph.implied)
+    return graph if direction == "out" else Graph(graph.vertices, graph.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), graph.implied, graph.symmetric)
 
 
 def pagerank(graph: Graph, iterations: int = 10, cut_every: int = 5, direction: str = "out") -> DataFrame:
@@ -63,11 +63,13 @@ def pagerank_delta(graph: Graph, eps: float = 0.01, most: int | None = None, dir
 
     Each vertex keeps the sum over its neighbours, and a superstep sends changes alone: along the edges by
     which a changed vertex is pulled from, and, where the change is above eps, along its own edges, to wake
-    its neighbours. Edges are stored once for either way; what both send meets in one shuffle. With
+    its neighbours. Edges are stored once for either way; what both send meets in one shuffle. Where every
+    edge leads both ways, these are the same neighbours: edges are stored and met once for both. With
     `most`, it is an error if that many supersteps do not end it.
     """
     graph = _turned(graph, direction)
-    pulled, waking = store_by(graph.edges, ("dst", "src"))
+    tables = store_by(graph.edges, ("dst",) if graph.symmetric else ("dst", "src"))
+    pulled, waking = tables[0], tables[-1]
     base = bucketed(waking.degrees(graph).withColumn("p", F.when(F.col("degree") > 0, 1.0 / F.col("degree"))), ["id"], pulled.buckets)
     linked = F.col("degree") > 0
     first = base.join(_pulled(pulled, base.filter(linked)), "id", "left").select("id", "degree", "p", F.coalesce("s", F.lit(0.0)).alias("s"), linked.alias("active"))
@@ -75,14 +77,17 @@ def pagerank_delta(graph: Graph, eps: float = 0.01, most: int | None = None, dir
     def step(k: int, state: DataFrame) -> DataFrame:
         new = F.when(F.col("active"), (1 - DAMPING + DAMPING * F.col("s")) / F.col("degree")).otherwise(F.col("p"))
         moved = state.select("id", "degree", new.alias("p"), "s", (new - F.col("p")).alias("change"))
-        sums = pulled.meet(moved.filter("change != 0").select("id", "change")).select("id", "change", F.lit(False).alias("woken"))
-        woken = waking.meet(moved.filter(F.abs("change") > eps).select("id")).select("id", F.lit(0.0).alias("change"), F.lit(True).alias("woken"))
-        sent = sums.unionByName(woken).groupBy("id").agg(F.sum("change").alias("more"), F.max("woken").alias("woken"))
+        wakes = F.lit(False) if len(tables) > 1 else F.abs("change") > eps
+        sums = pulled.meet(moved.filter("change != 0").select("id", "change", wakes.alias("woken"))).select("id", "change", "woken")
+        if len(tables) > 1:
+            woken = waking.meet(moved.filter(F.abs("change") > eps).select("id")).select("id", F.lit(0.0).alias("change"), F.lit(True).alias("woken"))
+            sums = sums.unionByName(woken)
+        sent = sums.groupBy("id").agg(F.sum("change").alias("more"), F.max("woken").alias("woken"))
         after = moved.join(sent, "id", "left")
         return after.select("id", "degree", "p", (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("s"), (F.coalesce("woken", F.lit(False)) & linked).alias("active"))
 
     state, seen = loop(first, step, most, left=F.count_if("active"))
-    for x in (pulled, waking):
+    for x in tables:
         x.release()
     discard(base)
     if seen["left"]:
