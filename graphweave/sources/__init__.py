@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 
 from graphweave.graph import Graph
 from graphweave.operators.numbering import first_seen
-from graphweave.plans.stages import ship, written
+from graphweave.plans.stages import setting, ship, written
 
 FORMATS = ("adjlist", "edgelist", "binedge", "binadj")
 #: Bytes of a binary file that a task reads, and of those that it holds at once.
@@ -265,11 +265,11 @@ def _index_of(path: str) -> str:
     return f"{folder}.offsets/{name}"
 
 
-class _BytesWriter(DataSourceWriter):
+class _BytesWriter(DataSourceArrowWriter):
     def __init__(self, path: str, marks: bool):
         self.uri, self.marks = path, marks
 
-    def write(self, rows) -> _Part:
+    def write(self, batches) -> _Part:
         from pyspark import TaskContext
 
         context = TaskContext.get()
@@ -277,11 +277,13 @@ class _BytesWriter(DataSourceWriter):
         part = f"{path}/.part-{context.partitionId():05d}-{context.taskAttemptId()}"
         marks, at = Marks(), 0
         with store.open_output_stream(part) as f:
-            for value, begins in rows:
-                f.write(value)
-                if self.marks:
-                    marks.add(at + np.frombuffer(begins, "<i8"))
-                at += len(value)
+            for b in batches:
+                for value, begins in zip(b["value"], b["begins"], strict=True):
+                    data = value.as_buffer()
+                    f.write(data)
+                    if self.marks:
+                        marks.add(at + np.frombuffer(begins.as_buffer(), "<i8"))
+                    at += data.size
         if self.marks:
             with store.open_output_stream(_index_of(part)) as f:
                 f.write(np.array(marks.done(at), "<i8").tobytes())
@@ -329,7 +331,9 @@ def _write_ints(rows: DataFrame, path: str, vertices: bool = False) -> None:
     store.create_dir(folder)
     if vertices:
         store.create_dir(_index_of(f"{folder}/").rstrip("/"))
-    rows.mapInArrow(packed, "value binary, begins binary").write.format("graphbytes").option("marks", "true" if vertices else "false").mode("append").save(path)
+    # a row of packed values is as long as a batch of ids, and so many rows would be all that a task has
+    with setting(rows.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(PIECE)):
+        rows.mapInArrow(packed, "value binary, begins binary").write.format("graphbytes").option("marks", "true" if vertices else "false").mode("append").save(path)
 
 
 def write_binedge(graph: Graph, path: str, both: bool = True) -> None:
