@@ -459,8 +459,9 @@ def graph_common(spark: SparkSession, d: str) -> DataFrame:
 def neighbour_h_index(spark: SparkSession, d: str) -> DataFrame:
     """The largest h for each vertex such that h of its neighbours have h edges or more: a callback over degrees that Spark has counted."""
     graph = fx.parts_suppliers(spark, d)
-    edges = written(graph.edges)
-    degrees = Graph(graph.vertices, edges).degrees().withColumnRenamed("id", "dst")
+    edges = written(graph.edges, spreads=True)
+    # edges lead both ways, so that every vertex has some
+    degrees = edges.groupBy(F.col("src").alias("dst")).agg(F.count(F.lit(1)).alias("degree"))
     counted = edges.join(degrees, "dst").groupBy(F.col("src").alias("id"), F.col("degree").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     return vertex_apply(counted, h_index, "id long, h long", order=("-value",))
 
