@@ -311,8 +311,7 @@ w(walker, step, v) AS (SELECT r.range, 0, g.v FROM range(1000) r JOIN g ON g.pla
 @_query("random_walk_all", _long_walk_sql("parts_suppliers", "SELECT walker, step, v FROM w"))
 def random_walk_all(spark: SparkSession, d: str) -> DataFrame:
     """1,000 walkers over all pairs, which have no sinks, and |V| / 1,000 steps."""
-    graph = fx.parts_suppliers(spark, d)
-    return walk.random_walk(graph, 1000, graph.vertices.count() // 1000)
+    return walk.random_walk(fx.parts_suppliers(spark, d), 1000)
 
 
 @_query("random_walk_visits_all", _long_walk_sql("parts_suppliers", "SELECT count(*)::BIGINT AS visited FROM w WHERE step < (SELECT count(*) FROM v) // 1000"))

@@ -12,13 +12,13 @@ from graphweave.plans.stages import written
 _ROW_BITS = 33  # of monotonically_increasing_id: the row in its partition
 
 
-def numbered(df: DataFrame, *order: Column | str, name: str = "number") -> DataFrame:
-    """df with its rows numbered 0, 1, ... in that order, which must be total.
+def numbered(df: DataFrame, *order: Column | str, name: str = "number", spreads: bool = False) -> DataFrame:
+    """df with its rows numbered 0, 1, ... in that order, which must be total; `spreads` is that of `written`.
 
     Rows are dealt to sorted ranges; only the number of rows of each range goes to the driver.
     """
     sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = written(sorted_.withColumn("_row", F.monotonically_increasing_id()))
+    rows = written(sorted_.withColumn("_row", F.monotonically_increasing_id()), spreads)
     return _offset(rows, name)
 
 

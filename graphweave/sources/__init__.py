@@ -309,21 +309,22 @@ class _BytesWriter(DataSourceArrowWriter):
                     store.delete_file(_index_of(m.path))
 
 
-def _write_ints(rows: DataFrame, path: str, vertices: bool = False) -> None:
-    """The int32 of the rows' columns, row by row, in the order in which they come.
+def _write_ints(rows: DataFrame, path: str, vertices: bool = False, kind: str = "<i4") -> None:
+    """The rows' columns as int32 or another kind of integer, row by row, in the order in which they come.
 
     With `vertices` a column `begins` tells whether a vertex begins with the row, and an index is left of it.
     """
     names = [c for c in rows.columns if c != "begins"]
     schema = pa.schema([("value", pa.binary()), ("begins", pa.binary())])
+    least, most, size = np.iinfo(kind).min, np.iinfo(kind).max, np.dtype(kind).itemsize
 
     def packed(batches):
         for b in batches:
             data = np.stack([b[c].to_numpy() for c in names], 1)
-            if len(data) and (data.min() < -(1 << 31) or data.max() >= 1 << 31):
-                raise ValueError("an id does not fit into 32 bits")
-            begins = np.flatnonzero(b["begins"].to_numpy(zero_copy_only=False)) * 4 * len(names) if vertices else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([data.astype("<i4").tobytes()], pa.binary()), pa.array([begins.astype("<i8").tobytes()], pa.binary())], schema=schema)
+            if len(data) and (data.min() < least or data.max() > most):
+                raise ValueError(f"an id does not fit into {8 * size} bits")
+            begins = np.flatnonzero(b["begins"].to_numpy(zero_copy_only=False)) * size * len(names) if vertices else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([data.astype(kind).tobytes()], pa.binary()), pa.array([begins.astype("<i8").tobytes()], pa.binary())], schema=schema)
 
     ship(rows.sparkSession)
     rows.sparkSession.dataSource.register(BinaryFiles)
