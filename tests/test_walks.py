@@ -48,7 +48,7 @@ def jobs_of(spark, run):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-@pytest.mark.parametrize("run", [walk.random_walk])
+@pytest.mark.parametrize("run", [walk.random_walk, walk.walk_visits])
 def test_steps_are_no_jobs(spark, run):
     g = graph(spark, random_edges(4, 30, 90)).undirected()
     few, many = (jobs_of(spark, lambda k=k: run(g, 7, k).collect()) for k in (2, 60))
