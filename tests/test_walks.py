@@ -4,6 +4,7 @@ import uuid
 
 import numpy as np
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from graphweave.functions import draw, drawn
@@ -99,3 +100,14 @@ def test_a_cut_file_is_told(spark, tmp_path):
     assert kept.reader()(np.array([7, 0, 19, 7])).ravel().tolist() == [7, 0, 19, 7]
     kept.release(spark)
     assert not (tmp_path / "s").exists()
+
+
+def test_other_stores_are_read_by_threads(spark, tmp_path, monkeypatch):
+    """In the order of the places, and of files that are opened anew meanwhile."""
+    monkeypatch.setattr(records, "FILE_BITS", 2)
+    monkeypatch.setattr(records, "OPEN", 2)
+    rows = spark.range(50).select("id", (F.col("id") * 3).alias("x"), (-F.col("id")).alias("y"))
+    kept = records.write_records(rows, "id", 50, str(tmp_path / "r"), 150)
+    monkeypatch.setattr(records, "_opened", lambda path: (fs.SubTreeFileSystem("/", fs.LocalFileSystem()), path.lstrip("/")))
+    places = np.random.default_rng(1).integers(0, 50, 2000)
+    assert kept.kind == "<i4" and (kept.reader()(places) == np.stack([places * 3, -places], 1)).all()
